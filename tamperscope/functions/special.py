@@ -111,7 +111,17 @@ def t_two_sided_np(t: np.ndarray, df: np.ndarray) -> np.ndarray:
 def binomial_sf_np(k: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
     """P(X >= k) for X ~ Binomial(n, p)."""
     k, n, p = np.asarray(k, float), np.asarray(n, float), np.asarray(p, float)
-    inner = beta_cdf(np.maximum(k, 1e-9), np.maximum(n - k + 1, 1e-9), np.clip(p, 0, 1))
+    spread = n * p * (1 - p)
+    wide = spread > 1e6        # the continued fraction is slow there and the normal exact enough
+    inner = np.empty(np.broadcast(k, n, p).shape)
+    if wide.any():
+        z = (k[wide] - 0.5 - n[wide] * p[wide]) / np.sqrt(spread[wide])
+        inner[wide] = 0.5 * np.vectorize(math.erfc, otypes=[float])(z / math.sqrt(2))
+    tight = ~wide
+    if tight.any():
+        inner[tight] = beta_cdf(
+            np.maximum(k[tight], 1e-9), np.maximum(n[tight] - k[tight] + 1, 1e-9), np.clip(p[tight], 0, 1)
+        )
     return np.where(k <= 0, 1.0, np.where(k > n, 0.0, inner))
 
 

@@ -9,7 +9,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -151,14 +150,6 @@ def terminal_digit(sheet: Sheet) -> Outcome:
     return Outcome(_digit_units(df, test, list(range(10)), [0.1] * 10), result)
 
 
-@F.pandas_udf("double")
-def _binomial_lower(k: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
-    """P(X <= k)."""
-    k, n, p = (s.to_numpy(float) for s in (k, n, p))
-    inner = special.beta_cdf(np.maximum(n - k, 1e-9), k + 1, 1 - p)
-    return pd.Series(np.where(k >= n, 1.0, inner))
-
-
 def precision_levels(sheet: Sheet) -> DataFrame:
     """Per group and number of decimal places: observed count and the count a
     single fixed precision with stripped trailing zeros would leave."""
@@ -189,7 +180,7 @@ def decimal_precision(sheet: Sheet) -> Outcome:
     levels = precision_levels(sheet)
     tested = (F.col("dp") < F.col("max_dp")) & (F.col("n_levels") > 1)
     levels = levels.withColumn(
-        "raw_p", F.when(tested, _binomial_lower("observed", "total", "expected_share"))
+        "raw_p", F.when(tested, special.binomial_lower("observed", "total", "expected_share"))
     )
     levels = bh_small(levels, KEY)
     units = unit_rows(

@@ -15,6 +15,7 @@ from tamperscope.functions import special
 from tamperscope.functions.adjust import bh_small
 from tamperscope.functions.rows import cells, mean, pair_values, present, sheet_sizes
 from tamperscope.functions.stats import flag_from_p, let
+from tamperscope.functions.tails import lgamma
 from tamperscope.functions.values import decimal_places, plain_decimal, value_key
 from tamperscope.model import KEY, Outcome, Sheet, result_rows, unit_rows
 from tamperscope.operators.ordered import islands, ordinal, with_halo
@@ -71,7 +72,6 @@ def _match_probability(values, counts) -> float:
     n = c.sum()
     mu = float((k * c).sum() / n)
     var = float((c * (k - mu) ** 2).sum() / max(n - 1, 1))
-    lgamma = special._lgamma
     top = int(min(np.ceil(max(k.max(), mu + 6 * np.sqrt(var))) + 1, 100_000))
     grid = np.arange(max(0, int(np.floor(k.min()))), top + 1, dtype=float)
     whole = np.maximum(np.floor(k + 0.5), 0)

@@ -51,7 +51,7 @@ def permutation_exceedances(
     test: str,
     seed: int,
     draws: Callable[[int], int],
-    statistic: Callable[[dict, np.ndarray], np.ndarray],
+    statistic: Callable[[dict, np.ndarray, np.random.Generator], np.ndarray],
     array_columns: Sequence[str],
     observed: str,
     scalars: Sequence[str] = (),
@@ -62,13 +62,13 @@ def permutation_exceedances(
     ``units`` has one row per unit of at most MAX_UNIT_ROWS positions:
     ``array_columns`` hold the series and ``observed`` the array of statistics.
     The shuffles of a unit are cut into chunks that run as separate tasks.
-    ``statistic(row, order)`` evaluates a batch of shuffles, ``order`` being
+    ``statistic(row, order, rng)`` evaluates a batch of shuffles, ``order`` being
     (shuffles, positions), and returns (shuffles, statistics).
     Returns unit columns, ``exceed`` ARRAY<BIGINT> and ``n_draws``.
     """
     unit = list(unit)
     length = F.size(array_columns[0])
-    thresholds = sorted({10, 50, 100, 500, 1000, MAX_UNIT_ROWS})
+    thresholds = [100, 500, 1000, MAX_UNIT_ROWS]
     n_draws: Column = F.lit(draws(MAX_UNIT_ROWS))
     for t in reversed(thresholds[:-1]):
         n_draws = F.when(length <= t, draws(t)).otherwise(n_draws)
@@ -96,7 +96,7 @@ def permutation_exceedances(
                 count = min(chunk, rec["_total"] - first)
                 rng = generator(seed, test, *[rec[u] for u in unit], rec["_chunk"])
                 order = rng.permuted(np.tile(np.arange(n), (count, 1)), axis=1)
-                stats = np.asarray(statistic(rec, order), float)
+                stats = np.asarray(statistic(rec, order, rng), float)
                 slack = 1e-12 * np.maximum(1.0, np.abs(obs))
                 exceed = (stats >= obs - slack).sum(axis=0)
                 rows.append([rec[u] for u in unit] + [exceed.tolist(), count])
@@ -124,3 +124,19 @@ def _matrix(value) -> np.ndarray:
     if len(value) and isinstance(value[0], (list, np.ndarray)):
         return np.array([np.asarray(v, float) for v in value])
     return np.asarray(value, float)
+
+
+def gather(df: DataFrame, unit: Sequence[str], order: str, columns: Sequence[str]) -> DataFrame:
+    """Series of the units short enough for one task, as arrays in order.
+
+    Longer units are left out before anything is collected.
+    """
+    unit = list(unit)
+    df = df.select(*unit, order, *columns)
+    short = df.groupBy(*unit).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= MAX_UNIT_ROWS)
+    rows = df.join(short, unit).groupBy(*unit).agg(
+        F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct(order, *columns))).alias("_s")
+    )
+    return rows.select(
+        *unit, "n", *[F.col(f"_s.{c}").alias(c) for c in [order, *columns]]
+    )

@@ -28,8 +28,8 @@ def ordinal(
     """Dense 0-based position of each row inside ``keys``, at any size.
 
     The rows are written range-sorted into the shared folder; a row's position
-    is its file's offset plus its index in the file. Only the per-file counts
-    and per-key starts are aggregated, so no task sees a whole key.
+    is its index in its file, shifted by what earlier files hold of its key.
+    Only one count per file and key is aggregated, so no task sees a whole key.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
@@ -38,18 +38,16 @@ def ordinal(
     written = spark.read.schema(df.schema).parquet(path).select(
         "*", part.alias("_part"), F.col("_metadata.row_index").alias("_at")
     )
-    # One row per written file, so the window below is bounded by the file count.
-    files = written.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = files.select(
-        "_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset")
+    # One row per file and key: the window below is bounded by the file count.
+    held = written.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = held.select(
+        *keys, "_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift")
     )
-    placed = written.join(offsets, "_part").withColumn("_pos", F.col("_offset") + F.col("_at"))
-    starts = placed.groupBy(*keys).agg(F.min("_pos").alias("_start"))
     return (
-        placed.join(starts, list(keys))
-        .withColumn(out, F.col("_pos") - F.col("_start"))
-        .drop("_part", "_at", "_offset", "_pos", "_start")
+        written.join(shifts, [*keys, "_part"])
+        .withColumn(out, F.col("_shift") + F.col("_at"))
+        .drop("_part", "_at", "_shift")
     )
 
 

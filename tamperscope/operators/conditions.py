@@ -97,7 +97,7 @@ def rank_correlation(sheet: Sheet) -> Outcome:
     )
     df = sheet_sizes(sheet.rows).join(sums.drop("_sum"), "dataset_id", "left").join(best, "dataset_id", "left")
     flag = flag_from_p(F.col("p"))
-    cause = F.when(F.col("k").isNull(), "too-few-conditions").when(F.col("k") < 4, "premise-void")
+    cause = F.when(F.col("k").isNull(), "tooFewConditions").when(F.col("k") < 4, "premiseVoid")
     result = result_rows(
         df, test, F.when(flag == "HIGH", "MODERATE").otherwise(flag), F.col("p"),
         {"pairs": F.col("k"), "mean_rho": F.col("mean_rho"), "suspicious": F.col("n_suspicious")},
@@ -185,9 +185,9 @@ def residual_spike(sheet: Sheet) -> Outcome:
         "n_rows", "n_used")
     n_cond = sheet.rows.groupBy("dataset_id").agg(F.count_distinct("cond").alias("conditions"))
     df = sheet_sizes(sheet.rows).join(n_cond, "dataset_id").join(best, "dataset_id", "left")
-    cause = F.when(F.lit(sheet.settings.paired), "subjects-shared-across-conditions").when(
-        F.col("conditions") < 2, "premise-void"
-    ).when(F.col("p").isNull(), "too-few-rows")
+    cause = F.when(F.lit(sheet.settings.paired), "subjectsSharedAcrossConditions").when(
+        F.col("conditions") < 2, "premiseVoid"
+    ).when(F.col("p").isNull(), "tooFewRows")
     result = result_rows(
         df, test, flag_from_p(F.col("p")), F.col("p"),
         {"overlap": F.col("overlap"), "top_k": F.col("top_k"), "rows": F.col("n_used"), "conditions": F.col("n_cond")},
@@ -250,10 +250,10 @@ def baseline_balance(sheet: Sheet) -> Outcome:
     ).withColumn("p", F.least("binom_p", "ks_p"))
     columns = F.lit(sheet.settings.column_relationship != "conditions")
     few = F.coalesce(n, F.lit(0))
-    cause = F.when(F.col("conditions") < 2, "too-few-conditions").when(
-        columns & (F.col("n_cols") < 5), "too-few-columns").when(
-        ~columns & (F.col("n_rows") < 10), "too-few-rows").when(few < 5, "too-few-columns").when(
-        F.col("n_sig") / n > 0.50, "premise-void")
+    cause = F.when(F.col("conditions") < 2, "tooFewConditions").when(
+        columns & (F.col("n_cols") < 5), "tooFewColumns").when(
+        ~columns & (F.col("n_rows") < 10), "tooFewRows").when(few < 5, "tooFewColumns").when(
+        F.col("n_sig") / n > 0.50, "premiseVoid")
     flag = F.when(F.col("n_excess") / n < 0.50, "LOW").otherwise(flag_from_p(F.col("p")))
     result = result_rows(
         df, test, flag, F.col("p"),
@@ -585,8 +585,8 @@ def condition_consistency(sheet: Sheet, original: Sheet | None = None) -> Outcom
     best = units.groupBy("dataset_id").agg(F.min(effective).alias("p"), F.count("raw_p").alias("n_units"))
     n_cond = sheet.rows.groupBy("dataset_id").agg(F.count_distinct("cond").alias("conditions"))
     df = sheet_sizes(sheet.rows).join(n_cond, "dataset_id").join(best, "dataset_id", "left")
-    cause = F.when(F.lit(sheet.settings.paired), "subjects-shared-across-conditions").when(
-        (F.col("conditions") < 2) | F.col("p").isNull(), "too-few-conditions")
+    cause = F.when(F.lit(sheet.settings.paired), "subjectsSharedAcrossConditions").when(
+        (F.col("conditions") < 2) | F.col("p").isNull(), "tooFewConditions")
     result = result_rows(
         df, test, flag_from_p(F.col("p")), F.col("p"), {"units": F.col("n_units"), "conditions": F.col("conditions")},
         na_cause=cause, na_observed=F.col("conditions"), na_minimum=2.0, null_method="group shuffle",

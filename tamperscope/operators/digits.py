@@ -97,14 +97,14 @@ def _benford(sheet: Sheet, test: str, position: int, probs: np.ndarray, min_span
     p_sim = multinomial_mad_p(test, probs / probs.sum(), SIMULATIONS, sheet.settings.seed)
     df = df.withColumn("p_mad", p_sim("dataset_id", "grp", "total", "mad"))
     cell_count = sheet.settings.assay == "cell_count"
-    cause = F.when(F.lit(cell_count), "assay-not-applicable")
+    cause = F.when(F.lit(cell_count), "assayNotApplicable")
     if position == 2:
-        cause = cause.when(F.col("n_integer") / F.col("n") > 0.9, "data-type-mismatch")
-    cause = cause.when(F.col("n_nonzero") < 100, "too-few-rows")
+        cause = cause.when(F.col("n_integer") / F.col("n") > 0.9, "dataTypeMismatch")
+    cause = cause.when(F.col("n_nonzero") < 100, "tooFewRows")
     if positive:
-        cause = cause.when(F.col("n_positive") / F.col("n_nonzero") < 0.80, "shape-not-covered")
-    cause = cause.when(F.col("span") < min_span, "range-out-of-band").when(
-        F.col("total") < 50, "empty-input"
+        cause = cause.when(F.col("n_positive") / F.col("n_nonzero") < 0.80, "shapeNotCovered")
+    cause = cause.when(F.col("span") < min_span, "rangeOutOfBand").when(
+        F.col("total") < 50, "emptyInput"
     )
     result = result_rows(
         df, test,
@@ -139,8 +139,8 @@ def terminal_digit(sheet: Sheet) -> Outcome:
         .withColumn("chi", F.when(stripped, chi9).otherwise(chi10))
         .withColumn("p", F.when(stripped, chi2_sf(chi9, 8)).otherwise(chi2_sf(chi10, 9)))
     )
-    cause = F.when(F.col("n") < 50, "too-few-rows").when(
-        F.col("n_integer") / F.col("n") > 0.95, "data-type-mismatch"
+    cause = F.when(F.col("n") < 50, "tooFewRows").when(
+        F.col("n_integer") / F.col("n") > 0.95, "dataTypeMismatch"
     )
     result = result_rows(
         df, test, flag_from_p(F.col("p")), F.col("p"),
@@ -199,7 +199,7 @@ def decimal_precision(sheet: Sheet) -> Outcome:
         every, test, flag_from_p(F.col("p")), F.col("p"),
         {"n": n, "max_dp": F.col("max_dp"), "modal_dp": F.col("modal_dp"),
          "levels": F.col("n_levels"), "gaps": F.col("gaps")},
-        na_cause=F.when(n < 30, "too-few-rows"), na_observed=n, na_minimum=30.0,
+        na_cause=F.when(n < 30, "tooFewRows"), na_observed=n, na_minimum=30.0,
     )
     return Outcome(units, result)
 
@@ -336,7 +336,7 @@ def value_frequency_spike(sheet: Sheet) -> Outcome:
         every, test, flag, F.least("p_full", "p_digit"),
         {"n_tested": F.col("n_tested"), "n_spikes": F.col("n_spikes"),
          "keypad_pattern": F.when((F.col("keypad") >= 3) & (F.col("n_full") >= 3), 1).otherwise(0)},
-        na_cause=F.when(F.col("n_tested").isNull(), "data-type-mismatch"),
+        na_cause=F.when(F.col("n_tested").isNull(), "dataTypeMismatch"),
     )
     return Outcome(units, result)
 

@@ -385,7 +385,7 @@ def sequential_duplication(sheet: Sheet) -> Outcome:
         every, test, flag_from_p(p), p,
         {"sequences": F.coalesce("n_sequences", F.lit(0)), "top_height": F.col("top_height"),
          "top_offset": F.col("top_offset")},
-        na_cause=F.when(F.col("n_rows") < 4, "too-few-rows"), na_observed=F.col("n_rows"), na_minimum=4.0,
+        na_cause=F.when(F.col("n_rows") < 4, "tooFewRows"), na_observed=F.col("n_rows"), na_minimum=4.0,
     )
     return Outcome(units, result)
 

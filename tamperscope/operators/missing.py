@@ -150,10 +150,10 @@ def missing_data_pattern(sheet: Sheet) -> Outcome:
     )
     df = sheet_sizes(sheet.rows).join(sums, KEY).join(best, KEY, "left")
     rate = F.col("n_missing") / F.col("n_cells")
-    cause = F.when(F.col("n_cols") < 2, "too-few-columns").when(F.col("n_rows") < 10, "too-few-rows").when(
-        (F.col("n_missing") < 10) | (rate < 0.01) | (rate > 0.50), "missingness-out-of-band"
-    ).when(F.lit(sheet.settings.assay == "genomics"), "assay-not-applicable").when(
-        F.col("min_adj_p").isNull(), "missingness-out-of-band"
+    cause = F.when(F.col("n_cols") < 2, "tooFewColumns").when(F.col("n_rows") < 10, "tooFewRows").when(
+        (F.col("n_missing") < 10) | (rate < 0.01) | (rate > 0.50), "missingnessOutOfBand"
+    ).when(F.lit(sheet.settings.assay == "genomics"), "assayNotApplicable").when(
+        F.col("min_adj_p").isNull(), "missingnessOutOfBand"
     )
     result = result_rows(
         df, test, flag_from_p(F.col("min_adj_p")), F.col("min_adj_p"),

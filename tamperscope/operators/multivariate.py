@@ -128,8 +128,8 @@ def mahalanobis_rows(sheet: Sheet) -> Outcome:
     quiet = (F.col("n_outliers") == 0) | (F.col("n_exceed") / n < 0.02)
     cause, seen, _ = size_cause(3, 0)
     few = F.col("n_rows") < 3 * F.col("n_cols")
-    cause = F.when(F.lit(sheet.settings.assay == "genomics"), "assay-not-applicable").otherwise(
-        F.coalesce(cause, F.when(few, "too-few-rows"), F.when(F.col("p").isNull(), "too-few-rows"))
+    cause = F.when(F.lit(sheet.settings.assay == "genomics"), "assayNotApplicable").otherwise(
+        F.coalesce(cause, F.when(few, "tooFewRows"), F.when(F.col("p").isNull(), "tooFewRows"))
     )
     result = result_rows(
         df, test, F.when(quiet, "LOW").otherwise(flag_from_p(F.col("p"))), F.col("p"),
@@ -300,8 +300,8 @@ def blocked_mahalanobis(sheet: Sheet) -> Outcome:
     )
     df = sheet_sizes(sheet.rows).join(sums, "dataset_id", "left")
     cause, seen, need = size_cause(3, 60)
-    cause = F.when(F.lit(sheet.settings.data_type != "continuous"), "data-type-mismatch").otherwise(
-        cause.when(F.col("p").isNull(), "too-few-rows"))
+    cause = F.when(F.lit(sheet.settings.data_type != "continuous"), "dataTypeMismatch").otherwise(
+        cause.when(F.col("p").isNull(), "tooFewRows"))
     result = result_rows(
         df, test, flag_from_p(F.col("p")), F.col("p"),
         {"units": F.col("n_units"), "windows": F.col("n_windows") / 2},

@@ -116,7 +116,7 @@ def selective_noise(sheet: Sheet) -> Outcome:
     result = result_rows(
         df, test, flag, p,
         {"ratio": F.col("ratio"), "bartlett": F.col("bartlett"), "cells": F.col("n_cells"), "conditions": F.col("n_cond")},
-        na_cause=cause.when(p.isNull(), "too-few-rows"), na_observed=seen, na_minimum=need,
+        na_cause=cause.when(p.isNull(), "tooFewRows"), na_observed=seen, na_minimum=need,
     )
     lev = column_levene(sheet).withColumn("raw_p", special.f_tail("f", F.lit(1.0), (F.col("n") - 2).cast("double")))
     lev = bh_small(lev, KEY)
@@ -234,7 +234,7 @@ def regional_noise(sheet: Sheet) -> Outcome:
     result = result_rows(
         df, test, flag, F.col("scan_p"),
         {"scan": F.col("scan"), "windows": F.col("n_windows"), "rows": F.col("n_valid"), "column_p": F.col("col_p")},
-        na_cause=cause.when(F.col("scan").isNull(), "too-few-rows"), na_observed=seen, na_minimum=need,
+        na_cause=cause.when(F.col("scan").isNull(), "tooFewRows"), na_observed=seen, na_minimum=need,
         null_method=F.when(F.col("perm_p").isNotNull(), "row shuffle").otherwise("scaled chi-squared with Sidak"),
     )
     top = windows.join(best.select(*KEY, "col", "col_ratio", "raw_p", "adj_p"), [*KEY, "col"]).where(
@@ -449,7 +449,7 @@ def loess_cusum(sheet: Sheet) -> Outcome:
         {"ratio": F.col("ratio"), "max_cusum": F.col("max_cusum"), "changepoint_row": F.col("row_at"),
          "second_row": F.col("second_row"), "second_p": F.col("second_p"), "scan_p": F.col("scan_p"),
          "cusum_p": F.col("cusum_p"), "pair_p": F.col("pair_p")},
-        na_cause=cause.when(F.col("p").isNull(), "too-few-rows"), na_observed=seen, na_minimum=need,
+        na_cause=cause.when(F.col("p").isNull(), "tooFewRows"), na_observed=seen, na_minimum=need,
         null_method=F.when(F.col("shuffled"), "row shuffle").otherwise("scaled chi-squared and Brownian bridge"),
     )
     resid = loess_residuals(series, KEY)
@@ -514,8 +514,8 @@ def row_mean_runs(sheet: Sheet) -> Outcome:
     result = result_rows(
         df, test, stronger_flag(lift, flag_from_p(F.col("cond_p"))), F.least("cond_p", window_p),
         {"sequences": F.col("n_sequences"), "windows": F.col("n_units"), "window_p": window_p},
-        na_cause=F.when(F.col("labelled") == 0, "premise-void").otherwise(
-            cause.when(F.col("cond_p").isNull(), "too-few-rows")),
+        na_cause=F.when(F.col("labelled") == 0, "premiseVoid").otherwise(
+            cause.when(F.col("cond_p").isNull(), "tooFewRows")),
         na_observed=seen, na_minimum=need,
     )
     all_grp = F.lit("all")

@@ -115,7 +115,7 @@ def constant_offset(sheet: Sheet) -> Outcome:
         df, test, flag, F.col("p"),
         {"blocks": F.col("blocks"), "steps": F.col("steps"), "expected": F.col("expected"),
          "multiplicative": (F.col("kind") == "multiplicative").cast("int"), "pair_p": F.col("pair_p")},
-        na_cause=cause.when(F.col("p").isNull(), "empty-input"), na_observed=seen, na_minimum=need,
+        na_cause=cause.when(F.col("p").isNull(), "emptyInput"), na_observed=seen, na_minimum=need,
         null_method=F.when(F.col("n_draws").isNotNull(), "row shuffle and Poisson").otherwise("Poisson"),
     )
     hits = equal_steps(sheet).where("hit")

@@ -54,8 +54,8 @@ def scan_pairs(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def size_cause(min_cols: int, min_rows: int, rows: str = "n_rows") -> tuple[Column, Column, Column]:
-    cause = F.when(F.coalesce("n_cols", F.lit(0)) < min_cols, "too-few-columns").when(
-        F.coalesce(rows, F.lit(0)) < min_rows, "too-few-rows"
+    cause = F.when(F.coalesce("n_cols", F.lit(0)) < min_cols, "tooFewColumns").when(
+        F.coalesce(rows, F.lit(0)) < min_rows, "tooFewRows"
     )
     few_cols = F.coalesce("n_cols", F.lit(0)) < min_cols
     return (
@@ -136,7 +136,7 @@ def autocorrelation(sheet: Sheet) -> Outcome:
         every, test, flag, F.col("p"),
         {"pairs": F.col("n_pairs"), "mean_r1": F.col("mean_r1"),
          "higher_lag": F.col("higher").cast("int")},
-        na_cause=cause.when(F.col("p").isNull(), "empty-input"), na_observed=seen, na_minimum=need,
+        na_cause=cause.when(F.col("p").isNull(), "emptyInput"), na_observed=seen, na_minimum=need,
     )
     units = unit_rows(
         pairs, test, pair_label(), F.col("r1"), raw_p=F.col("raw_p"), adj_p=F.col("adj_p"),
@@ -236,7 +236,7 @@ def windowed_autocorrelation(sheet: Sheet) -> Outcome:
     cause, seen, need = size_cause(2, 30)
     result = result_rows(
         every, test, flag_from_p(F.col("p")), F.col("p"), {"windows": F.col("n_windows")},
-        na_cause=cause.when(F.col("p").isNull(), "empty-input"), na_observed=seen, na_minimum=need,
+        na_cause=cause.when(F.col("p").isNull(), "emptyInput"), na_observed=seen, na_minimum=need,
         null_method="random window",
     )
     return Outcome(units, result)
@@ -319,7 +319,7 @@ def runs_test(sheet: Sheet) -> Outcome:
         every, test, flag, F.least("pair_p", "scan_p", window_part),
         {"pairs": F.col("n_pairs"), "runs": F.col("runs"), "expected": F.col("expected"),
          "mean_z": F.col("mean_z"), "scan_p": F.col("scan_p"), "windows": F.col("n_units")},
-        na_cause=cause.when(F.col("pair_p").isNull(), "empty-input"), na_observed=seen, na_minimum=need,
+        na_cause=cause.when(F.col("pair_p").isNull(), "emptyInput"), na_observed=seen, na_minimum=need,
         null_method="normal with Sidak",
     )
     units = unit_rows(
@@ -413,7 +413,7 @@ def noise_scaling(sheet: Sheet) -> Outcome:
     result = result_rows(
         df, test, flag_from_p(F.col("p")), F.col("p"),
         {"slope": F.col("slope"), "slope_se": se, "points": F.col("n"), "decades": F.col("decades")},
-        na_cause=cause.when(narrow, "range-out-of-band"), na_observed=seen, na_minimum=need,
+        na_cause=cause.when(narrow, "rangeOutOfBand"), na_observed=seen, na_minimum=need,
     )
     units = unit_rows(df.where(F.col("n").isNotNull()), test, F.lit("sheet"), F.col("slope"), raw_p=F.col("p"))
     return Outcome(units, result)
@@ -520,12 +520,12 @@ def within_row_variance(sheet: Sheet) -> Outcome:
     flag = stronger_flag(flag_from_p(F.col("window_p")), flag_from_p(F.col("global_p")))
     quiet = (F.col("n_smooth") < 3) | (F.col("n_smooth") / F.col("n_valid") < 0.01)
     cause, seen, need = size_cause(3, 40)
-    cause = F.when(F.lit(sheet.settings.assay == "genomics"), "assay-not-applicable").otherwise(cause)
+    cause = F.when(F.lit(sheet.settings.assay == "genomics"), "assayNotApplicable").otherwise(cause)
     result = result_rows(
         df, test, F.when(quiet, "LOW").otherwise(flag), F.least("global_p", "window_p"),
         {"rows": F.col("n_valid"), "smooth": F.col("n_smooth"), "noisy": F.col("n_noisy"),
          "global_p": F.col("global_p"), "window_p": F.col("window_p")},
-        na_cause=F.coalesce(cause, F.when(F.col("n_valid").isNull(), "too-few-rows")),
+        na_cause=F.coalesce(cause, F.when(F.col("n_valid").isNull(), "tooFewRows")),
         na_observed=seen, na_minimum=need,
     )
     out = z.where(F.abs("z") > Z_LIMIT)
@@ -670,7 +670,7 @@ def inter_replicate_correlation(sheet: Sheet) -> Outcome:
         every, test, flag, p,
         {"pairs": F.col("n_pairs"), "mean_r": F.col("mean_r"), "icc": F.col("icc"),
          "suspicious": F.col("n_suspicious"), "scan_p": F.col("scan_p"), "windows": F.col("n_windows")},
-        na_cause=F.when(F.col("n_pairs").isNull(), "empty-input"), null_method="Fisher z with Sidak",
+        na_cause=F.when(F.col("n_pairs").isNull(), "emptyInput"), null_method="Fisher z with Sidak",
     )
     units = unit_rows(
         pairs, test, pair_label(), F.col("r"), raw_p=F.col("raw_p"), adj_p=F.col("adj_p"), cols=F.array("c1", "c2")
@@ -803,7 +803,7 @@ def excess_kurtosis(sheet: Sheet) -> Outcome:
         F.when(lift, F.least("p", "cond_p")).otherwise(F.col("p")),
         {"kurtosis": F.col("kurtosis"), "null_median": F.col("middle"), "deviation": F.col("deviation"),
          "pooled_n": F.col("pooled_n"), "ad_p": F.col("ad_p"), "kurtosis_p": F.col("kurt_p")},
-        na_cause=cause.when(F.col("p").isNull(), "empty-input"), na_observed=seen, na_minimum=need,
+        na_cause=cause.when(F.col("p").isNull(), "emptyInput"), na_observed=seen, na_minimum=need,
         null_method="Gaussian simulation",
     )
     units = unit_rows(

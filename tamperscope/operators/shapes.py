@@ -47,8 +47,8 @@ def _worst(df: DataFrame, test: str, sheet: Sheet, need: float, stats: dict, met
     )
     every = sheet_sizes(sheet.rows).join(sums, KEY, "left")
     unsuitable = {"ordinal", "count"}
-    cause = F.when(F.lit(sheet.settings.data_type in unsuitable), "data-type-mismatch").when(
-        F.coalesce("n_tested", F.lit(0)) == 0, F.coalesce("skip", F.lit("too-few-observations"))
+    cause = F.when(F.lit(sheet.settings.data_type in unsuitable), "dataTypeMismatch").when(
+        F.coalesce("n_tested", F.lit(0)) == 0, F.coalesce("skip", F.lit("tooFewObservations"))
     )
     flag = F.when(F.col("flag_p").isNotNull(), flag_from_p(F.col("flag_p"))).otherwise("LOW")
     return result_rows(
@@ -153,7 +153,7 @@ def entropy(sheet: Sheet) -> Outcome:
     out = bh_small(out, KEY).withColumn("ratio", F.when(F.col("expected") > 0, F.col("entropy") / F.col("expected")))
     out = out.withColumn("flag", F.when(F.col("raw_p").isNull(), "N/A").when(
         F.abs(F.col("ratio") - 1) >= 0.15, flag_from_p(F.col("adj_p"))).otherwise("LOW"))
-    out = out.withColumn("skip", F.when(F.col("raw_p").isNull(), "too-few-observations"))
+    out = out.withColumn("skip", F.when(F.col("raw_p").isNull(), "tooFewObservations"))
     units = unit_rows(
         out, test, F.concat(F.lit("column "), F.col("col") + 1), F.col("ratio"), raw_p=F.col("raw_p"),
         adj_p=F.col("adj_p"), cols=F.array("col"),
@@ -244,8 +244,8 @@ def column_gof(sheet: Sheet) -> Outcome:
     seed = sheet.settings.seed
     every = column_moments(sheet).join(modal_precision(sheet), COL)
     flat = (F.col("kurt") < -1.2) | ((F.col("kurt") < -0.8) & (F.col("n") >= 100))
-    skip = F.when(F.col("n") < 30, "too-few-observations").when(F.col("n_distinct") < 10, "too-few-distinct").when(
-        (F.abs("skew") > 1.5) | flat, "shape-not-covered"
+    skip = F.when(F.col("n") < 30, "tooFewObservations").when(F.col("n_distinct") < 10, "tooFewDistinct").when(
+        (F.abs("skew") > 1.5) | flat, "shapeNotCovered"
     )
     every = every.withColumn("skip", skip).join(column_ad(sheet).select(*COL, "a2"), COL, "left")
 
@@ -361,8 +361,8 @@ def modality(sheet: Sheet) -> Outcome:
     test = "Modality Test"
     seed = sheet.settings.seed
     flat = (F.col("kurt") < -1.2) | ((F.col("kurt") < -0.8) & (F.col("n") >= 100))
-    skip = F.when(F.col("n") < 50, "too-few-observations").when(F.col("n_distinct") < 15, "too-few-distinct").when(
-        flat, "shape-not-covered"
+    skip = F.when(F.col("n") < 50, "tooFewObservations").when(F.col("n_distinct") < 15, "tooFewDistinct").when(
+        flat, "shapeNotCovered"
     )
     every = ecdf_points(sheet).withColumn("skip", skip)
 

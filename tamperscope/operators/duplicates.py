@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tamperscope.functions import special
 from tamperscope.functions.adjust import bh_small
@@ -61,7 +62,7 @@ def value_collisions(sheet: Sheet) -> DataFrame:
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _fitted_match(values: pd.Series, counts: pd.Series) -> pd.Series:
     """Match probability under the better of a Poisson and a negative binomial."""
     return pd.Series([_match_probability(v, c) for v, c in zip(values, counts, strict=True)], dtype=float)

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tamperscope.functions import special
 from tamperscope.functions.adjust import bh_large, bh_small
@@ -47,7 +48,10 @@ def _moments(rows: DataFrame) -> DataFrame:
     )
 
 
-@F.pandas_udf("struct<mu:array<double>,inv:array<double>,cut:double>")
+@F.pandas_udf(T.StructType([
+    T.StructField("mu", T.ArrayType(T.DoubleType())), T.StructField("inv", T.ArrayType(T.DoubleType())),
+    T.StructField("cut", T.DoubleType()),
+]))
 def _inverse(i: pd.Series, j: pd.Series, c: pd.Series, m: pd.Series) -> pd.DataFrame:
     """Means, inverse covariance and the 1% point of chi-squared with p df."""
     mus, invs, cuts = [], [], []

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
@@ -122,11 +122,16 @@ class Sheet:
 
 @dataclass(frozen=True)
 class Outcome:
-    """A test's evidence (``units``) and its verdict (``result``)."""
+    """A test's verdict (``result``) and its evidence (``units``), which is
+    only planned when asked for."""
 
-    units: DataFrame
+    evidence: Callable[[], DataFrame]
     result: DataFrame
 
+    @property
+    def units(self) -> DataFrame:
+        return self.evidence()
+
 
 def result_rows(
     df: DataFrame,
@@ -193,6 +198,3 @@ def unit_rows(
         pick(cols, "array<int>", "cols"),
     )
 
-
-def unit_cols(*extra: str) -> Sequence[str]:
-    return [*KEY, *extra]

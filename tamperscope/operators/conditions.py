@@ -19,6 +19,7 @@ from tamperscope.functions.stats import (
 from tamperscope.model import ALL, KEY, Outcome, Sheet, result_rows, unit_rows
 from tamperscope.operators.ordered import dense_position, lagged, ordinal, prefix_sum
 from tamperscope.operators.resample import generator
+from tamperscope.session import materialize
 
 PAIR = ["dataset_id", "a", "b"]
 
@@ -68,10 +69,11 @@ def matched_pairs(profiles: DataFrame, column: str) -> DataFrame:
 
 def pair_spearman(profiles: DataFrame, column: str, minimum: int) -> DataFrame:
     """Spearman correlation of a profile column for every condition pair."""
-    pairs = matched_pairs(profiles, column)
+    pairs = materialize(matched_pairs(profiles, column), "matched")
     big = pairs.groupBy(*PAIR).agg(F.count("x").alias("n")).where(F.col("n") >= minimum)
     pairs = pairs.join(big, PAIR)
-    ranked = average_rank(average_rank(pairs, PAIR, "x", "rx"), PAIR, "y", "ry")
+    ranked = average_rank(pairs, PAIR, "x", "rx")
+    ranked = average_rank(materialize(ranked, "ranked"), PAIR, "y", "ry")
     return ranked.groupBy(*PAIR).agg(
         F.max("n").alias("n"), F.coalesce(F.nanvl(F.corr("rx", "ry"), F.lit(0.0)), F.lit(0.0)).alias("rho")
     )
@@ -79,7 +81,7 @@ def pair_spearman(profiles: DataFrame, column: str, minimum: int) -> DataFrame:
 
 def rank_correlation(sheet: Sheet) -> Outcome:
     test = "Cross-Condition Rank Correlation"
-    pairs = pair_spearman(condition_profiles(sheet), "y", 5)
+    pairs = materialize(pair_spearman(condition_profiles(sheet), "y", 5), "spearman")
     held = F.greatest(F.least(F.col("rho"), F.lit(0.9999)), F.lit(-0.9999))
     pairs = pairs.withColumn("fz", fisher_z(held))
     sums = pairs.groupBy("dataset_id").agg(
@@ -103,11 +105,13 @@ def rank_correlation(sheet: Sheet) -> Outcome:
         {"pairs": F.col("k"), "mean_rho": F.col("mean_rho"), "suspicious": F.col("n_suspicious")},
         na_cause=cause, na_observed=F.coalesce("k", F.lit(0)), na_minimum=F.when(F.col("k").isNull(), 2).otherwise(4),
     )
-    units = unit_rows(
-        pairs.withColumn("grp", F.lit(ALL)), test, F.concat_ws(" vs ", "a", "b"), F.col("rho"),
-        raw_p=F.col("raw_p"), adj_p=F.col("adj_p"),
+    return Outcome(
+        lambda: unit_rows(
+            pairs.withColumn("grp", F.lit(ALL)), test, F.concat_ws(" vs ", "a", "b"), F.col("rho"),
+            raw_p=F.col("raw_p"), adj_p=F.col("adj_p"),
+        ),
+        result,
     )
-    return Outcome(units, result)
 
 
 # -------------------------------------------- F04 residual spikes
@@ -138,7 +142,10 @@ def spike_profiles(sheet: Sheet) -> DataFrame:
 
 def spike_overlaps(sheet: Sheet) -> DataFrame:
     """How many of the noisiest rows two conditions share."""
-    profiles = spike_profiles(sheet)
+    return _overlaps(spike_profiles(sheet))
+
+
+def _overlaps(profiles: DataFrame) -> DataFrame:
     top = profiles.where(F.col("rank") < F.col("top_k"))
     shared = matched_pairs(top, "z").groupBy(*PAIR).agg(F.count("x").alias("overlap"))
     sizes = profiles.groupBy("dataset_id").agg(
@@ -158,7 +165,8 @@ def residual_spike(sheet: Sheet) -> Outcome:
     """The null depends only on sizes: random top sets of the same size."""
     test = "Residual Spike Correlation"
     seed = sheet.settings.seed
-    overlaps = spike_overlaps(sheet)
+    profiles = materialize(spike_profiles(sheet), "spike-profiles")
+    overlaps = materialize(_overlaps(profiles), "overlaps")
     best = overlaps.groupBy("dataset_id", "n_rows", "top_k", "n_cond").agg(F.max("overlap").alias("overlap"))
 
     @F.pandas_udf("double")
@@ -193,14 +201,16 @@ def residual_spike(sheet: Sheet) -> Outcome:
         {"overlap": F.col("overlap"), "top_k": F.col("top_k"), "rows": F.col("n_used"), "conditions": F.col("n_cond")},
         na_cause=cause, na_observed=F.col("n_rows"), na_minimum=10.0, null_method="random subsets",
     )
-    rho = pair_spearman(spike_profiles(sheet).where(F.col("z").isNotNull()), "z", 10)
-    units = unit_rows(
-        overlaps.join(rho.select(*PAIR, "rho"), PAIR, "left").withColumn("grp", F.lit(ALL)), test,
-        F.concat_ws(" vs ", "a", "b"), F.col("overlap"),
-    ).unionByName(unit_rows(
-        rho.withColumn("grp", F.lit(ALL)), test, F.concat(F.lit("rho "), F.concat_ws(" vs ", "a", "b")), F.col("rho"),
-    ))
-    return Outcome(units, result)
+    rho = pair_spearman(profiles.where(F.col("z").isNotNull()), "z", 10)
+    return Outcome(
+        lambda: unit_rows(
+            overlaps.join(rho.select(*PAIR, "rho"), PAIR, "left").withColumn("grp", F.lit(ALL)), test,
+            F.concat_ws(" vs ", "a", "b"), F.col("overlap"),
+        ).unionByName(unit_rows(
+            rho.withColumn("grp", F.lit(ALL)), test, F.concat(F.lit("rho "), F.concat_ws(" vs ", "a", "b")), F.col("rho"),
+        )),
+        result,
+    )
 
 
 # ------------------------------------------------------- F27 baseline balance
@@ -233,6 +243,7 @@ def baseline_balance(sheet: Sheet) -> Outcome:
     features = balance_features(sheet).withColumn(
         "p", special.f_tail("f", (F.col("k") - 1).cast("double"), (F.col("n") - F.col("k")).cast("double"))
     ).withColumn("grp", F.lit(ALL)).withColumn("feature", F.col("feature").cast("string"))
+    features = materialize(features, "features")
     sizes = features.groupBy("dataset_id").agg(
         F.count("p").alias("n_features"), F.count_if(F.col("p") < 0.05).alias("n_sig"),
         F.count_if(F.col("p") > 0.95).alias("n_excess"),
@@ -262,8 +273,7 @@ def baseline_balance(sheet: Sheet) -> Outcome:
         na_cause=cause, na_observed=F.when(F.col("conditions") < 2, F.col("conditions")).otherwise(few),
         na_minimum=F.when(F.col("conditions") < 2, 2).otherwise(5),
     )
-    units = unit_rows(features, test, F.concat(F.lit("feature "), "feature"), F.col("f"), raw_p=F.col("p"))
-    return Outcome(units, result)
+    return Outcome(lambda: unit_rows(features, test, F.concat(F.lit("feature "), "feature"), F.col("f"), raw_p=F.col("p")), result)
 
 
 # -------------------------------------------- F28 cross-condition consistency
@@ -392,8 +402,8 @@ def permuted_distances(sheet: Sheet, original: Sheet | None = None) -> DataFrame
     per value bin, residual sums, regression sums); a shuffle then only adds up
     groups. What one task holds is bounded by 2048 groups of 512 bins.
     """
-    groups = _row_groups(sheet)
-    bins = _binned(sheet)
+    groups = materialize(_row_groups(sheet), "row-groups")
+    bins = materialize(_binned(sheet), "bins")
     c = cells(sheet.rows, "cond").where(F.col("cond").isNotNull()).select(*COND, "row_idx", "x")
     value = c.join(bins, ["dataset_id", "x"])
     centre = value.groupBy("dataset_id", "bin").agg(F.avg("x").alias("v")).groupBy("dataset_id").agg(
@@ -574,7 +584,7 @@ def condition_consistency(sheet: Sheet, original: Sheet | None = None) -> Outcom
         both_ways = F.when(own, F.lit("different" in ways)).otherwise(both_ways)
         threshold = F.when(own, F.lit(t).cast("double")).otherwise(threshold)
     units = joined.withColumn("raw_p", p).withColumn("middle", middle).withColumn("stage", stage).drop("ds")
-    units = bh_small(units, ["dataset_id", "stage"])
+    units = materialize(bh_small(units, ["dataset_id", "stage"]), "properties")
     similar = d <= F.col("middle")
     limit = F.when(F.col("property") == "P5", F.col("floor5")).otherwise(threshold)
     gate = F.when(similar, F.when(F.col("middle") > 0, d / F.col("middle") <= 0.5).otherwise(d == 0)).otherwise(d >= limit)
@@ -591,10 +601,12 @@ def condition_consistency(sheet: Sheet, original: Sheet | None = None) -> Outcom
         df, test, flag_from_p(F.col("p")), F.col("p"), {"units": F.col("n_units"), "conditions": F.col("conditions")},
         na_cause=cause, na_observed=F.col("conditions"), na_minimum=2.0, null_method="group shuffle",
     )
-    out = unit_rows(
-        units, test, F.concat_ws(" ", "property", F.concat_ws(" vs ", "a", "b"), "direction"), d,
-        raw_p=F.col("raw_p"), adj_p=F.col("adj_p"),
+    return Outcome(
+        lambda: unit_rows(
+            units, test, F.concat_ws(" ", "property", F.concat_ws(" vs ", "a", "b"), "direction"), d,
+            raw_p=F.col("raw_p"), adj_p=F.col("adj_p"),
+        ),
+        result,
     )
-    return Outcome(out, result)
 
 

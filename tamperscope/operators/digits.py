@@ -24,6 +24,7 @@ from tamperscope.functions.values import (
 from tamperscope.model import KEY, Outcome, Sheet, result_rows, unit_rows
 from tamperscope.operators.ordered import rank_value, with_halo
 from tamperscope.operators.resample import multinomial_mad_p
+from tamperscope.session import materialize
 
 FIRST_DIGIT = np.log10(1 + 1 / np.arange(1, 10))
 SECOND_DIGIT = np.array(
@@ -115,7 +116,7 @@ def _benford(sheet: Sheet, test: str, position: int, probs: np.ndarray, min_span
         na_cause=cause, na_observed=F.col("n_nonzero"), na_minimum=100.0,
         null_method="multinomial",
     )
-    return Outcome(_digit_units(df, test, digits, probs.tolist()), result)
+    return Outcome(lambda: _digit_units(df, test, digits, probs.tolist()), result)
 
 
 def benford_first(sheet: Sheet) -> Outcome:
@@ -147,7 +148,7 @@ def terminal_digit(sheet: Sheet) -> Outcome:
         {"n": F.col("n"), "chi2": F.col("chi"), "df": F.when(F.col("stripped"), 8).otherwise(9)},
         na_cause=cause, na_observed=F.col("n"), na_minimum=50.0,
     )
-    return Outcome(_digit_units(df, test, list(range(10)), [0.1] * 10), result)
+    return Outcome(lambda: _digit_units(df, test, list(range(10)), [0.1] * 10), result)
 
 
 def precision_levels(sheet: Sheet) -> DataFrame:
@@ -183,10 +184,6 @@ def decimal_precision(sheet: Sheet) -> Outcome:
         "raw_p", F.when(tested, special.binomial_lower("observed", "total", "expected_share"))
     )
     levels = bh_small(levels, KEY)
-    units = unit_rows(
-        levels, test, F.concat(F.col("dp"), F.lit(" places")), F.col("observed"),
-        raw_p=F.col("raw_p"), adj_p=F.col("adj_p"),
-    )
     sums = levels.groupBy(*KEY).agg(
         F.max("total").alias("total"), F.max("max_dp").alias("max_dp"),
         F.max("n_levels").alias("n_levels"), F.coalesce(F.min("adj_p"), F.lit(1.0)).alias("p"),
@@ -201,7 +198,13 @@ def decimal_precision(sheet: Sheet) -> Outcome:
          "levels": F.col("n_levels"), "gaps": F.col("gaps")},
         na_cause=F.when(n < 30, "tooFewRows"), na_observed=n, na_minimum=30.0,
     )
-    return Outcome(units, result)
+    return Outcome(
+        lambda: unit_rows(
+            levels, test, F.concat(F.col("dp"), F.lit(" places")), F.col("observed"),
+            raw_p=F.col("raw_p"), adj_p=F.col("adj_p"),
+        ),
+        result,
+    )
 
 
 # ---------------------------------------------------------------- spikes
@@ -249,7 +252,7 @@ def spike_neighbourhoods(sheet: Sheet) -> DataFrame:
     fractional bucket is scanned at its distinct keys, in blocks of the key
     range, so no task holds a whole bucket.
     """
-    freq = spike_frequencies(sheet)
+    freq = materialize(spike_frequencies(sheet), "frequencies")
     sizes = sheet_sizes(sheet.rows).withColumn("n_cells", F.col("n_rows") * F.col("n_cols"))
     counts = cells(sheet.rows).groupBy(*KEY).agg(F.count("x").alias("n_values_all"))
     buckets = freq.groupBy(*KEY, "pass", "len").agg(
@@ -306,6 +309,7 @@ def spike_neighbourhoods(sheet: Sheet) -> DataFrame:
 def value_frequency_spike(sheet: Sheet) -> Outcome:
     test = "Value-Frequency Spike"
     tested = spike_neighbourhoods(sheet).withColumn("raw_p", _poisson_p(F.col("obs"), F.col("smoothed")))
+    tested = materialize(tested, "spikes")
     adjusted = bh_large(tested, [*KEY, "deep"])
     effect = F.when(F.col("pass") == "full", F.col("ratio") >= 2.0).otherwise(
         (F.col("ratio") >= 2.0) | (F.col("smoothed") == 0)
@@ -314,12 +318,7 @@ def value_frequency_spike(sheet: Sheet) -> Outcome:
         (F.col("top") / F.col("obs") >= 0.5) & (F.col("n_values") <= 5)
     )
     spike = F.coalesce((F.col("adj_p") < ALPHA_MODERATE) & effect & near_dup, F.lit(False))
-    marked = adjusted.withColumn("spike", spike)
-    units = unit_rows(
-        marked.where("spike"), test,
-        F.concat_ws(" ", "pass", F.lpad(F.col("key").cast("string"), F.greatest("len", F.lit(1)), "0")),
-        F.col("ratio"), raw_p=F.col("raw_p"), adj_p=F.col("adj_p"),
-    )
+    marked = materialize(adjusted.withColumn("spike", spike), "spikes-adjusted")
     best = {
         kind: F.coalesce(F.min(F.when(F.col("spike") & (F.col("pass") == kind), F.col("adj_p"))), F.lit(1.0))
         for kind in ("full", "digit")
@@ -338,7 +337,14 @@ def value_frequency_spike(sheet: Sheet) -> Outcome:
          "keypad_pattern": F.when((F.col("keypad") >= 3) & (F.col("n_full") >= 3), 1).otherwise(0)},
         na_cause=F.when(F.col("n_tested").isNull(), "dataTypeMismatch"),
     )
-    return Outcome(units, result)
+    return Outcome(
+        lambda: unit_rows(
+            marked.where("spike"), test,
+            F.concat_ws(" ", "pass", F.lpad(F.col("key").cast("string"), F.greatest("len", F.lit(1)), "0")),
+            F.col("ratio"), raw_p=F.col("raw_p"), adj_p=F.col("adj_p"),
+        ),
+        result,
+    )
 
 
 __all__ = [

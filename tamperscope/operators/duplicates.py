@@ -20,6 +20,7 @@ from tamperscope.functions.tails import lgamma
 from tamperscope.functions.values import decimal_places, plain_decimal, value_key
 from tamperscope.model import KEY, Outcome, Sheet, result_rows, unit_rows
 from tamperscope.operators.ordered import islands, ordinal, with_halo
+from tamperscope.session import materialize
 
 MAX_OFFSET = 200
 FREE_OFFSET_ROWS = 500       # up to this many rows every offset is scanned
@@ -254,7 +255,7 @@ def offset_runs(sheet: Sheet, by_column: bool) -> DataFrame:
             tuple(pdf[k].iloc[0] for k in KEY), by_column,
         )
 
-    pieces = spread.groupBy(*KEY, "_blk").applyInPandas(scan, schema)
+    pieces = materialize(spread.groupBy(*KEY, "_blk").applyInPandas(scan, schema), "offset-runs")
     unit = [*KEY, "d", "cols"]
     across = Window.partitionBy(*unit).orderBy("lo")
     open_pieces = pieces.where("starts_open or ends_open").withColumn(
@@ -371,11 +372,8 @@ def sequential_duplication(sheet: Sheet) -> Outcome:
     hhi = column_concentration(sheet).select(*KEY, "col", "hhi")
     runs = sequential_runs(sheet).join(hhi, [*KEY, "col"])
     chance = F.pow("hhi", F.col("height")) * opportunities(F.col("n_rows"), F.col("height"), F.col("reach"))
-    kept = not_dominated(runs.withColumn("p", F.least(F.lit(1.0), chance)), [*KEY, "col"])
-    units = unit_rows(
-        kept, test, F.concat(F.lit("offset "), F.col("d")), F.col("height"),
-        raw_p=F.col("p"), row_lo=F.col("lo"), row_hi=F.col("hi"), cols=F.col("cols"),
-    )
+    runs = materialize(runs.withColumn("p", F.least(F.lit(1.0), chance)), "sequences")
+    kept = materialize(not_dominated(runs, [*KEY, "col"]), "sequences-kept")
     sums = kept.groupBy(*KEY).agg(
         F.min("p").alias("p"), F.count(F.lit(1)).alias("n_sequences"),
         F.max_by("height", -F.col("p")).alias("top_height"), F.max_by("d", -F.col("p")).alias("top_offset"),
@@ -388,7 +386,13 @@ def sequential_duplication(sheet: Sheet) -> Outcome:
          "top_offset": F.col("top_offset")},
         na_cause=F.when(F.col("n_rows") < 4, "tooFewRows"), na_observed=F.col("n_rows"), na_minimum=4.0,
     )
-    return Outcome(units, result)
+    return Outcome(
+        lambda: unit_rows(
+            kept, test, F.concat(F.lit("offset "), F.col("d")), F.col("height"),
+            raw_p=F.col("p"), row_lo=F.col("lo"), row_hi=F.col("hi"), cols=F.col("cols"),
+        ),
+        result,
+    )
 
 
 # ----------------------------------------------------------------- block copies
@@ -416,7 +420,7 @@ def full_row_blocks(sheet: Sheet) -> DataFrame:
     classes = grams.groupBy(*KEY, "h", "_g").agg(
         F.min("row_idx").alias("first_row"), F.count(F.lit(1)).alias("n_copies"), F.max("n_rows").alias("n_rows")
     ).where("n_copies >= 2")
-    placed = grams.select(*KEY, "row_idx", "h", "_g").join(classes, [*KEY, "h", "_g"])
+    placed = materialize(grams.select(*KEY, "row_idx", "h", "_g").join(classes, [*KEY, "h", "_g"]), "grams")
     covered = placed.select(
         *KEY, F.col("h").alias("h_over"), F.explode(F.sequence("row_idx", F.col("row_idx") + F.col("h") - 1)).alias("r")
     ).groupBy(*KEY, "r").agg(F.max("h_over").alias("tallest"))
@@ -477,7 +481,7 @@ def column_overlap(sheet: Sheet) -> DataFrame:
 
 def block_copies(sheet: Sheet) -> DataFrame:
     """All three kinds of copied block with the chance of seeing each."""
-    rows_blocks = full_row_blocks(sheet).unionByName(partial_blocks(sheet))
+    rows_blocks = materialize(full_row_blocks(sheet).unionByName(partial_blocks(sheet)), "blocks")
     rows_blocks = not_dominated(rows_blocks, KEY)
     hhi = column_concentration(sheet).groupBy(*KEY).agg(
         F.map_from_entries(F.collect_list(F.struct("col", "hhi"))).alias("hhis")
@@ -511,7 +515,7 @@ def partial_row_groups(sheet: Sheet) -> DataFrame:
     is ever formed. Rows with more than ten surviving cells are expanded into
     four-column subsets only.
     """
-    conc = column_concentration(sheet)
+    conc = materialize(column_concentration(sheet), "concentration")
     usable = conc.where(F.col("top") <= HOT_SHARE * F.col("n_rows")).select(*KEY, "col", "hhi")
     c = cells(sheet.rows).join(usable, [*KEY, "col"]).select(
         *KEY, "row_idx", "col", "hhi", value_key(F.col("x")).alias("key")
@@ -577,7 +581,7 @@ def partial_rows(sheet: Sheet) -> DataFrame:
 def exact_duplicates(sheet: Sheet) -> Outcome:
     test = "Exact Duplicate Detection"
     genomics = F.lit(sheet.settings.assay == "genomics")
-    blocks = block_copies(sheet)
+    blocks = materialize(block_copies(sheet), "block-copies")
     block_p = blocks.groupBy(*KEY).agg(F.min("p").alias("block_p"), F.count(F.lit(1)).alias("n_blocks"))
     base = (
         _collision_p(sheet).join(_row_p(sheet), KEY, "left").join(_within_row_p(sheet), KEY, "left")
@@ -586,19 +590,8 @@ def exact_duplicates(sheet: Sheet) -> Outcome:
         .fillna(1.0, ["collision_p", "row_p", "block_p", "partial_p"])
         .fillna(0, ["extra_rows", "wr_matches", "n_blocks", "n_pairs"])
     )
+    base = materialize(base, "duplicates")
     names = ["collision_p", "row_p", "within_p", "block_p", "partial_p"]
-    sub = base.select(*KEY, F.explode(F.array(
-        *[F.struct(F.lit(n[:-2]).alias("unit"), F.col(n).alias("raw_p")) for n in names])).alias("u")
-    ).select(*KEY, "u.*")
-    adjusted = bh_small(sub, KEY)
-    units = unit_rows(adjusted, test, F.col("unit"), F.lit(None), raw_p=F.col("raw_p"), adj_p=F.col("adj_p"))
-    units = units.unionByName(unit_rows(
-        blocks, test, F.concat_ws(" ", F.lit("block"), "kind"), F.col("height"), raw_p=F.col("p"),
-        row_lo=F.col("lo"), row_hi=F.col("hi"), cols=F.col("cols"),
-    )).unionByName(unit_rows(
-        duplicate_rows(sheet), test, F.lit("identical rows"), F.col("n_copies"),
-        row_lo=F.col("first_row"), row_hi=F.col("first_row"),
-    ))
     # The smallest BH-adjusted p of the five sub-tests, from the sorted array.
     ordered = F.array_sort(F.array(*[F.col(n) for n in names]))
     combined = let(ordered, lambda a: F.array_min(F.transform(a, lambda p, i: p * 5 / (i + 1))))
@@ -610,5 +603,21 @@ def exact_duplicates(sheet: Sheet) -> Outcome:
          "within_row_expected": F.col("wr_expected"), "blocks": F.col("n_blocks"),
          "partial_row_pairs": F.col("n_pairs"), **{n: F.col(n) for n in names}},
     )
+
+    def units() -> DataFrame:
+        parts = base.select(*KEY, F.explode(F.array(
+            *[F.struct(F.lit(n[:-2]).alias("unit"), F.col(n).alias("raw_p")) for n in names])).alias("u")
+        ).select(*KEY, "u.*")
+        out = unit_rows(
+            bh_small(parts, KEY), test, F.col("unit"), F.lit(None), raw_p=F.col("raw_p"), adj_p=F.col("adj_p"))
+        out = out.unionByName(unit_rows(
+            blocks, test, F.concat_ws(" ", F.lit("block"), "kind"), F.col("height"), raw_p=F.col("p"),
+            row_lo=F.col("lo"), row_hi=F.col("hi"), cols=F.col("cols"),
+        ))
+        return out.unionByName(unit_rows(
+            duplicate_rows(sheet), test, F.lit("identical rows"), F.col("n_copies"),
+            row_lo=F.col("first_row"), row_hi=F.col("first_row"),
+        ))
+
     return Outcome(units, result)
 

@@ -11,6 +11,7 @@ from tamperscope.functions.rows import sheet_sizes
 from tamperscope.functions.stats import flag_from_p
 from tamperscope.model import KEY, Outcome, Sheet, result_rows, unit_rows
 from tamperscope.operators.ordered import islands
+from tamperscope.session import materialize
 
 MAX_PAIR_COLUMNS = 50
 
@@ -131,7 +132,7 @@ def missing_data_pattern(sheet: Sheet) -> Outcome:
     pairs = pair_gaps(sheet).withColumn("raw_p", special.fisher_exact(
         *[F.col(c).cast("double") for c in ("both", "only1", "only2", "neither")]))
     conds = _condition_tests(sheet)
-    blocks = _largest_blocks(missing_blocks(sheet))
+    blocks = _largest_blocks(materialize(missing_blocks(sheet), "gap-blocks"))
     label = F.concat_ws("-", F.col("c1") + 1, F.col("c2") + 1)
     null = F.lit(None).cast("bigint")
     family = pairs.select(
@@ -144,6 +145,7 @@ def missing_data_pattern(sheet: Sheet) -> Outcome:
         *KEY, F.concat_ws(" ", F.lit("block"), label).alias("unit"), F.col("length").cast("double").alias("stat"),
         "raw_p", "lo", "hi", F.sequence("c1", "c2").alias("cols"),
     ))
+    family = materialize(family, "gaps")
     best = family_minimum(family, KEY)
     sums = missing_rates(sheet).groupBy(*KEY).agg(
         F.sum("n_missing").alias("n_missing"), F.sum("n_rows").alias("n_cells")
@@ -160,10 +162,12 @@ def missing_data_pattern(sheet: Sheet) -> Outcome:
         {"missing": F.col("n_missing"), "rate": rate, "patterns": F.col("n_units")},
         na_cause=cause, na_observed=F.col("n_missing"), na_minimum=10.0,
     )
-    units = unit_rows(
-        bh_large(family, KEY), test, F.col("unit"), F.col("stat"), raw_p=F.col("raw_p"), adj_p=F.col("adj_p"),
-        row_lo=F.col("lo"), row_hi=F.col("hi"), cols=F.col("cols"),
+    return Outcome(
+        lambda: unit_rows(
+            bh_large(family, KEY), test, F.col("unit"), F.col("stat"), raw_p=F.col("raw_p"), adj_p=F.col("adj_p"),
+            row_lo=F.col("lo"), row_hi=F.col("hi"), cols=F.col("cols"),
+        ),
+        result,
     )
-    return Outcome(units, result)
 
 

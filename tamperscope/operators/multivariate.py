@@ -19,6 +19,7 @@ from tamperscope.model import ALL, KEY, Outcome, Sheet, result_rows, unit_rows
 from tamperscope.operators.ordered import dense_position
 from tamperscope.operators.replicates import size_cause
 from tamperscope.operators.resample import MAX_UNIT_ROWS, gather, generator, permutation_exceedances
+from tamperscope.session import materialize
 
 ROW_ALPHA = 0.001
 
@@ -110,7 +111,7 @@ def row_distances(sheet: Sheet) -> DataFrame:
 
 def mahalanobis_rows(sheet: Sheet) -> Outcome:
     test = "Mahalanobis Row Outlier"
-    dist = row_distances(sheet)
+    dist = materialize(row_distances(sheet), "distances")
     counts = dist.groupBy(*KEY).agg(
         F.max("n").alias("n_complete"), F.count_if(F.col("d2") > F.col("cut")).alias("n_exceed"),
         F.max(F.col("logged").cast("int")).alias("logged"),
@@ -141,11 +142,13 @@ def mahalanobis_rows(sheet: Sheet) -> Outcome:
         na_cause=cause, na_observed=F.when(F.col("n_cols") < 3, seen).otherwise(F.col("n_rows")),
         na_minimum=F.when(F.col("n_cols") < 3, F.lit(3)).otherwise(3 * F.col("n_cols")),
     )
-    units = unit_rows(
-        out, test, F.lit("row"), F.col("d2"), raw_p=F.col("raw_p"), adj_p=F.col("adj_p"),
-        row_lo=F.col("row_idx"), row_hi=F.col("row_idx"),
+    return Outcome(
+        lambda: unit_rows(
+            out, test, F.lit("row"), F.col("d2"), raw_p=F.col("raw_p"), adj_p=F.col("adj_p"),
+            row_lo=F.col("row_idx"), row_hi=F.col("row_idx"),
+        ),
+        result,
     )
-    return Outcome(units, result)
 
 
 # ------------------------------------------------------- F25 blocks of rows
@@ -279,11 +282,11 @@ def block_windows(sheet: Sheet) -> DataFrame:
 def blocked_mahalanobis(sheet: Sheet) -> Outcome:
     test = "Blocked Mahalanobis"
     seed = sheet.settings.seed
-    windows = block_windows(sheet)
+    windows = materialize(block_windows(sheet), "block-windows")
     best = windows.groupBy(*KEY).agg(
         F.max("n").alias("n"), F.max("tsq").alias("tsq"), F.max("lambda").alias("lambda"), F.count("w").alias("n_windows")
     )
-    rows = _conditions(sheet)
+    rows = materialize(_conditions(sheet), "block-rows")
     small = gather(rows, KEY, "pos", ["vals"]).drop("n").join(best.select(*KEY, "n_windows", "tsq", "lambda"), KEY)
     null = permutation_exceedances(
         small.withColumn("obs", F.array("tsq", "lambda")), KEY, test=test, seed=seed,
@@ -297,7 +300,7 @@ def blocked_mahalanobis(sheet: Sheet) -> Outcome:
         F.struct(F.lit("covariance").alias("what"), F.col("lambda").alias("stat"),
                  F.coalesce((F.col("exceed")[1] + 1) / (F.col("n_draws") + 1), F.col("p_lambda")).alias("raw_p")),
     )).alias("u")).select(*KEY, "n_windows", "n_draws", "u.*")
-    family = bh_small(long_, ["dataset_id"])
+    family = materialize(bh_small(long_, ["dataset_id"]), "block-family")
     sums = family.groupBy("dataset_id").agg(
         F.min("adj_p").alias("p"), F.count("raw_p").alias("n_units"), F.sum("n_windows").alias("n_windows"),
         F.min("n_draws").alias("n_draws"),
@@ -319,11 +322,13 @@ def blocked_mahalanobis(sheet: Sheet) -> Outcome:
     )).alias("u")).select(*KEY, "w", "row_lo", "row_hi", "u.*").where("stat >= 0.95 * top and stat > 0")
     both = both.join(family.select(*KEY, "what", "raw_p", "adj_p"), [*KEY, "what"]).withColumn(
         "_c", F.col("grp")).withColumn("grp", F.lit(ALL))
-    units = unit_rows(
-        both, test, F.concat_ws(" ", "what", F.lit("condition"), "_c", F.lit("window"), "w"), F.col("stat"),
-        raw_p=F.col("raw_p"), adj_p=F.col("adj_p"), row_lo=F.col("row_lo"), row_hi=F.col("row_hi"),
+    return Outcome(
+        lambda: unit_rows(
+            both, test, F.concat_ws(" ", "what", F.lit("condition"), "_c", F.lit("window"), "w"), F.col("stat"),
+            raw_p=F.col("raw_p"), adj_p=F.col("adj_p"), row_lo=F.col("row_lo"), row_hi=F.col("row_hi"),
+        ),
+        result,
     )
-    return Outcome(units, result)
 
 
 def _extreme_value_tails(rows: DataFrame, best: DataFrame, test: str, seed: int) -> DataFrame:

@@ -25,6 +25,7 @@ from tamperscope.operators.replicates import (
     PAIR, STRIDE, WIDTH, predicted_sigma, scan_pairs, size_cause, window_runs,
 )
 from tamperscope.operators.resample import exceed_p, gather, permutation_exceedances
+from tamperscope.session import materialize
 
 # ------------------------------------------------------------ F20 selective noise
 
@@ -120,11 +121,13 @@ def selective_noise(sheet: Sheet) -> Outcome:
     )
     lev = column_levene(sheet).withColumn("raw_p", special.f_tail("f", F.lit(1.0), (F.col("n") - 2).cast("double")))
     lev = bh_small(lev, KEY)
-    units = unit_rows(
-        lev, test, F.concat_ws(" ", F.lit("column"), F.col("col") + 1, "direction"), F.col("f"),
-        raw_p=F.col("raw_p"), adj_p=F.col("adj_p"), cols=F.array("col"),
+    return Outcome(
+        lambda: unit_rows(
+            lev, test, F.concat_ws(" ", F.lit("column"), F.col("col") + 1, "direction"), F.col("f"),
+            raw_p=F.col("raw_p"), adj_p=F.col("adj_p"), cols=F.array("col"),
+        ),
+        result,
     )
-    return Outcome(units, result)
 
 
 # ------------------------------------------------------------ F21 regional noise
@@ -154,7 +157,10 @@ def column_moments(rows: DataFrame) -> DataFrame:
 
 def regional_windows(sheet: Sheet) -> DataFrame:
     """Per window and column: window variance over the column's own variance."""
-    rows = standardised_rows(sheet)
+    return _regional(standardised_rows(sheet))
+
+
+def _regional(rows: DataFrame) -> DataFrame:
     moments = column_moments(rows).where("n_valid >= 20")
     windows = sliding(rows.select(*KEY, "pos", "z", "row_idx"), KEY, ["z", "row_idx"], WIDTH, STRIDE)
     windows = windows.join(moments, KEY).select(
@@ -193,8 +199,8 @@ def _regional_statistic(z: np.ndarray, order: np.ndarray) -> np.ndarray:
 
 def regional_noise(sheet: Sheet) -> Outcome:
     test = "Regional Noise Homogeneity"
-    rows = standardised_rows(sheet)
-    windows = regional_windows(sheet)
+    rows = materialize(standardised_rows(sheet), "standardised")
+    windows = materialize(_regional(rows), "regional")
     best = windows.groupBy(*KEY, "col").agg(
         F.max("ratio").alias("col_ratio"), F.count("ratio").alias("n_windows"), F.max("n_valid").alias("n_valid"),
         F.max("kurt").alias("kurt"),
@@ -219,7 +225,7 @@ def regional_noise(sheet: Sheet) -> Outcome:
     best = best.join(null, KEY, "left").withColumn(
         "raw_p", F.coalesce((F.get("exceed", F.col("col") + 1) + 1) / (F.col("n_draws") + 1), F.col("tail_p"))
     )
-    best = bh_small(best, KEY)
+    best = materialize(bh_small(best, KEY), "regional-best")
     sums = best.groupBy(*KEY).agg(
         F.max("col_ratio").alias("scan"), F.min("adj_p").alias("col_p"), F.sum("n_windows").alias("n_windows"),
         F.max("n_valid").alias("n_valid"), F.min("tail_p").alias("_tail"), F.count("tail_p").alias("_cols"),
@@ -240,11 +246,13 @@ def regional_noise(sheet: Sheet) -> Outcome:
     top = windows.join(best.select(*KEY, "col", "col_ratio", "raw_p", "adj_p"), [*KEY, "col"]).where(
         F.col("ratio") >= F.col("col_ratio") * 0.5
     )
-    units = unit_rows(
-        top, test, F.concat_ws(" ", F.lit("window"), "w"), F.col("ratio"), raw_p=F.col("raw_p"),
-        adj_p=F.col("adj_p"), row_lo=F.col("row_lo"), row_hi=F.col("row_hi"), cols=F.array("col"),
+    return Outcome(
+        lambda: unit_rows(
+            top, test, F.concat_ws(" ", F.lit("window"), "w"), F.col("ratio"), raw_p=F.col("raw_p"),
+            adj_p=F.col("adj_p"), row_lo=F.col("row_lo"), row_hi=F.col("row_hi"), cols=F.array("col"),
+        ),
+        result,
     )
-    return Outcome(units, result)
 
 
 # ------------------------------------------------- F22 LOESS residuals and CUSUM
@@ -396,7 +404,7 @@ def _loess_null(rec: dict, order: np.ndarray, rng: np.random.Generator) -> np.nd
 
 def loess_scan(series: DataFrame, unit: list[str], test: str, seed: int, draws) -> DataFrame:
     """Scan and changepoint statistics with p-values per unit."""
-    resid = loess_residuals(series, unit)
+    resid = materialize(loess_residuals(series, unit), "loess")
     scan = loess_windows(resid, unit).groupBy(*unit).agg(
         F.max("ratio").alias("tail_ratio"), F.count("ratio").alias("n_windows"), F.max("kurt").alias("kurt")
     )
@@ -429,12 +437,12 @@ def loess_scan(series: DataFrame, unit: list[str], test: str, seed: int, draws)
 def loess_cusum(sheet: Sheet) -> Outcome:
     test = "LOESS Residual Analysis"
     seed = sheet.settings.seed
-    series = noise_profile(sheet)
-    whole = loess_scan(series, KEY, test, seed, lambda n: 4999 if n <= 100 else 499)
+    series = materialize(noise_profile(sheet), "noise-profile")
+    whole = materialize(loess_scan(series, KEY, test, seed, lambda n: 4999 if n <= 100 else 499), "loess-scan")
     sizes = sheet_sizes(sheet.rows)
     pairs = scan_pairs(pair_values(sheet.rows), sizes).withColumn("y", F.abs(F.col("a") - F.col("b"))).drop("a", "b")
-    per_pair = loess_scan(dense_position(pairs, PAIR, "row_idx"), PAIR, test + " pair", seed, lambda n: 499)
-    per_pair = bh_small(per_pair.withColumn("raw_p", F.least("scan_p", "cusum_p")), KEY)
+    per_pair = loess_scan(materialize(dense_position(pairs, PAIR, "row_idx"), "pair-noise"), PAIR, test + " pair", seed, lambda n: 499)
+    per_pair = bh_small(materialize(per_pair.withColumn("raw_p", F.least("scan_p", "cusum_p")), "pair-scan"), KEY)
     lift = per_pair.groupBy(*KEY).agg(F.min("adj_p").alias("pair_p"))
     second = _second_changepoint(series, whole.select(*KEY, "row_at"))
     df = sizes.join(whole, KEY, "left").join(lift, KEY, "left").join(second, KEY, "left")
@@ -454,14 +462,16 @@ def loess_cusum(sheet: Sheet) -> Outcome:
     )
     resid = loess_residuals(series, KEY)
     windows = loess_windows(resid, KEY).join(whole.select(*KEY, F.col("ratio").alias("best"), "scan_p"), KEY)
-    units = unit_rows(
-        windows.where(F.col("ratio") >= F.col("best") * 0.5), test, F.concat_ws(" ", F.lit("window"), "w"),
-        F.col("ratio"), raw_p=F.col("scan_p"), row_lo=F.col("row_lo"), row_hi=F.col("row_hi"),
-    ).unionByName(unit_rows(
-        whole, test, F.lit("changepoint"), F.col("max_cusum"), raw_p=F.col("cusum_p"),
-        row_lo=F.col("row_at"), row_hi=F.col("row_at"),
-    ))
-    return Outcome(units, result)
+    return Outcome(
+        lambda: unit_rows(
+            windows.where(F.col("ratio") >= F.col("best") * 0.5), test, F.concat_ws(" ", F.lit("window"), "w"),
+            F.col("ratio"), raw_p=F.col("scan_p"), row_lo=F.col("row_lo"), row_hi=F.col("row_hi"),
+        ).unionByName(unit_rows(
+            whole, test, F.lit("changepoint"), F.col("max_cusum"), raw_p=F.col("cusum_p"),
+            row_lo=F.col("row_at"), row_hi=F.col("row_at"),
+        )),
+        result,
+    )
 
 
 def _second_changepoint(series: DataFrame, first: DataFrame) -> DataFrame:
@@ -489,7 +499,11 @@ def row_mean_residuals(sheet: Sheet) -> DataFrame:
 
 
 def row_mean_runs_table(sheet: Sheet) -> DataFrame:
-    runs = sign_runs(row_mean_residuals(sheet), KEY, "s", "pos")
+    return _mean_runs(row_mean_residuals(sheet))
+
+
+def _mean_runs(signs: DataFrame) -> DataFrame:
+    runs = sign_runs(signs, KEY, "s", "pos")
     n = F.col("n_pos") + F.col("n_neg")
     return runs.where(n >= 8).withColumn("expected", F.lit(2.0) * F.col("n_pos") * F.col("n_neg") / n + 1).withColumn(
         "z", runs_z(F.col("runs"), F.col("n_pos"), F.col("n_neg"))
@@ -498,12 +512,13 @@ def row_mean_runs_table(sheet: Sheet) -> DataFrame:
 
 def row_mean_runs(sheet: Sheet) -> Outcome:
     test = "Row-Mean Runs"
-    table = row_mean_runs_table(sheet)
-    windows = sliding(row_mean_residuals(sheet), KEY, ["s", "row_idx"], WIDTH, STRIDE)
+    signs = materialize(row_mean_residuals(sheet), "row-mean-signs")
+    table = materialize(_mean_runs(signs), "row-mean-runs")
+    windows = sliding(signs, KEY, ["s", "row_idx"], WIDTH, STRIDE)
     windows = windows.withColumn("row_lo", F.get("row_idx", F.lit(0))).withColumn(
         "row_hi", F.get("row_idx", F.lit(WIDTH - 1)))
     windows = window_runs(windows, "s", KEY, ["row_lo", "row_hi"]).withColumn("raw_p", z_to_p(F.col("z")))
-    windows = windows.join(table.select(*KEY), KEY, "left_semi")
+    windows = materialize(windows.join(table.select(*KEY), KEY, "left_semi"), "row-mean-windows")
     best = family_minimum(windows, ["dataset_id"])
     sums = table.groupBy("dataset_id").agg(F.min("raw_p").alias("cond_p"), F.count("z").alias("n_sequences"))
     conds = sheet.rows.groupBy(*KEY).agg(F.count("cond").alias("labelled"))
@@ -519,13 +534,15 @@ def row_mean_runs(sheet: Sheet) -> Outcome:
         na_observed=seen, na_minimum=need,
     )
     all_grp = F.lit("all")
-    units = unit_rows(
-        table.withColumn("_c", F.col("grp")).withColumn("grp", all_grp), test, F.concat(F.lit("condition "), "_c"),
-        F.col("z"), raw_p=F.col("raw_p"),
-    ).unionByName(unit_rows(
-        bh_large(windows, ["dataset_id"]).where("adj_p < 0.01").withColumn("_c", F.col("grp")).withColumn("grp", all_grp),
-        test, F.concat_ws(" ", F.lit("condition"), "_c", F.lit("window"), "w"), F.col("z"),
-        raw_p=F.col("raw_p"), adj_p=F.col("adj_p"), row_lo=F.col("row_lo"), row_hi=F.col("row_hi"),
-    ))
-    return Outcome(units, result)
+    return Outcome(
+        lambda: unit_rows(
+            table.withColumn("_c", F.col("grp")).withColumn("grp", all_grp), test, F.concat(F.lit("condition "), "_c"),
+            F.col("z"), raw_p=F.col("raw_p"),
+        ).unionByName(unit_rows(
+            bh_large(windows, ["dataset_id"]).where("adj_p < 0.01").withColumn("_c", F.col("grp")).withColumn("grp", all_grp),
+            test, F.concat_ws(" ", F.lit("condition"), "_c", F.lit("window"), "w"), F.col("z"),
+            raw_p=F.col("raw_p"), adj_p=F.col("adj_p"), row_lo=F.col("row_lo"), row_hi=F.col("row_hi"),
+        )),
+        result,
+    )
 

@@ -16,6 +16,7 @@ from tamperscope.model import KEY, Outcome, Sheet, result_rows, unit_rows
 from tamperscope.operators.ordered import with_halo
 from tamperscope.operators.replicates import size_cause
 from tamperscope.operators.resample import gather, permutation_exceedances
+from tamperscope.session import materialize
 
 UNIT = [*KEY, "kind", "c1", "c2"]
 
@@ -75,7 +76,7 @@ def _draws(n: int) -> int:
 
 def constant_offset(sheet: Sheet) -> Outcome:
     test = "Constant-Offset Blocks"
-    counts = offset_counts(sheet)
+    counts = materialize(offset_counts(sheet), "offset-counts")
     keys = difference_keys(sheet).withColumn("d", F.col("d").cast("double"))
 
     @F.pandas_udf("array<double>")
@@ -92,7 +93,7 @@ def constant_offset(sheet: Sheet) -> Outcome:
         "raw_p", F.when(F.col("blocks") == 0, 1.0).otherwise(
             F.coalesce((F.col("exceed")[0] + 1) / (F.col("n_draws") + 1), tail))
     )
-    pairs = bh_small(pairs, [*KEY, "kind"])
+    pairs = materialize(bh_small(pairs, [*KEY, "kind"]), "offset-pairs")
     kinds = pairs.groupBy(*KEY, "kind").agg(
         F.sum("blocks").alias("blocks"), F.sum("steps").alias("steps"), F.sum("expected").alias("expected"),
         F.min("adj_p").alias("pair_p"), F.max("n_draws").alias("n_draws"), F.count(F.lit(1)).alias("n_pairs"),
@@ -119,11 +120,13 @@ def constant_offset(sheet: Sheet) -> Outcome:
         null_method=F.when(F.col("n_draws").isNotNull(), "row shuffle and Poisson").otherwise("Poisson"),
     )
     hits = equal_steps(sheet).where("hit")
-    units = unit_rows(
-        pairs, test, F.concat_ws(" ", "kind", pair_label()), F.col("blocks"), raw_p=F.col("raw_p"),
-        adj_p=F.col("adj_p"), cols=F.array("c1", "c2"),
-    ).unionByName(unit_rows(
-        hits, test, F.concat_ws(" ", "kind", F.lit("step"), pair_label()), F.col("d") / 10000.0,
-        row_lo=F.col("prev_row"), row_hi=F.col("row_idx"), cols=F.array("c1", "c2"),
-    ))
-    return Outcome(units, result)
+    return Outcome(
+        lambda: unit_rows(
+            pairs, test, F.concat_ws(" ", "kind", pair_label()), F.col("blocks"), raw_p=F.col("raw_p"),
+            adj_p=F.col("adj_p"), cols=F.array("c1", "c2"),
+        ).unionByName(unit_rows(
+            hits, test, F.concat_ws(" ", "kind", F.lit("step"), pair_label()), F.col("d") / 10000.0,
+            row_lo=F.col("prev_row"), row_hi=F.col("row_idx"), cols=F.array("c1", "c2"),
+        )),
+        result,
+    )

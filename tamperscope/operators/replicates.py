@@ -22,6 +22,7 @@ from tamperscope.operators.ordered import (
     dense_position, lagged, median, ordinal, rank_value, sign_runs, sliding, windows_in,
 )
 from tamperscope.operators.resample import generator
+from tamperscope.session import materialize
 
 WIDTH, STRIDE = 15, 5
 MAX_SCAN_PAIRS = 30
@@ -102,7 +103,7 @@ def _one_sample_t(mean_: Column, sd: Column, n: Column) -> Column:
 
 def autocorrelation(sheet: Sheet) -> Outcome:
     test = "Autocorrelation"
-    pairs = bh_small(pair_autocorrelation(sheet), KEY)
+    pairs = materialize(bh_small(pair_autocorrelation(sheet), KEY), "acf")
     lag_family = pairs.select(
         *KEY, "c1", "c2", "n",
         F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"r{k}").alias("r")) for k in HIGHER_LAGS])).alias("l"),
@@ -138,11 +139,13 @@ def autocorrelation(sheet: Sheet) -> Outcome:
          "higher_lag": F.col("higher").cast("int")},
         na_cause=cause.when(F.col("p").isNull(), "emptyInput"), na_observed=seen, na_minimum=need,
     )
-    units = unit_rows(
-        pairs, test, pair_label(), F.col("r1"), raw_p=F.col("raw_p"), adj_p=F.col("adj_p"),
-        cols=F.array("c1", "c2"),
+    return Outcome(
+        lambda: unit_rows(
+            pairs, test, pair_label(), F.col("r1"), raw_p=F.col("raw_p"), adj_p=F.col("adj_p"),
+            cols=F.array("c1", "c2"),
+        ),
+        result,
     )
-    return Outcome(units, result)
 
 
 # ---------------------------------------------------------- F16 windowed autocorrelation
@@ -163,8 +166,11 @@ def _lag1(xs: Column) -> Column:
 
 def windowed_lag1(sheet: Sheet) -> DataFrame:
     """Lag-1 r of every 15-row window of every pair."""
-    diffs = pair_differences(sheet).select(*PAIR, "pos", "d", "row_idx")
-    windows = sliding(diffs, PAIR, ["d", "row_idx"], WIDTH, STRIDE)
+    return _lag1_windows(pair_differences(sheet))
+
+
+def _lag1_windows(diffs: DataFrame) -> DataFrame:
+    windows = sliding(diffs.select(*PAIR, "pos", "d", "row_idx"), PAIR, ["d", "row_idx"], WIDTH, STRIDE)
     return windows.select(
         *PAIR, "w", _lag1(F.col("d")).alias("r"),
         F.get("row_idx", F.lit(0)).alias("row_lo"), F.get("row_idx", F.lit(WIDTH - 1)).alias("row_hi"),
@@ -195,7 +201,7 @@ def windowed_autocorrelation(sheet: Sheet) -> Outcome:
     ordered subset, so one null per pair serves all its windows."""
     test = "Windowed Autocorrelation"
     seed = sheet.settings.seed
-    diffs = pair_differences(sheet)
+    diffs = materialize(pair_differences(sheet), "differences")
     sample = bounded_sample(diffs, PAIR, "d", seed).where(F.col("n") >= 30)
     sample = sample.withColumn("draws", resample_count(F.col("n")))
 
@@ -219,16 +225,12 @@ def windowed_autocorrelation(sheet: Sheet) -> Outcome:
     nulls = sample.select(
         *PAIR, "n", null_r("dataset_id", "grp", "c1", "c2", "sample", "draws").alias("null_r")
     )
-    windows = windowed_lag1(sheet).join(nulls, PAIR)
+    windows = _lag1_windows(diffs).join(nulls, PAIR)
     size = F.abs("r") - 1e-12
     exceed = F.size(F.filter("null_r", lambda v: v >= size))
     windows = windows.withColumn("raw_p", (exceed + 1) / (F.size("null_r") + 1)).drop("null_r")
+    windows = materialize(windows, "acf-windows")
     adjusted = bh_large(windows, PAIR)
-    units = unit_rows(
-        adjusted, test, F.concat_ws(" ", pair_label(), F.concat(F.lit("window "), F.col("w"))), F.col("r"),
-        raw_p=F.col("raw_p"), adj_p=F.col("adj_p"), row_lo=F.col("row_lo"), row_hi=F.col("row_hi"),
-        cols=F.array("c1", "c2"),
-    )
     sums = family_minimum(windows, PAIR).groupBy(*KEY).agg(
         F.min("min_adj_p").alias("p"), F.sum("n_units").alias("n_windows")
     )
@@ -239,7 +241,14 @@ def windowed_autocorrelation(sheet: Sheet) -> Outcome:
         na_cause=cause.when(F.col("p").isNull(), "emptyInput"), na_observed=seen, na_minimum=need,
         null_method="random window",
     )
-    return Outcome(units, result)
+    return Outcome(
+        lambda: unit_rows(
+            adjusted, test, F.concat_ws(" ", pair_label(), F.concat(F.lit("window "), F.col("w"))), F.col("r"),
+            raw_p=F.col("raw_p"), adj_p=F.col("adj_p"), row_lo=F.col("row_lo"), row_hi=F.col("row_hi"),
+            cols=F.array("c1", "c2"),
+        ),
+        result,
+    )
 
 
 # -------------------------------------------------------------------- F17 runs
@@ -281,7 +290,7 @@ def runs_windows(sheet: Sheet) -> DataFrame:
     )
     both = F.array(F.lit("all"), F.when(F.col("cond").isNotNull(), F.concat(F.lit("cond:"), "cond")))
     series = pairs.withColumn("seq", F.explode(F.array_compact(both))).select(*unit, "row_idx", "s")
-    placed = dense_position(series, unit, "row_idx")
+    placed = materialize(dense_position(series, unit, "row_idx"), "sign-series")
     lengths = placed.groupBy(*unit).agg(F.count("s").alias("n"))
     windows = sliding(placed, unit, ["s", "row_idx"], WIDTH, STRIDE).join(lengths, unit)
     # Long series step a whole window at a time.
@@ -294,13 +303,13 @@ def runs_windows(sheet: Sheet) -> DataFrame:
 
 def runs_test(sheet: Sheet) -> Outcome:
     test = "Runs Test"
-    pairs = bh_small(pair_runs(sheet), KEY)
+    pairs = materialize(bh_small(pair_runs(sheet), KEY), "runs")
     sizes = sheet_sizes(sheet.rows)
     sums = pairs.groupBy(*KEY).agg(
         F.min("adj_p").alias("pair_p"), F.sum("runs").alias("runs"), F.sum("expected").alias("expected"),
         F.count("z").alias("n_pairs"), F.avg("z").alias("mean_z"),
     )
-    windows = runs_windows(sheet).withColumn("raw_p", z_to_p(F.col("z")))
+    windows = materialize(runs_windows(sheet).withColumn("raw_p", z_to_p(F.col("z"))), "runs-windows")
     best = family_minimum(windows, KEY).withColumnRenamed("min_adj_p", "window_p")
     lowest = windows.groupBy(*KEY).agg(F.min("z").alias("min_z"))
     every = sizes.join(sums, KEY, "left").join(best, KEY, "left").join(lowest, KEY, "left")
@@ -322,16 +331,18 @@ def runs_test(sheet: Sheet) -> Outcome:
         na_cause=cause.when(F.col("pair_p").isNull(), "emptyInput"), na_observed=seen, na_minimum=need,
         null_method="normal with Sidak",
     )
-    units = unit_rows(
-        pairs, test, pair_label(), F.col("z"), raw_p=F.col("raw_p"), adj_p=F.col("adj_p"),
-        cols=F.array("c1", "c2"),
-    ).unionByName(unit_rows(
-        bh_large(windows, KEY).where(F.col("adj_p") < 0.05), test,
-        F.concat_ws(" ", "seq", pair_label(), F.concat(F.lit("window "), F.col("w"))), F.col("z"),
-        raw_p=F.col("raw_p"), adj_p=F.col("adj_p"), row_lo=F.col("row_lo"), row_hi=F.col("row_hi"),
-        cols=F.array("c1", "c2"),
-    ))
-    return Outcome(units, result)
+    return Outcome(
+        lambda: unit_rows(
+            pairs, test, pair_label(), F.col("z"), raw_p=F.col("raw_p"), adj_p=F.col("adj_p"),
+            cols=F.array("c1", "c2"),
+        ).unionByName(unit_rows(
+            bh_large(windows, KEY).where(F.col("adj_p") < 0.05), test,
+            F.concat_ws(" ", "seq", pair_label(), F.concat(F.lit("window "), F.col("w"))), F.col("z"),
+            raw_p=F.col("raw_p"), adj_p=F.col("adj_p"), row_lo=F.col("row_lo"), row_hi=F.col("row_hi"),
+            cols=F.array("c1", "c2"),
+        )),
+        result,
+    )
 
 
 # ---------------------------------------------------------- F18 noise scaling
@@ -415,8 +426,7 @@ def noise_scaling(sheet: Sheet) -> Outcome:
         {"slope": F.col("slope"), "slope_se": se, "points": F.col("n"), "decades": F.col("decades")},
         na_cause=cause.when(narrow, "rangeOutOfBand"), na_observed=seen, na_minimum=need,
     )
-    units = unit_rows(df.where(F.col("n").isNotNull()), test, F.lit("sheet"), F.col("slope"), raw_p=F.col("p"))
-    return Outcome(units, result)
+    return Outcome(lambda: unit_rows(df.where(F.col("n").isNotNull()), test, F.lit("sheet"), F.col("slope"), raw_p=F.col("p")), result)
 
 
 # ------------------------------------------------------- F19 within-row variance
@@ -484,7 +494,7 @@ def within_row_z(sheet: Sheet) -> DataFrame:
 
 def within_row_variance(sheet: Sheet) -> Outcome:
     test = "Within-Row Variance"
-    z = within_row_z(sheet)
+    z = materialize(within_row_z(sheet), "within-row")
     rate = 0.5 * math.erfc(Z_LIMIT / math.sqrt(2))
     sums = z.groupBy(*KEY).agg(
         F.max("n_valid").alias("n_valid"), F.count_if(F.col("z") < -Z_LIMIT).alias("n_smooth"),
@@ -529,11 +539,13 @@ def within_row_variance(sheet: Sheet) -> Outcome:
         na_observed=seen, na_minimum=need,
     )
     out = z.where(F.abs("z") > Z_LIMIT)
-    units = unit_rows(
-        out, test, F.when(F.col("z") < 0, "too smooth").otherwise("too noisy"), F.col("z"),
-        row_lo=F.col("row_idx"), row_hi=F.col("row_idx"),
+    return Outcome(
+        lambda: unit_rows(
+            out, test, F.when(F.col("z") < 0, "too smooth").otherwise("too noisy"), F.col("z"),
+            row_lo=F.col("row_idx"), row_hi=F.col("row_idx"),
+        ),
+        result,
     )
-    return Outcome(units, result)
 
 
 # ----------------------------------------------- F13 inter-replicate correlation
@@ -631,7 +643,7 @@ def inter_replicate_correlation(sheet: Sheet) -> Outcome:
     pairs = pair_correlations(sheet).join(intraclass(sheet), KEY, "left").withColumn(
         "steady", F.coalesce(F.col("icc") > 0.99, F.lit(False))
     )
-    pairs = bh_small(pairs, ["dataset_id"])
+    pairs = materialize(bh_small(pairs, ["dataset_id"]), "correlations")
     min_excess = F.when(F.col("n") >= 500, 0.05).otherwise(0.01)
     pairs = pairs.withColumn(
         "suspicious", ~F.col("steady") & (F.col("adj_p") < ALPHA_HIGH) & (F.col("excess") > min_excess)
@@ -672,10 +684,12 @@ def inter_replicate_correlation(sheet: Sheet) -> Outcome:
          "suspicious": F.col("n_suspicious"), "scan_p": F.col("scan_p"), "windows": F.col("n_windows")},
         na_cause=F.when(F.col("n_pairs").isNull(), "emptyInput"), null_method="Fisher z with Sidak",
     )
-    units = unit_rows(
-        pairs, test, pair_label(), F.col("r"), raw_p=F.col("raw_p"), adj_p=F.col("adj_p"), cols=F.array("c1", "c2")
+    return Outcome(
+        lambda: unit_rows(
+            pairs, test, pair_label(), F.col("r"), raw_p=F.col("raw_p"), adj_p=F.col("adj_p"), cols=F.array("c1", "c2")
+        ),
+        result,
     )
-    return Outcome(units, result)
 
 
 # -------------------------------------------------------------- F14 kurtosis
@@ -749,7 +763,7 @@ def excess_kurtosis(sheet: Sheet) -> Outcome:
     test = "Excess Kurtosis"
     seed = sheet.settings.seed
     sizes = sheet_sizes(sheet.rows)
-    diffs = standardised_differences(sheet)
+    diffs = materialize(standardised_differences(sheet), "standardised-differences")
     pooled = _trimmed_kurtosis(diffs, KEY, sizes.select(*KEY, "n_rows"))
     by_cond = _trimmed_kurtosis(
         diffs.where(F.col("cond").isNotNull()), [*KEY, "cond"], sizes.select(*KEY, "n_rows")
@@ -773,6 +787,7 @@ def excess_kurtosis(sheet: Sheet) -> Outcome:
             ads.append(np.sort(aa))
         return pd.DataFrame({"kurt": kurts, "ad": ads})
 
+    base = materialize(base, "kurtosis")
     nulls = base.select(
         *KEY, "n_rows", "n_cols", "pooled_n", "kurtosis", "bins", "n_sigma",
         null("dataset_id", "grp", "n_sigma", "n_cols", "from_fit", "n_rows").alias("null"),
@@ -784,6 +799,7 @@ def excess_kurtosis(sheet: Sheet) -> Outcome:
     ).withColumn(
         "ad_p", (F.size(F.filter("null.ad", lambda v: v >= F.col("ad"))) + 1) / (F.size("null.ad") + 1)
     ).withColumn("deviation", F.col("kurtosis") - F.col("null_mean"))
+    nulls = materialize(nulls, "kurtosis-null")
     conds = by_cond.withColumnRenamed("kurtosis", "k_cond").drop("pooled_n").join(
         nulls.select(*KEY, "null", "middle", "null_mean"), KEY
     ).withColumn("raw_p", _two_sided(F.col("k_cond"))).drop("null")
@@ -806,11 +822,13 @@ def excess_kurtosis(sheet: Sheet) -> Outcome:
         na_cause=cause.when(F.col("p").isNull(), "emptyInput"), na_observed=seen, na_minimum=need,
         null_method="Gaussian simulation",
     )
-    units = unit_rows(
-        bh_small(pair_kurtosis(sheet), KEY), test, pair_label(), F.col("kurtosis"), raw_p=F.col("raw_p"),
-        adj_p=F.col("adj_p"), cols=F.array("c1", "c2"),
+    return Outcome(
+        lambda: unit_rows(
+            bh_small(pair_kurtosis(sheet), KEY), test, pair_label(), F.col("kurtosis"), raw_p=F.col("raw_p"),
+            adj_p=F.col("adj_p"), cols=F.array("c1", "c2"),
+        ),
+        result,
     )
-    return Outcome(units, result)
 
 
 def _two_sided(observed: Column) -> Column:

@@ -154,11 +154,13 @@ def entropy(sheet: Sheet) -> Outcome:
     out = out.withColumn("flag", F.when(F.col("raw_p").isNull(), "N/A").when(
         F.abs(F.col("ratio") - 1) >= 0.15, flag_from_p(F.col("adj_p"))).otherwise("LOW"))
     out = out.withColumn("skip", F.when(F.col("raw_p").isNull(), "tooFewObservations"))
-    units = unit_rows(
-        out, test, F.concat(F.lit("column "), F.col("col") + 1), F.col("ratio"), raw_p=F.col("raw_p"),
-        adj_p=F.col("adj_p"), cols=F.array("col"),
+    return Outcome(
+        lambda: unit_rows(
+            out, test, F.concat(F.lit("column "), F.col("col") + 1), F.col("ratio"), raw_p=F.col("raw_p"),
+            adj_p=F.col("adj_p"), cols=F.array("col"),
+        ),
+        _worst(out, test, sheet, 20.0, {}, "parametric bootstrap"),
     )
-    return Outcome(units, _worst(out, test, sheet, 20.0, {}, "parametric bootstrap"))
 
 
 # ------------------------------------------------------- F11 goodness of fit
@@ -270,11 +272,13 @@ def column_gof(sheet: Sheet) -> Outcome:
     strong = (F.col("high") & (F.col("ratio") >= 2.0)) | (~F.col("high") & (F.col("ratio") <= 0.5))
     out = out.withColumn("flag", F.when(F.col("raw_p").isNull(), "N/A").when(
         strong, flag_from_p(F.col("adj_p"))).otherwise("LOW"))
-    units = unit_rows(
-        out, test, F.concat(F.lit("column "), F.col("col") + 1), F.col("a2"), raw_p=F.col("raw_p"),
-        adj_p=F.col("adj_p"), cols=F.array("col"),
+    return Outcome(
+        lambda: unit_rows(
+            out, test, F.concat(F.lit("column "), F.col("col") + 1), F.col("a2"), raw_p=F.col("raw_p"),
+            adj_p=F.col("adj_p"), cols=F.array("col"),
+        ),
+        _worst(out, test, sheet, 30.0, {}, "parametric bootstrap"),
     )
-    return Outcome(units, _worst(out, test, sheet, 30.0, {}, "parametric bootstrap"))
 
 
 # ---------------------------------------------------------------- F12 modality
@@ -386,8 +390,10 @@ def modality(sheet: Sheet) -> Outcome:
     )
     out = bh_small(out, KEY).withColumn("flag", F.when(F.col("raw_p").isNull(), "N/A").when(
         F.col("dip") >= DIP_GATE, flag_from_p(F.col("adj_p"))).otherwise("LOW"))
-    units = unit_rows(
-        out, test, F.concat(F.lit("column "), F.col("col") + 1), F.col("dip"), raw_p=F.col("raw_p"),
-        adj_p=F.col("adj_p"), cols=F.array("col"),
+    return Outcome(
+        lambda: unit_rows(
+            out, test, F.concat(F.lit("column "), F.col("col") + 1), F.col("dip"), raw_p=F.col("raw_p"),
+            adj_p=F.col("adj_p"), cols=F.array("col"),
+        ),
+        _worst(out, test, sheet, 50.0, {}, "uniform simulation"),
     )
-    return Outcome(units, _worst(out, test, sheet, 50.0, {}, "uniform simulation"))

@@ -101,7 +101,7 @@ def run_test(test: ForensicTest, sheet: Sheet, status: DataFrame) -> Outcome:
         F.col("median_size").alias("na_observed"), F.lit(float(THIN_MEDIAN + 1)).alias("na_minimum"),
         F.lit(None).cast("string").alias("null_method"),
         F.create_map(F.lit("groups"), F.col("n_groups").cast("double")).alias("stats"))
-    return Outcome(outcome.units, aggregate_groups(outcome.result).unionByName(pending))
+    return Outcome(outcome.evidence, aggregate_groups(outcome.result).unionByName(pending))
 
 
 def run_battery(sheet: Sheet, tests: list[str] | None = None, parallel: int = 4) -> tuple[DataFrame, DataFrame]:

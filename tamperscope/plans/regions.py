@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tamperscope.functions.stats import flag_rank
 from tamperscope.operators.ordered import islands
 from tamperscope.plans.verdict import mechanism_of
+from tamperscope.session import materialize
 
 
 def regions(results: DataFrame, units: DataFrame) -> DataFrame:
@@ -63,7 +64,7 @@ def hotspots(runs: DataFrame, min_depth: int = 2) -> DataFrame:
     columns differ by at most one and their rows are at most one apart. Labels
     spread along those links until they settle, as a sequence of joins.
     """
-    deep = runs.where(F.col("n_tests") >= min_depth)
+    deep = materialize(runs, "cell-runs").where(F.col("n_tests") >= min_depth)
     # Neighbouring runs of one column first become one stretch.
     rows = deep.select("dataset_id", "col", "row_lo", "row_hi", "n_tests", "tests", "mechanisms", "max_severity")
     along = Window.partitionBy("dataset_id", "col").orderBy("row_lo")

@@ -15,6 +15,7 @@ from tamperscope.operators import (
 )
 from tamperscope.plans import battery, gates, regions, transform, verdict
 from tamperscope.sources import tables
+from tamperscope.session import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -297,7 +298,8 @@ def coverage(spark, sf):
 def _flagged(spark, sf) -> tuple[Sheet, DataFrame, DataFrame]:
     sheet = tables.order_lines_sheet(spark, sf)
     gaps, rows = missing.missing_data_pattern(sheet), multivariate.mahalanobis_rows(sheet)
-    return sheet, gaps.result.unionByName(rows.result), gaps.units.unionByName(rows.units)
+    results = materialize(gaps.result.unionByName(rows.result), "results")
+    return sheet, results, materialize(gaps.units.unionByName(rows.units), "units")
 
 
 def region_table(spark, sf):

@@ -6,7 +6,10 @@ import math
 
 import numpy as np
 
-lgamma = np.vectorize(math.lgamma, otypes=[float])
+
+def lgamma(x: np.ndarray) -> np.ndarray:
+    x = np.asarray(x, float)
+    return np.array([math.lgamma(v) for v in x.ravel()]).reshape(x.shape)
 
 
 def gamma_sf(a: np.ndarray, x: np.ndarray) -> np.ndarray:

@@ -88,6 +88,8 @@ def with_halo(
     Returns the rows, the window ordered inside a block, and the predicate
     that keeps a block's own rows once the window has been evaluated.
     """
+    if max(before, after) > block:
+        raise ValueError("a halo reaches into the neighbouring block only")
     home = F.floor(F.col(pos) / block)
     inside = F.col(pos) - home * block
     targets = F.array_compact(

@@ -296,12 +296,9 @@ def _hull_gap(x: np.ndarray, n: int, first: int) -> float:
     if m < 3:
         return 0.0
     rank = np.arange(first + 1, first + m + 1) / n
-    # With ties the curve is the last rank of each value.
-    keep = np.append(np.diff(x) > 0, True)
+    # Under ties a minorant passes through the lowest rank of each value.
+    keep = np.insert(np.diff(x) > 0, 0, True)
     xs, ys = x[keep].tolist(), rank[keep].tolist()
-    if x[0] == xs[0] and ys[0] != rank[0]:
-        xs.insert(0, xs[0])
-        ys.insert(0, float(rank[0]))
     hull = [0]
     for i in range(1, len(xs)):
         while len(hull) >= 2:

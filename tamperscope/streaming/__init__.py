@@ -1,0 +1 @@
+"""Empty on purpose: the checks read finished tables; there is no stream to follow."""

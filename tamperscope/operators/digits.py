@@ -340,7 +340,8 @@ def value_frequency_spike(sheet: Sheet) -> Outcome:
     return Outcome(
         lambda: unit_rows(
             marked.where("spike"), test,
-            F.concat_ws(" ", "pass", F.lpad(F.col("key").cast("string"), F.greatest("len", F.lit(1)), "0")),
+            F.concat_ws(" ", "pass", F.when(F.col("pass") == "full", F.col("key").cast("string")).otherwise(
+            F.lpad(F.col("key").cast("string"), F.col("len"), "0"))),
             F.col("ratio"), raw_p=F.col("raw_p"), adj_p=F.col("adj_p"),
         ),
         result,

@@ -24,13 +24,12 @@ from tamperscope.session import materialize
 PAIR = ["dataset_id", "a", "b"]
 
 
-def average_rank(df: DataFrame, unit: list[str], column: str, out: str) -> DataFrame:
-    """Rank of each value in its unit, ties sharing their mean rank. Ranks are
-    running totals over the sorted table of distinct values."""
+def average_ranks(df: DataFrame, unit: list[str], column: str, out: str) -> DataFrame:
+    """Rank of each distinct value in its unit, ties sharing their mean rank.
+    Ranks are running totals over the sorted table of distinct values."""
     freq = df.groupBy(*unit, column).agg(F.count(F.lit(1)).cast("double").alias("_c"))
     placed = prefix_sum(ordinal(freq, unit, [column], "_p", "ranks"), unit, "_c", "_b", pos="_p")
-    ranks = placed.select(*unit, column, (F.col("_b") - (F.col("_c") - 1) / 2).alias(out))
-    return df.join(ranks, [*unit, column])
+    return placed.select(*unit, column, (F.col("_b") - (F.col("_c") - 1) / 2).alias(out))
 
 
 def condition_profiles(sheet: Sheet) -> DataFrame:
@@ -72,8 +71,14 @@ def pair_spearman(profiles: DataFrame, column: str, minimum: int) -> DataFrame:
     pairs = materialize(matched_pairs(profiles, column), "matched")
     big = pairs.groupBy(*PAIR).agg(F.count("x").alias("n")).where(F.col("n") >= minimum)
     pairs = pairs.join(big, PAIR)
-    ranked = average_rank(pairs, PAIR, "x", "rx")
-    ranked = average_rank(materialize(ranked, "ranked"), PAIR, "y", "ry")
+    # Both sides are ranked in one sort, then meet their rows by value.
+    sides = pairs.select(*PAIR, F.explode(F.array(
+        F.struct(F.lit("x").alias("side"), F.col("x").alias("v")), F.struct(F.lit("y").alias("side"), F.col("y").alias("v"))
+    )).alias("s")).select(*PAIR, "s.*")
+    ranks = materialize(average_ranks(sides, [*PAIR, "side"], "v", "rank"), "ranks")
+    ranked = pairs.join(
+        ranks.where("side = 'x'").select(*PAIR, F.col("v").alias("x"), F.col("rank").alias("rx")), [*PAIR, "x"]
+    ).join(ranks.where("side = 'y'").select(*PAIR, F.col("v").alias("y"), F.col("rank").alias("ry")), [*PAIR, "y"])
     return ranked.groupBy(*PAIR).agg(
         F.max("n").alias("n"), F.coalesce(F.nanvl(F.corr("rx", "ry"), F.lit(0.0)), F.lit(0.0)).alias("rho")
     )

@@ -22,7 +22,7 @@ from tamperscope.functions.values import (
     decimal_places, decimal_text, is_integer, last_digit, plain_decimal, significant_digit,
 )
 from tamperscope.model import KEY, Outcome, Sheet, result_rows, unit_rows
-from tamperscope.operators.ordered import rank_value, with_halo
+from tamperscope.operators.ordered import rank_values, with_halo
 from tamperscope.operators.resample import multinomial_mad_p
 from tamperscope.session import materialize
 
@@ -38,7 +38,7 @@ def log_span(x: Column) -> Column:
     size = F.when(x != 0, F.log10(F.abs(x)))
     return F.when(
         F.count(size) < 10, F.max(size) - F.min(size)
-    ).otherwise(rank_value(size, 0.95 + 1e-9) - rank_value(size, 0.05 + 1e-9))
+    ).otherwise(let(rank_values(size, [0.05 + 1e-9, 0.95 + 1e-9]), lambda q: F.get(q, F.lit(1)) - F.get(q, F.lit(0))))
 
 
 def digit_counts(sheet: Sheet, position: int) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tamperscope.session import new_path
 
-BLOCK = 1 << 15
+BLOCK = 1 << 13
 
 
 def ordinal(
@@ -268,6 +268,11 @@ def rank_value(column: str | Column, fraction: float) -> Column:
     return F.percentile_approx(column, fraction, 200_000)
 
 
+def rank_values(column: str | Column, fractions: list[float]) -> Column:
+    """Several such values from one sketch, as an array."""
+    return F.percentile_approx(column, fractions, 200_000)
+
+
 def windows_in(n: Column, width: int, stride: int) -> Column:
     """How many full windows a series of ``n`` rows holds."""
     return F.when(n >= width, F.floor((n - width) / stride) + 1).otherwise(0)

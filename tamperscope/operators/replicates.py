@@ -19,7 +19,7 @@ from tamperscope.functions.stats import (
 )
 from tamperscope.model import KEY, Outcome, Sheet, result_rows, unit_rows
 from tamperscope.operators.ordered import (
-    dense_position, lagged, median, ordinal, rank_value, sign_runs, sliding, windows_in,
+    dense_position, lagged, median, ordinal, rank_values, sign_runs, sliding, windows_in,
 )
 from tamperscope.operators.resample import generator
 from tamperscope.session import materialize
@@ -27,6 +27,7 @@ from tamperscope.session import materialize
 WIDTH, STRIDE = 15, 5
 MAX_SCAN_PAIRS = 30
 PAIR = [*KEY, "c1", "c2"]
+CUTS = [0.05 + 1e-9, 0.95 - 1e-9]
 
 # Expected log-log slope of variance on mean per assay.
 EXPECTED_SLOPE = {
@@ -554,9 +555,10 @@ def winsor_bounds(rows: DataFrame) -> DataFrame:
     """5% and 95% bounds per pair member, over the rows both members share."""
     pairs = pair_values(rows)
     return pairs.groupBy(*PAIR).agg(
-        F.count("a").alias("n"),
-        rank_value("a", 0.05 + 1e-9).alias("a_lo"), rank_value("a", 0.95 - 1e-9).alias("a_hi"),
-        rank_value("b", 0.05 + 1e-9).alias("b_lo"), rank_value("b", 0.95 - 1e-9).alias("b_hi"),
+        F.count("a").alias("n"), rank_values("a", CUTS).alias("_a"), rank_values("b", CUTS).alias("_b")
+    ).select(
+        *PAIR, "n", F.col("_a")[0].alias("a_lo"), F.col("_a")[1].alias("a_hi"),
+        F.col("_b")[0].alias("b_lo"), F.col("_b")[1].alias("b_hi"),
     )
 
 
@@ -587,9 +589,8 @@ def intraclass(sheet: Sheet) -> DataFrame:
     grouped = sheet.by_condition().rows
     c = cells(grouped).drop("raw")
     bounds = c.groupBy(*KEY, "col").agg(
-        rank_value("x", 0.05 + 1e-9).alias("lo"), rank_value("x", 0.95 - 1e-9).alias("hi"),
-        F.count("x").alias("n"),
-    ).where("n >= 3")
+        rank_values("x", CUTS).alias("_q"), F.count("x").alias("n"),
+    ).where("n >= 3").select(*KEY, "col", F.col("_q")[0].alias("lo"), F.col("_q")[1].alias("hi"))
     per_group = bounds.groupBy(*KEY).agg(
         F.map_from_entries(F.collect_list(F.struct("col", F.struct("lo", "hi")))).alias("bounds")
     )
@@ -736,9 +737,8 @@ def _trimmed_kurtosis(diffs: DataFrame, keys: list[str], n_rows: DataFrame) -> D
     between them.
     """
     cuts = diffs.groupBy(*keys).agg(
-        rank_value("nd", 0.02 + 1e-9).alias("lo"), rank_value("nd", 0.98 - 1e-9).alias("hi"),
-        F.count("nd").alias("pooled_n"),
-    )
+        rank_values("nd", [0.02 + 1e-9, 0.98 - 1e-9]).alias("_q"), F.count("nd").alias("pooled_n")
+    ).select(*keys, "pooled_n", F.col("_q")[0].alias("lo"), F.col("_q")[1].alias("hi"))
     joined = diffs.join(cuts, keys).join(n_rows, KEY)
     inside = (F.col("n_rows") < 200) | ((F.col("nd") >= F.col("lo")) & (F.col("nd") <= F.col("hi")))
     x = F.when(inside, F.col("nd"))

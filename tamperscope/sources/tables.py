@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tamperscope.functions.values import decimal_text, finite
+from tamperscope.functions.values import finite
 from tamperscope.model import ALL, Settings, Sheet
 from tamperscope.operators.ordered import ordinal
 from tamperscope.session import materialize
@@ -29,7 +29,8 @@ def sheet_rows(
     """Any DataFrame as sheet rows: non-finite cells become null, rows without
     a single value are dropped, and row_idx is the dense row order."""
     vals = F.transform(values, lambda v: finite(v.cast("double")))
-    text = raws if raws is not None else F.transform("vals", lambda v: decimal_text(v))
+    # A typed column has no source text; digits are then read off the number.
+    text = raws if raws is not None else F.transform("vals", lambda v: F.lit(None).cast("string"))
     null = F.lit(None).cast("string")
     shaped = (
         df.withColumn("vals", vals)

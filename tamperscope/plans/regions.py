@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamperscope.functions.stats import flag_rank
-from tamperscope.operators.ordered import islands
+from tamperscope.operators.ordered import islands, ordinal
 from tamperscope.plans.verdict import mechanism_of
 from tamperscope.session import materialize
 
@@ -61,8 +61,7 @@ def hotspots(runs: DataFrame, min_depth: int = 2) -> DataFrame:
     """8-connected areas in which at least ``min_depth`` tests meet.
 
     Runs of qualifying cells, not cells, are linked: two runs touch where their
-    columns differ by at most one and their rows are at most one apart. Labels
-    spread along those links until they settle, as a sequence of joins.
+    columns differ by at most one and their rows are at most one apart.
     """
     deep = materialize(runs, "cell-runs").where(F.col("n_tests") >= min_depth)
     # Neighbouring runs of one column first become one stretch.
@@ -76,15 +75,16 @@ def hotspots(runs: DataFrame, min_depth: int = 2) -> DataFrame:
         F.array_distinct(F.flatten(F.collect_set("mechanisms"))).alias("mechanisms"),
         F.max("max_severity").alias("max_severity"),
     ).drop("_g")
-    # Stretches of one dataset that are close in rows fall into one band; bands
-    # are separated by empty rows, so components never cross them.
-    band = Window.partitionBy("dataset_id").orderBy("lo", "hi", "col")
-    reach = F.max("hi").over(band.rowsBetween(Window.unboundedPreceding, -1))
-    banded = stretch.withColumn("_b", F.when(reach.isNull() | (F.col("lo") > reach + 1), 1).otherwise(0)).withColumn(
-        "band", F.sum("_b").over(band.rowsBetween(Window.unboundedPreceding, 0))).drop("_b")
-    parts = banded.groupBy("dataset_id", "band").applyInPandas(
-        _components, "dataset_id string, band bigint, part int, lo bigint, hi bigint, c_lo int, c_hi int, "
-        "cells bigint, max_count bigint, tests array<string>, mechanisms array<string>, max_severity int")
+    stretch = materialize(
+        ordinal(stretch, ["dataset_id"], ["lo", "col"], "id", "stretches").withColumn("cells", F.col("hi") - F.col("lo") + 1),
+        "stretches")
+    label = _component_labels(stretch)
+    parts = stretch.join(label, ["dataset_id", "id"]).groupBy("dataset_id", "label").agg(
+        F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("col").alias("c_lo"), F.max("col").alias("c_hi"),
+        F.sum("cells").alias("cells"), F.max("max_count").alias("max_count"),
+        F.array_distinct(F.flatten(F.collect_set("tests"))).alias("tests"),
+        F.array_distinct(F.flatten(F.collect_set("mechanisms"))).alias("mechanisms"),
+        F.max("max_severity").alias("max_severity"))
     area = (F.col("hi") - F.col("lo") + 1) * (F.col("c_hi") - F.col("c_lo") + 1)
     dense = parts.withColumn("density", F.col("cells") / area).where(F.col("density") >= 0.3)
     near = Window.partitionBy("dataset_id").orderBy("lo", "hi", "c_lo")
@@ -101,41 +101,32 @@ def hotspots(runs: DataFrame, min_depth: int = 2) -> DataFrame:
     return out.withColumn("score", F.col("max_count") * F.size("tests"))
 
 
-def _components(pdf):
-    """Connected stretches of one band, by sweeping columns."""
-    import pandas as pd
-
-    pdf = pdf.sort_values(["col", "lo"]).reset_index(drop=True)
-    parent = list(range(len(pdf)))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    lo, hi, col = pdf["lo"].to_numpy(), pdf["hi"].to_numpy(), pdf["col"].to_numpy()
-    by_col = {c: list(g.index) for c, g in pdf.groupby("col")}
-    for c, here in by_col.items():
-        there = by_col.get(c + 1, [])
-        j = 0
-        for i in here:
-            while j < len(there) and hi[there[j]] < lo[i] - 1:
-                j += 1
-            k = j
-            while k < len(there) and lo[there[k]] <= hi[i] + 1:
-                parent[root(there[k])] = root(i)
-                k += 1
-    pdf["part"] = [root(i) for i in range(len(pdf))]
-    out = []
-    for part, g in pdf.groupby("part"):
-        tests = sorted({t for ts in g["tests"] for t in ts})
-        mechs = sorted({t for ts in g["mechanisms"] for t in ts})
-        out.append((pdf["dataset_id"].iloc[0], int(pdf["band"].iloc[0]), int(part), int(g["lo"].min()), int(g["hi"].max()),
-                    int(g["col"].min()), int(g["col"].max()), int((g["hi"] - g["lo"] + 1).sum()),
-                    int(g["max_count"].max()), tests, mechs, int(g["max_severity"].max())))
-    return pd.DataFrame(out, columns=["dataset_id", "band", "part", "lo", "hi", "c_lo", "c_hi", "cells", "max_count",
-                                      "tests", "mechanisms", "max_severity"])
+def _component_labels(stretch: DataFrame) -> DataFrame:
+    """Smallest stretch id of each connected area: dataset_id, id, label.
+
+    Stretches of neighbouring columns meet in the 4096-row cells they cross.
+    Labels take the smallest neighbour's label and then jump to their label's
+    label, so the rounds grow with the logarithm of an area's extent.
+    """
+    own = stretch.select("dataset_id", "id", "col", "lo", "hi", F.explode(F.sequence(
+        F.floor((F.col("lo") - 1) / 4096), F.floor((F.col("hi") + 1) / 4096))).alias("_c"))
+    right = own.select("dataset_id", "_c", F.col("id").alias("other"), (F.col("col") - 1).alias("col"),
+                       F.col("lo").alias("o_lo"), F.col("hi").alias("o_hi"))
+    touch = own.join(right, ["dataset_id", "_c", "col"]).where(
+        (F.col("o_lo") <= F.col("hi") + 1) & (F.col("o_hi") >= F.col("lo") - 1)).select("dataset_id", "id", "other").distinct()
+    links = materialize(touch.unionByName(touch.select("dataset_id", F.col("other").alias("id"), F.col("id").alias("other"))), "links")
+    nodes = stretch.select("dataset_id", "id", F.col("id").alias("label"))
+    while True:
+        near = links.join(nodes.select("dataset_id", F.col("id").alias("other"), F.col("label").alias("_l")),
+                          ["dataset_id", "other"]).groupBy("dataset_id", "id").agg(F.min("_l").alias("_near"))
+        hooked = nodes.join(near, ["dataset_id", "id"], "left").withColumn("_old", F.col("label")).withColumn(
+            "label", F.least("label", F.coalesce("_near", "label"))).drop("_near")
+        jump = nodes.select("dataset_id", F.col("id").alias("label"), F.col("label").alias("_next"))
+        moved = materialize(hooked.join(jump, ["dataset_id", "label"], "left").select(
+            "dataset_id", "id", F.least("label", F.coalesce("_next", "label")).alias("label"), "_old"), "labels")
+        nodes = moved.drop("_old")
+        if moved.where(F.col("label") != F.col("_old")).isEmpty():
+            return nodes
 
 
 def pattern_class(runs: DataFrame, spots: DataFrame, sizes: DataFrame) -> DataFrame:

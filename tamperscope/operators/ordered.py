@@ -229,30 +229,6 @@ def islands(
     return stitched.unionByName(whole).withColumn("length", F.col("hi") - F.col("lo") + 1)
 
 
-def next_and_previous(
-    df: DataFrame, unit: Sequence[str], pos: str, next_col: str, prev_col: str, block: int = BLOCK
-) -> DataFrame:
-    """Position of the next and previous row of the same unit, at any distance."""
-    unit = list(unit)
-    cut = df.withColumn("_blk", F.floor(F.col(pos) / block))
-    ends = cut.groupBy(*unit, "_blk").agg(F.min(pos).alias("_first"), F.max(pos).alias("_last"))
-    across = Window.partitionBy(*unit).orderBy("_blk")
-    ends = ends.select(
-        *unit, "_blk",
-        F.lead("_first").over(across).alias("_after"),
-        F.lag("_last").over(across).alias("_ahead"),
-    )
-    inner = Window.partitionBy(*unit, "_blk").orderBy(pos)
-    return (
-        cut.withColumn(next_col, F.lead(pos).over(inner))
-        .withColumn(prev_col, F.lag(pos).over(inner))
-        .join(ends, [*unit, "_blk"])
-        .withColumn(next_col, F.coalesce(next_col, "_after"))
-        .withColumn(prev_col, F.coalesce(prev_col, "_ahead"))
-        .drop("_blk", "_after", "_ahead")
-    )
-
-
 def median(column: str | Column) -> Column:
     """Middle value, or the mean of the two middle values.
 

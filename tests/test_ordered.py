@@ -63,13 +63,6 @@ def test_islands(spark, block):
     assert got == [(0, 11, 12), (15, 15, 1), (19, 21, 3), (24, 25, 2)]
 
 
-def test_neighbours_at_any_distance(spark):
-    pos = [0, 3, 50, 51, 900]
-    df = spark.createDataFrame([("u", p) for p in pos], "u string, p bigint")
-    rows = {r.p: (r.prev, r.next) for r in ordered.next_and_previous(df, ["u"], "p", "next", "prev", block=10).collect()}
-    assert rows == {0: (None, 3), 3: (0, 50), 50: (3, 51), 51: (50, 900), 900: (51, None)}
-
-
 def test_median(spark):
     df = spark.createDataFrame([(1, float(v)) for v in (4, 1, 3, 2)], "k int, x double")
     assert df.groupBy("k").agg(ordered.median("x").alias("m")).first().m == 2.5

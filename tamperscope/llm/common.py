@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,3 +37,15 @@ def text_hash(text: Column) -> Column:
 def shuffle_partitions(spark: SparkSession) -> int:
     """The session's partition count, for explicit repartitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def by_size(batches, column: int, limit: int = 8 << 20):
+    """Record batches cut so that each holds about ``limit`` bytes of one
+    binary or string column, or a single longer row."""
+    for batch in batches:
+        sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+        group = np.cumsum(sizes, dtype=np.int64) // limit
+        edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
+        for lo, hi in zip(edges, edges[1:], strict=False):
+            if hi > lo:
+                yield batch.slice(lo, hi - lo)

@@ -2,4 +2,8 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+from tamperscope.llm import license_scan
+
+ORACLES: dict[str, str] = {
+    "op4_license_scan": license_scan.scan_sql(),
+}

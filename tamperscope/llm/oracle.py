@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from tamperscope.llm import license_scan
+from tamperscope.llm import chat, license_scan, line_frequency
 
 ORACLES: dict[str, str] = {
     "op4_license_scan": license_scan.scan_sql(),
+    "op5_line_frequency": line_frequency.quality_sql(),
+    "op8_chat_rotation": chat.rotate_sql(),
 }

@@ -98,6 +98,24 @@ def _line_id(line: Column) -> Column:
     return F.xxhash64(line)
 
 
+#: Letters whose counts are compared before two lines are.
+LETTERS = "etaoinsrhl"
+
+
+def _count(line: Column, letter: str) -> Column:
+    return F.char_length(line) - F.char_length(F.replace(line, F.lit(letter), F.lit("")))
+
+
+def like_letters(a: Column, b: Column, edits: int) -> Column:
+    """A bound for lines within so many edits: an edit changes the counts of
+    at most two letters, by one each."""
+    total = None
+    for letter in LETTERS:
+        gap = F.abs(_count(a, letter) - _count(b, letter))
+        total = gap if total is None else total + gap
+    return total <= 2 * edits
+
+
 def line_places(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, id, line) of every line of at least ``min_chars`` characters
     without its outer white space."""
@@ -124,7 +142,8 @@ def similar_pairs(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     texts = lines.select("id", "line")
     pairs = met.join(texts.select(F.col("id").alias("a"), F.col("line").alias("la")), "a").join(
         texts.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b")
-    return pairs.where(within(F.col("la"), F.col("lb"), edits)).select("a", "b")
+    alike = like_letters(F.col("la"), F.col("lb"), edits)
+    return pairs.where(F.when(alike, within(F.col("la"), F.col("lb"), edits)).otherwise(False)).select("a", "b")
 
 
 def kept_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -143,43 +162,71 @@ def kept_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
         F.struct(F.col("owner").alias("doc_id")).alias("doc"), "kept")
 
 
-def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(row, text, n_lines, n_removed) per row of ``docs``: ``row`` holds its
-    columns as they were, ``text`` the text without repeated lines.
+def _trimmed(line: Column) -> Column:
+    return F.btrim(line, F.lit(SPACES))
+
+
+def _ids(lines: Column, min_chars: int) -> Column:
+    """Id of each line, null for those too short to be compared."""
+    return F.transform(lines, lambda x: F.when(F.char_length(_trimmed(x)) >= min_chars, _line_id(_trimmed(x))))
+
+
+def _stays(ids: Column, k: Column) -> Column:
+    """Whether line k stays: too short, or kept here and for the first time."""
+    held = F.coalesce(F.array_contains(F.col("kept"), F.get(ids, k)), F.lit(False))
+    return F.get(ids, k).isNull() | (held & (F.array_position(ids, F.get(ids, k)) == k + 1))
+
+
+def _doc() -> Column:
+    return F.struct(F.col("doc_id").cast("long").alias("doc_id")).alias("doc")
+
+
+def removed_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(doc_id, n_lines, removed) per row of ``docs``: ``removed`` lists the
+    repeated lines as (line number from 0, characters), in order.
 
     Lines are compared without their outer white space. A line is repeated if
     a line of its class stands in a document with a smaller doc_id (null last)
     or earlier in its own; lines below ``min_chars`` characters always stay.
     Rows of one doc_id count as one document, and so do those without one. A
-    null text stays null, an empty one empty; an empty table gives no rows.
-    Lines are told apart by 64-bit hashes.
+    null text has no lines, an empty one has one; an empty table gives no
+    rows. Lines are told apart by 64-bit hashes. Texts are not shuffled, only
+    their line ids.
     """
     kept = kept_lines(docs, edits, min_chars)
-    keyed = docs.select(F.struct("*").alias("row"), F.struct(F.col("doc_id").cast("long").alias("doc_id")).alias("doc"))
-    joined = keyed.join(kept, "doc", "left")
+    lines = F.split("text", "\n")
+    slim = docs.select(_doc(), _ids(lines, min_chars).alias("ids"), F.transform(lines, F.char_length).alias("sizes"))
+    joined = slim.join(kept, "doc", "left")
+    places = F.sequence(F.lit(0), F.size("ids") - 1)
+    gone = F.filter(places, lambda k: ~_stays(F.col("ids"), k))
+    spans = F.transform(gone, lambda k: F.struct(k.alias("line"), F.get("sizes", k).alias("chars")))
+    return joined.select("doc.doc_id", F.greatest(F.size("ids"), F.lit(0)).cast("long").alias("n_lines"),
+                         F.coalesce(spans, F.array().cast("array<struct<line:int,chars:int>>")).alias("removed"))
 
-    def trimmed(line: Column) -> Column:
-        return F.btrim(line, F.lit(SPACES))
+
+def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(row, text, n_removed) per row of ``docs``: ``row`` holds its columns
+    as they were, ``text`` the text without its repeated lines (see
+    ``removed_lines``); a null text stays null."""
+    kept = kept_lines(docs, edits, min_chars)
+    joined = docs.select(F.struct("*").alias("row"), _doc()).join(kept, "doc", "left")
 
     def choose(lines: Column) -> Column:
-        ids = F.transform(lines, lambda x: F.when(F.char_length(trimmed(x)) >= min_chars, _line_id(trimmed(x))))
-        return let(ids, lambda i: F.filter(lines, lambda x, k: F.get(i, k).isNull() | (
-            F.coalesce(F.array_contains(F.col("kept"), F.get(i, k)), F.lit(False))
-            & (F.array_position(i, F.get(i, k)) == k + 1))))
+        return let(_ids(lines, min_chars), lambda ids: F.filter(lines, lambda _, k: _stays(ids, k)))
 
     lines = F.split("row.text", "\n")
     done = joined.select("row", F.size(lines).alias("n"), let(lines, choose).alias("left"))
-    return done.select(
-        "row", F.when(F.col("row.text").isNotNull(), F.array_join("left", "\n")).alias("text"),
-        F.greatest("n", F.lit(0)).cast("long").alias("n_lines"),
-        F.when(F.col("row.text").isNull(), 0).otherwise(F.col("n") - F.size("left")).cast("long").alias("n_removed"))
+    return done.select("row", F.when(F.col("row.text").isNotNull(), F.array_join("left", "\n")).alias("text"),
+                       F.when(F.col("row.text").isNull(), 0).otherwise(F.col("n") - F.size("left")).alias("n_removed"))
 
 
 def line_report(docs: DataFrame) -> DataFrame:
-    done = dedup_lines(docs)
-    return done.select(
-        F.col("row.doc_id").cast("long").alias("doc_id"), "n_lines", "n_removed",
-        F.char_length("text").cast("long").alias("kept_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+    """Numbers and places of the repeated lines of each document."""
+    removed = F.col("removed")
+    return removed_lines(docs).select(
+        "doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"),
+        F.aggregate(removed, F.lit(0).cast("long"), lambda n, x: n + x["chars"]).alias("removed_chars"),
+        F.array_join(F.transform(removed, lambda x: x["line"].cast("string")), ",").alias("removed_lines"))
 
 
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamperscope.llm.common import SPACES, let, text_hash
+from tamperscope.llm.common import SPACES, let
 from tamperscope.llm.components import components
 from tamperscope.session import materialize
 
 #: Edits between lines of one class; lines below MIN_CHARS are left alone.
 EDITS = 2
 MIN_CHARS = 24
+#: Lines filed under one segment beyond which they are told apart by their
+#: characters too, before they meet. Either way finds the same pairs.
+CROWD = 32
 
 
 def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
@@ -38,7 +43,8 @@ def _windows(edits: int) -> list[tuple[int, int, int]]:
 
 
 def _keys(line: Column, length: Column, edits: int) -> tuple[Column, Column]:
-    """Keys under which a line is filed, and keys that it probes."""
+    """Keys under which a line is filed, and keys that it probes: those of
+    lines as long as itself (``same``) and of shorter ones."""
     filed = []
     for i in range(edits + 1):
         start, size = _segment(length, i, edits)
@@ -46,10 +52,44 @@ def _keys(line: Column, length: Column, edits: int) -> tuple[Column, Column]:
     probed = []
     for less, i, shift in _windows(edits):
         start, size = _segment(length - less, i, edits)
-        probed.append(F.xxhash64(F.lit(i), length - less, F.substring(line, start + shift, size)))
+        key = F.xxhash64(F.lit(i), length - less, F.substring(line, start + shift, size))
+        probed.append(F.struct(key.alias("key"), F.lit(less == 0).alias("same")))
     return F.array(*filed), F.array(*probed)
 
 
+def _blocks(line: Column, edits: int) -> Column:
+    """Hashes of the characters of a line, without their order, in
+    2 * edits + 3 blocks of code points. An edit changes at most two blocks,
+    so lines within the edits agree in three blocks or more."""
+    n = 2 * edits + 3
+
+    def held(chars: Column, k: int) -> Column:
+        return F.hash(F.filter(chars, lambda c: F.ascii(c) * 5 % 31 % n == k))
+
+    return let(F.array_sort(F.split(line, "")), lambda chars: F.array(*[held(chars, k) for k in range(n)]))
+
+
+def _couples(edits: int) -> list[tuple[int, int]]:
+    """Pairs of blocks, one of which any three blocks contain: those within
+    either half."""
+    n = 2 * edits + 3
+    return [*combinations(range(n // 2), 2), *combinations(range(n // 2, n), 2)]
+
+
+def _by_blocks(crowd: DataFrame, edits: int) -> DataFrame:
+    """Each row of ``crowd`` once per couple of blocks, with its number and hash."""
+    couples = [F.struct(F.lit(c).alias("couple"), F.hash(F.get("blocks", F.lit(i)), F.get("blocks", F.lit(j))).alias("part"))
+               for c, (i, j) in enumerate(_couples(edits))]
+    return crowd.select("*", F.explode(F.array(*couples)).alias("by")).select(*crowd.columns, "by.couple", "by.part")
+
+
+def _agree(a: Column, b: Column, couple: Column, edits: int) -> Column:
+    """Whether three blocks agree, and ``couple`` is the first couple to do so."""
+    same = [F.get(a, F.lit(i)) == F.get(b, F.lit(i)) for i in range(2 * edits + 3)]
+    first = F.coalesce(*[F.when(same[i] & same[j], F.lit(c)) for c, (i, j) in enumerate(_couples(edits))])
+    return (sum((x.cast("int") for x in same[1:]), same[0].cast("int")) >= 3) & (first == couple)
+
+
 def within(a: Column, b: Column, edits: int = EDITS) -> Column:
     """Whether the edit distance of two strings is at most ``edits``.
 
@@ -124,26 +164,55 @@ def line_places(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return lines.select("doc_id", _line_id(F.col("line")).alias("id"), "line")
 
 
-def similar_pairs(lines: DataFrame, edits: int = EDITS) -> DataFrame:
+def _keyed(lines: DataFrame, edits: int) -> DataFrame:
+    """``lines`` with the keys filed and probed in place of the text, written."""
+    filed, probed = _keys(F.col("line"), F.char_length("line"), edits)
+    return materialize(lines.withColumns({"filed": filed, "probed": probed}).drop("line"), "line-keys")
+
+
+def _pairs(keyed: DataFrame, lines: DataFrame, edits: int, crowd: int) -> DataFrame:
+    """``similar_pairs`` of lines whose keys are written already."""
+    index = keyed.select(F.col("id").alias("b"), F.explode("filed").alias("key"))
+    probe = keyed.select(F.col("id").alias("a"), F.explode("probed").alias("p")).select("a", "p.*")
+    crowded = materialize(index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("key"), "line-crowds")
+    # A crowded key stands once, without a line, and so names those that probe it.
+    filed = index.join(crowded, "key", "left_anti").unionByName(crowded.select(F.lit(None).cast("long").alias("b"), "key"))
+    # Equally long lines meet both ways round: one way is enough.
+    once = "a <> b AND (NOT same OR a > b)"
+    met = materialize(probe.join(filed, "key").where(f"b IS NULL OR ({once})"), "line-met")
+    few = met.where("b IS NOT NULL").select("a", "b")
+    here = index.join(crowded, "key", "left_semi")
+    there = met.where("b IS NULL").select("a", "same", "key")
+
+    needed = met.select(F.col("a").alias("id")).union(few.select("b")).union(here.select("b")).distinct()
+    texts = materialize(lines.select("id", "line").join(needed, "id", "left_semi"), "line-texts")
+
+    in_crowds = there.select(F.col("a").alias("id")).union(here.select("b")).distinct()
+    blocks = materialize(texts.join(in_crowds, "id", "left_semi").select("id", _blocks(F.col("line"), edits).alias("blocks")), "line-blocks")
+    left = _by_blocks(there.join(blocks, there["a"] == blocks["id"]).select("a", "same", "key", "blocks"), edits)
+    right = _by_blocks(here.join(blocks, here["b"] == blocks["id"]).select("b", "key", "blocks"), edits)
+    many = left.join(right.withColumnRenamed("blocks", "others"), ["key", "couple", "part"]).where(
+        F.expr(once) & _agree(F.col("blocks"), F.col("others"), F.col("couple"), edits)).select("a", "b")
+
+    pairs = few.union(many).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    pairs = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("la")), "a").join(
+        texts.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b")
+    alike = like_letters(F.col("la"), F.col("lb"), edits)
+    return pairs.where(F.when(alike, within(F.col("la"), F.col("lb"), edits)).otherwise(False)).select("a", "b")
+
+
+def similar_pairs(lines: DataFrame, edits: int = EDITS, crowd: int = CROWD) -> DataFrame:
     """(a, b) ids of all pairs of different lines (id, line; ids are unique)
     within ``edits`` edits, each pair once.
 
     A line is filed under the hashes of its edits + 1 segments, with their
     number and its length; so many edits leave one segment whole, and a line
     probes the substrings where a segment of a line as long or shorter can
-    lie. Lines that meet are compared once, in full.
+    lie. Where more than ``crowd`` lines are filed under one segment, lines
+    meet only if they also agree in three blocks of characters, which edits
+    leave. Lines that meet are compared once, in full.
     """
-    filed, probed = _keys(F.col("line"), F.char_length("line"), edits)
-    index = lines.select(F.col("id").alias("b"), F.explode(filed).alias("key"))
-    probe = lines.select(F.col("id").alias("a"), F.explode(probed).alias("key"))
-    met = probe.join(index, "key").where("a <> b")
-    # Equally long lines may meet both ways round.
-    met = met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    texts = lines.select("id", "line")
-    pairs = met.join(texts.select(F.col("id").alias("a"), F.col("line").alias("la")), "a").join(
-        texts.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b")
-    alike = like_letters(F.col("la"), F.col("lb"), edits)
-    return pairs.where(F.when(alike, within(F.col("la"), F.col("lb"), edits)).otherwise(False)).select("a", "b")
+    return _pairs(_keyed(lines, edits), lines, edits, crowd)
 
 
 def kept_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -151,9 +220,10 @@ def kept_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
     that keep any. Of each class of lines that chains of ``edits`` edits join,
     one line stays, in the document with the smallest doc_id (null last)."""
     places = line_places(docs, min_chars)
-    owners = materialize(places.groupBy("id").agg(F.min("doc_id").alias("owner")), "line-owners")
-    lines = places.select("id", "line").groupBy("id").agg(F.first("line").alias("line"))
-    classes = components(materialize(similar_pairs(lines, edits), "line-pairs"))
+    lines = places.groupBy("id").agg(F.min("doc_id").alias("owner"), F.first("line").alias("line"))
+    keyed = _keyed(lines, edits)
+    owners = keyed.select("id", "owner")
+    classes = components(materialize(_pairs(keyed, lines, edits, CROWD), "line-pairs"))
     members = classes.join(owners, classes["node"] == owners["id"]).select(
         "root", F.struct(F.col("owner").isNull().alias("n"), "owner", "id").alias("line"))
     best = members.groupBy("root").agg(F.min("line").alias("best"))

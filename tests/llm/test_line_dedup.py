@@ -32,18 +32,34 @@ def test_band_distance(spark, edits):
         assert w == (distance(a, b) <= edits), (a, b)
 
 
-@pytest.mark.parametrize("edits", [1, 2])
-def test_join_finds_every_near_pair(spark, edits):
+@pytest.mark.parametrize("edits, crowd", [(1, ld.CROWD), (2, ld.CROWD), (1, 0), (2, 1), (3, 1)])
+def test_join_finds_every_near_pair(spark, edits, crowd):
     rnd = random.Random(7 + edits)
     lines = ["".join(rnd.choice("ab cdé") for _ in range(rnd.randint(6, 40))) for _ in range(40)]
     lines += [edited(x, rnd, rnd.randint(1, 4)) for x in lines for _ in range(4)]
     lines = sorted(set(lines))
     df = spark.createDataFrame(list(enumerate(lines)), "id long, line string")
-    got = sorted((r.a, r.b) for r in ld.similar_pairs(df, edits).collect())
+    got = sorted((r.a, r.b) for r in ld.similar_pairs(df, edits, crowd).collect())
     want = sorted((i, j) for i, a in enumerate(lines) for j, b in enumerate(lines[:i]) if distance(a, b) <= edits)
     assert got == want
 
 
+def test_crowd_of_variants(spark):
+    """Many lines that share segments: whole words changed, and some letters."""
+    rnd = random.Random(5)
+    base = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 6))) for _ in range(14)]
+    lines = set()
+    for _ in range(120):
+        words = list(base)
+        for _ in range(rnd.randint(0, 2)):
+            words[rnd.randrange(len(words))] = "".join(rnd.choice("abcdéh") for _ in range(rnd.randint(2, 6)))
+        lines.add(edited(" ".join(words), rnd, rnd.choice([0, 0, 1])))
+    lines = sorted(lines)
+    df = spark.createDataFrame(list(enumerate(lines)), "id long, line string")
+    got = sorted((r.a, r.b) for r in ld.similar_pairs(df, 2, 8).collect())
+    assert got == sorted((i, j) for i, a in enumerate(lines) for j, b in enumerate(lines[:i]) if distance(a, b) <= 2)
+
+
 def plain_dedup(rows, edits, min_chars):
     """Texts without repeated lines, by comparing all lines."""
     strip = " \t\n\x0b\x0c\r"

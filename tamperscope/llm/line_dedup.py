@@ -42,9 +42,8 @@ def _windows(edits: int) -> list[tuple[int, int, int]]:
     return found
 
 
-def _keys(line: Column, length: Column, edits: int) -> tuple[Column, Column]:
-    """Keys under which a line is filed, and keys that it probes: those of
-    lines as long as itself (``same``) and of shorter ones."""
+def _keys(line: Column, length: Column, edits: int) -> tuple[list[Column], list[Column]]:
+    """Keys under which a line is filed, and keys that it probes, one per window."""
     filed = []
     for i in range(edits + 1):
         start, size = _segment(length, i, edits)
@@ -52,9 +51,8 @@ def _keys(line: Column, length: Column, edits: int) -> tuple[Column, Column]:
     probed = []
     for less, i, shift in _windows(edits):
         start, size = _segment(length - less, i, edits)
-        key = F.xxhash64(F.lit(i), length - less, F.substring(line, start + shift, size))
-        probed.append(F.struct(key.alias("key"), F.lit(less == 0).alias("same")))
-    return F.array(*filed), F.array(*probed)
+        probed.append(F.xxhash64(F.lit(i), length - less, F.substring(line, start + shift, size)))
+    return filed, probed
 
 
 def _blocks(line: Column, edits: int) -> Column:
@@ -164,14 +162,23 @@ def line_places(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return lines.select("doc_id", _line_id(F.col("line")).alias("id"), "line")
 
 
-def _keyed(lines: DataFrame, edits: int) -> DataFrame:
-    """``lines`` with the keys filed and probed in place of the text, written."""
+def _keyed(places: DataFrame, edits: int) -> DataFrame:
+    """One row per id of ``places`` (id, line, others), written: the smallest
+    of each other column, the keys ``filed``, and the keys ``probed`` with
+    whether they look for lines as long (``same``). Only numbers are shuffled."""
     filed, probed = _keys(F.col("line"), F.char_length("line"), edits)
-    return materialize(lines.withColumns({"filed": filed, "probed": probed}).drop("line"), "line-keys")
-
-
-def _pairs(keyed: DataFrame, lines: DataFrame, edits: int, crowd: int) -> DataFrame:
-    """``similar_pairs`` of lines whose keys are written already."""
+    keys = {f"f{k}": x for k, x in enumerate(filed)} | {f"p{k}": x for k, x in enumerate(probed)}
+    others = [c for c in places.columns if c not in ("id", "line")]
+    each = places.select("id", *others, *[x.alias(c) for c, x in keys.items()])
+    each = each.groupBy("id").agg(*[F.min(c).alias(c) for c in [*others, *keys]])
+    windows = [F.struct(F.col(f"p{k}").alias("key"), F.lit(less == 0).alias("same")) for k, (less, _, _) in enumerate(_windows(edits))]
+    return materialize(each.select("id", *others, F.array(*[f"f{k}" for k in range(len(filed))]).alias("filed"),
+                                   F.array(*windows).alias("probed")), "line-keys")
+
+
+def _pairs(keyed: DataFrame, places: DataFrame, edits: int, crowd: int) -> DataFrame:
+    """``similar_pairs`` of lines whose keys are written already; ids of
+    ``places`` may repeat."""
     index = keyed.select(F.col("id").alias("b"), F.explode("filed").alias("key"))
     probe = keyed.select(F.col("id").alias("a"), F.explode("probed").alias("p")).select("a", "p.*")
     crowded = materialize(index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("key"), "line-crowds")
@@ -185,7 +192,9 @@ def _pairs(keyed: DataFrame, lines: DataFrame, edits: int, crowd: int) -> DataFr
     there = met.where("b IS NULL").select("a", "same", "key")
 
     needed = met.select(F.col("a").alias("id")).union(few.select("b")).union(here.select("b")).distinct()
-    texts = materialize(lines.select("id", "line").join(needed, "id", "left_semi"), "line-texts")
+    # Texts of lines that met another, or a crowd; the rest aren't shuffled.
+    found = places.select("id", "line").join(needed, "id", "left_semi")
+    texts = materialize(found.groupBy("id").agg(F.first("line").alias("line")), "line-texts")
 
     in_crowds = there.select(F.col("a").alias("id")).union(here.select("b")).distinct()
     blocks = materialize(texts.join(in_crowds, "id", "left_semi").select("id", _blocks(F.col("line"), edits).alias("blocks")), "line-blocks")
@@ -220,10 +229,9 @@ def kept_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
     that keep any. Of each class of lines that chains of ``edits`` edits join,
     one line stays, in the document with the smallest doc_id (null last)."""
     places = line_places(docs, min_chars)
-    lines = places.groupBy("id").agg(F.min("doc_id").alias("owner"), F.first("line").alias("line"))
-    keyed = _keyed(lines, edits)
-    owners = keyed.select("id", "owner")
-    classes = components(materialize(_pairs(keyed, lines, edits, CROWD), "line-pairs"))
+    keyed = _keyed(places, edits)
+    owners = keyed.select("id", F.col("doc_id").alias("owner"))
+    classes = components(materialize(_pairs(keyed, places, edits, CROWD), "line-pairs"))
     members = classes.join(owners, classes["node"] == owners["id"]).select(
         "root", F.struct(F.col("owner").isNull().alias("n"), "owner", "id").alias("line"))
     best = members.groupBy("root").agg(F.min("line").alias("best"))

@@ -16,8 +16,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tamperscope.sources.text import file_id
+
 CELL_SCHEMA = ("book string, sheet string, line_no bigint, col int, value string, is_text boolean, "
-               "number_format string, font string, color_source string, formula string")
+               "number_format string, font string, color_source string, formula string, sheet_no int")
 PART_SCHEMA = "book string, kind string, name string, value string"
 YEAR = 365.25 * 86400
 
@@ -94,7 +96,7 @@ def _open(book: str, content: bytes) -> tuple[list[tuple], list[tuple]]:
         shared = ["".join(t.text or "" for t in _children(si, "t")) for si in _children(xml("xl/sharedStrings.xml"), "si")]
         root = xml("xl/styles.xml")
         styles = _styles(root) if root is not None else []
-        for path, sheet in sheets.items():
+        for number, (path, sheet) in enumerate(sheets.items()):
             for c in _children(xml(path), "c"):
                 col, line = _column(c.get("r"))
                 inner = {_tag(n): n for n in c}
@@ -107,13 +109,13 @@ def _open(book: str, content: bytes) -> tuple[list[tuple], list[tuple]]:
                 style = int(c.get("s", 0))
                 fmt, font, source = styles[style] if style < len(styles) else ("General", "", "none")
                 cells.append((book, sheet, line, col, text, kind in ("s", "inlineStr", "str"), fmt, font, source,
-                              inner["f"].text if "f" in inner else None))
+                              inner["f"].text if "f" in inner else None, number))
     return cells, parts
 
 
 def _workbooks(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path).select(
-        F.regexp_extract("path", r"([^/]+)$", 1).alias("book"), "content")
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").option("recursiveFileLookup", True).load(path).select(
+        file_id(path).alias("book"), "content")
 
 
 def read_cells(spark: SparkSession, path: str) -> DataFrame:
@@ -140,7 +142,7 @@ def read_parts(spark: SparkSession, path: str) -> DataFrame:
 def sheet_lines(cells: DataFrame, sheet: str | None = None) -> DataFrame:
     """Lines of one sheet per workbook (the first, or the named one), in the
     shape the delimited reader produces."""
-    first = cells.groupBy("book").agg(F.min("sheet").alias("sheet")) if sheet is None else cells.where(
+    first = cells.groupBy("book").agg(F.min_by("sheet", "sheet_no").alias("sheet")) if sheet is None else cells.where(
         F.col("sheet") == sheet).select("book", "sheet").distinct()
     own = cells.join(first, ["book", "sheet"])
     width = own.groupBy("book").agg(F.max("col").alias("_w"))

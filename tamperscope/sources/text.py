@@ -7,8 +7,12 @@ detection, roles and assay are aggregates and windows over (dataset, line) and
 
 from __future__ import annotations
 
+import csv
+import io
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,9 +27,9 @@ MIN_ROWS_FOR_GROUPING = 50
 # Header patterns that decide a role.
 LABEL_HEADER = (
     r"^(id|name|sample|subject|patient|well|row|res|residue|index|idx|num|no|n|number|#|pos|position|frame|step|time"
-    r"|timepoint|obs|gene|geneid|protein|accession|sampleid|proteinid|feature|analyte|target)\b"
+    r"|timepoint|obs|gene|geneid|protein|accession)\b"
 )
-CONDITION_HEADER = r"^(group|condition|cond|treatment|dose|conc|ctrl|control|type|category|class|arm|genotype|strain)\b"
+CONDITION_HEADER = r"^(group|condition|treatment|dose|conc|ctrl|control|type|category|class|arm|genotype|strain)\b"
 
 # Fixed values: (assay, points, pattern) on file names and on headers.
 FILE_HINTS = [
@@ -63,17 +67,44 @@ class Corpus:
     sheet: Sheet
 
 
+#: Lines handed on at a time.
+LINE_BATCH = 10_000
+
+
+def file_id(path: str) -> Column:
+    """A file's path below the folder ``path``, or its whole path where that
+    is a pattern: files of one name in two folders stay apart."""
+    full, folder = F.col("_metadata.file_path"), path.rstrip("/") + "/"
+    at = F.instr(full, folder)
+    return F.when(at > 0, F.substring(full, at + len(folder), F.length(full))).otherwise(full)
+
+
+def _records(value: str, separator: str) -> Iterator[list[str]]:
+    """Cells of each line of a file, in one pass; quoted cells may hold
+    separators, line breaks and doubled quotes. A blank line has one empty cell."""
+    csv.field_size_limit(1 << 31)
+    for cells in csv.reader(io.StringIO(value, newline=""), delimiter=separator, skipinitialspace=separator != " "):
+        yield [c.strip() for c in cells] or [""]
+
+
 def read_lines(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
     """dataset_id, line_no, cells of every file under ``path``. A file is one
     record, so quoted line breaks and line order survive."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("dataset_id"), "value")
-    line = files.select("dataset_id", F.posexplode(F.split("value", r"\r?\n(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)")).alias("line_no", "line"))
-    sep = separator.replace("|", r"\|")
-    cells = F.transform(
-        F.split("line", rf"{sep}(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)"),
-        lambda c: F.trim(F.replace(F.regexp_replace(F.trim(c), r'^"|"$', ""), F.lit('""'), F.lit('"'))),
-    )
-    return line.select("dataset_id", F.col("line_no").cast("bigint"), cells.alias("cells"))
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(file_id(path).alias("dataset_id"), "value")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for name, value in zip(pdf["dataset_id"], pdf["value"], strict=True):
+                held: list[tuple] = []
+                for number, cells in enumerate(_records(value or "", separator)):
+                    held.append((name, number, cells))
+                    if len(held) == LINE_BATCH:
+                        yield pd.DataFrame(held, columns=["dataset_id", "line_no", "cells"])
+                        held = []
+                if held:
+                    yield pd.DataFrame(held, columns=["dataset_id", "line_no", "cells"])
+
+    return files.mapInPandas(run, "dataset_id string, line_no bigint, cells array<string>")
 
 
 def _filled(cells: str | Column) -> Column:
@@ -203,7 +234,8 @@ def group_attributes(data: DataFrame, roles: DataFrame) -> DataFrame:
 def detect_assay(columns: DataFrame) -> DataFrame:
     """Best-scoring assay per dataset from its file name and headers."""
     def tidy(c: str) -> Column:
-        return F.regexp_replace(F.lower(F.col(c)), r"[-_.\s]", "")
+        last = F.regexp_extract(c, r"([^/]*)$", 1) if c == "dataset_id" else F.col(c)  # folders say nothing
+        return F.regexp_replace(F.lower(last), r"[-_.\s]", "")
 
     kinds = list(dict.fromkeys(a for a, _, _ in FILE_HINTS + HEADER_HINTS))
 

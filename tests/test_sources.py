@@ -36,6 +36,23 @@ def test_corpus_of_sheets(spark, tmp_path):
     assert assays["elisa.csv"][0] == "elisa"
 
 
+def test_quoted_lines_and_files_of_one_name(spark, tmp_path):
+    for k, folder in enumerate(("one", "two")):
+        (tmp_path / folder).mkdir()
+        lines = [f'"r{i}","{i}.5, or ""so""","a\nb{k}",plain' for i in range(1000)]
+        (tmp_path / folder / "same.csv").write_text("\r\n".join(lines) + "\r\n\r\nlast,1\r\n")
+    got = {(r.dataset_id, r.line_no): r.cells for r in text.read_lines(spark, str(tmp_path)).collect()}
+    assert len(got) == 2 * 1002 and {d for d, _ in got} == {"one/same.csv", "two/same.csv"}
+    assert got[("two/same.csv", 7)] == ["r7", '7.5, or "so"', "a\nb1", "plain"]
+    assert got[("one/same.csv", 1000)] == [""] and got[("one/same.csv", 1001)] == ["last", "1"]
+
+
+def test_first_sheet_is_the_workbooks_first(spark):
+    cells = spark.createDataFrame([("b", "Appendix", 1, 0, "no", 1), ("b", "Zdata", 1, 0, "yes", 0)],
+                                  "book string, sheet string, line_no bigint, col int, value string, sheet_no int")
+    assert excel.sheet_lines(cells).first().cells == ["yes"]
+
+
 def test_blocks_are_split_on_blank_lines(spark):
     lines = [("d", i, c) for i, c in enumerate([["a", "b"], ["1", "2"], ["", ""], ["x", "y"], ["3", "4"], ["5", "6"], ["", ""], ["z", ""]])]
     df = spark.createDataFrame(lines, "dataset_id string, line_no bigint, cells array<string>")

@@ -34,7 +34,10 @@ def ordinal(
     spark = df.sparkSession
     path = new_path(spark, name)
     df.orderBy(*keys, *order).write.parquet(path)
-    part = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("int")
+    # A task may write several files, numbered in order.
+    file = F.col("_metadata.file_name")
+    part = F.struct(F.regexp_extract(file, r"part-(\d+)", 1).cast("int").alias("task"),
+                    F.regexp_extract(file, r"-c(\d+)", 1).cast("int").alias("file"))
     written = spark.read.schema(df.schema).parquet(path).select(
         "*", part.alias("_part"), F.col("_metadata.row_index").alias("_at")
     )

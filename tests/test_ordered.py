@@ -67,3 +67,13 @@ def test_median(spark):
     df = spark.createDataFrame([(1, float(v)) for v in (4, 1, 3, 2)], "k int, x double")
     assert df.groupBy("k").agg(ordered.median("x").alias("m")).first().m == 2.5
     assert df.where(F.col("x") < 4).groupBy("k").agg(ordered.median("x").alias("m")).first().m == 2.0
+
+
+def test_positions_where_a_task_writes_several_files(spark):
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 10)
+    try:
+        df = spark.range(100).selectExpr("id % 2 AS k", "id")
+        got = [(r.k, r.id, r.pos) for r in ordered.ordinal(df, ["k"], ["id"], "pos").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    assert sorted(got) == sorted((i % 2, i, i // 2) for i in range(100))

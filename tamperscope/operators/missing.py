@@ -13,8 +13,6 @@ from tamperscope.model import KEY, Outcome, Sheet, result_rows, unit_rows
 from tamperscope.operators.ordered import islands
 from tamperscope.session import materialize
 
-MAX_PAIR_COLUMNS = 50
-
 
 def missing_rates(sheet: Sheet) -> DataFrame:
     gaps = sheet.rows.select(*KEY, F.posexplode("vals").alias("col", "v"))
@@ -24,25 +22,26 @@ def missing_rates(sheet: Sheet) -> DataFrame:
 
 
 def pair_gaps(sheet: Sheet) -> DataFrame:
-    """Rows in which both, one or neither column of a pair is missing."""
-    rows = sheet.rows.where(F.size("vals").between(2, MAX_PAIR_COLUMNS))
-    # Only rows with a gap are expanded; complete rows fall out as a remainder.
-    holes = rows.where(F.exists("vals", lambda v: v.isNull()))
-    per_row = F.flatten(F.transform(
-        F.sequence(F.lit(0), F.size("vals") - 2),
-        lambda i: F.transform(F.sequence(i + 1, F.size("vals") - 1), lambda j: F.struct(
-            i.cast("int").alias("c1"), j.cast("int").alias("c2"),
-            F.get("vals", i).isNull().alias("m1"), F.get("vals", j).isNull().alias("m2"))),
-    ))
-    pairs = holes.select(*KEY, F.explode(per_row).alias("p")).select(*KEY, "p.*")
-    counts = pairs.groupBy(*KEY, "c1", "c2").agg(
-        F.count_if(F.col("m1") & F.col("m2")).alias("both"), F.count_if(F.col("m1") & ~F.col("m2")).alias("only1"),
-        F.count_if(~F.col("m1") & F.col("m2")).alias("only2"),
-    )
-    sizes = sheet_sizes(rows)
-    return counts.join(sizes, KEY).withColumn(
-        "neither", F.col("n_rows") - F.col("both") - F.col("only1") - F.col("only2")
-    ).where((F.col("both") + F.col("only1") > 0) & (F.col("both") + F.col("only2") > 0)).drop("n_rows", "n_cols")
+    """Rows in which both, one or neither column of a pair is missing, for all
+    pairs of columns with gaps.
+
+    Only the pairs of a row's own gaps are expanded; what one column alone
+    lacks, and the rows that lack neither, follow from the columns' totals.
+    """
+    gaps = F.filter(F.transform("vals", lambda v, i: F.when(v.isNull(), i)), lambda i: i.isNotNull())
+    holes = sheet.rows.select(*KEY, gaps.alias("h")).where(F.size("h") >= 2)
+    per_row = F.flatten(F.transform("h", lambda a: F.transform(
+        F.filter("h", lambda b: b > a), lambda b: F.struct(a.alias("c1"), b.alias("c2")))))
+    shared = holes.select(*KEY, F.explode(per_row).alias("p")).select(*KEY, "p.*").groupBy(*KEY, "c1", "c2").agg(
+        F.count(F.lit(1)).alias("both"))
+    rates = missing_rates(sheet).where("n_missing > 0")
+    left = rates.select(*KEY, F.col("col").alias("c1"), F.col("n_missing").alias("_m1"), "n_rows")
+    right = rates.select(*KEY, F.col("col").alias("c2"), F.col("n_missing").alias("_m2"))
+    pairs = left.join(right, KEY).where("c1 < c2").join(shared, [*KEY, "c1", "c2"], "left").fillna(0, ["both"])
+    only1, only2 = F.col("_m1") - F.col("both"), F.col("_m2") - F.col("both")
+    return pairs.select(
+        *KEY, "c1", "c2", "both", only1.alias("only1"), only2.alias("only2"),
+        (F.col("n_rows") - F.col("both") - only1 - only2).alias("neither"))
 
 
 def condition_gaps(sheet: Sheet) -> DataFrame:

@@ -22,7 +22,7 @@ from tamperscope.operators.ordered import (
     dense_position, median, prefix_sum, sign_runs, sliding, with_halo,
 )
 from tamperscope.operators.replicates import (
-    PAIR, STRIDE, WIDTH, predicted_sigma, scan_pairs, size_cause, window_runs,
+    PAIR, STRIDE, WIDTH, predicted_sigma, size_cause, window_runs,
 )
 from tamperscope.operators.resample import exceed_p, gather, permutation_exceedances
 from tamperscope.session import materialize
@@ -440,7 +440,7 @@ def loess_cusum(sheet: Sheet) -> Outcome:
     series = materialize(noise_profile(sheet), "noise-profile")
     whole = materialize(loess_scan(series, KEY, test, seed, lambda n: 4999 if n <= 100 else 499), "loess-scan")
     sizes = sheet_sizes(sheet.rows)
-    pairs = scan_pairs(pair_values(sheet.rows), sizes).withColumn("y", F.abs(F.col("a") - F.col("b"))).drop("a", "b")
+    pairs = pair_values(sheet.rows).withColumn("y", F.abs(F.col("a") - F.col("b"))).drop("a", "b")
     per_pair = loess_scan(materialize(dense_position(pairs, PAIR, "row_idx"), "pair-noise"), PAIR, test + " pair", seed, lambda n: 499)
     per_pair = bh_small(materialize(per_pair.withColumn("raw_p", F.least("scan_p", "cusum_p")), "pair-scan"), KEY)
     lift = per_pair.groupBy(*KEY).agg(F.min("adj_p").alias("pair_p"))

@@ -25,7 +25,6 @@ from tamperscope.operators.resample import generator
 from tamperscope.session import materialize
 
 WIDTH, STRIDE = 15, 5
-MAX_SCAN_PAIRS = 30
 PAIR = [*KEY, "c1", "c2"]
 CUTS = [0.05 + 1e-9, 0.95 - 1e-9]
 
@@ -42,19 +41,6 @@ def pair_differences(sheet: Sheet, *keep: str) -> DataFrame:
     return dense_position(pairs, PAIR, "row_idx")
 
 
-def scan_pairs(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
-    """At most 30 column pairs, spread evenly over all of them."""
-    p = F.col("n_cols")
-    n_pairs = p * (p - 1) / 2
-    number = F.col("c1") * p - F.col("c1") * (F.col("c1") + 1) / 2 + F.col("c2") - F.col("c1") - 1
-    slot = F.floor(number * MAX_SCAN_PAIRS / n_pairs)
-    earlier = F.floor((number - 1) * MAX_SCAN_PAIRS / n_pairs)
-    first_of_slot = (number == 0) | (slot != earlier)
-    return pairs.join(sizes.select(*KEY, "n_cols"), KEY).where(
-        (n_pairs <= MAX_SCAN_PAIRS) | first_of_slot
-    ).drop("n_cols")
-
-
 def size_cause(min_cols: int, min_rows: int, rows: str = "n_rows") -> tuple[Column, Column, Column]:
     cause = F.when(F.coalesce("n_cols", F.lit(0)) < min_cols, "tooFewColumns").when(
         F.coalesce(rows, F.lit(0)) < min_rows, "tooFewRows"
@@ -283,10 +269,9 @@ def window_runs(windows: DataFrame, signs: str, unit: list[str], keep: list[str]
 
 
 def runs_windows(sheet: Sheet) -> DataFrame:
-    """Window z of each scanned pair, over all rows and inside each condition."""
-    sizes = sheet_sizes(sheet.rows)
+    """Window z of each pair, over all rows and inside each condition."""
     unit = ["dataset_id", "grp", "seq", "c1", "c2"]
-    pairs = scan_pairs(pair_values(sheet.rows, "cond"), sizes).withColumn(
+    pairs = pair_values(sheet.rows, "cond").withColumn(
         "s", F.signum(F.col("a") - F.col("b"))
     )
     both = F.array(F.lit("all"), F.when(F.col("cond").isNotNull(), F.concat(F.lit("cond:"), "cond")))
@@ -294,8 +279,6 @@ def runs_windows(sheet: Sheet) -> DataFrame:
     placed = materialize(dense_position(series, unit, "row_idx"), "sign-series")
     lengths = placed.groupBy(*unit).agg(F.count("s").alias("n"))
     windows = sliding(placed, unit, ["s", "row_idx"], WIDTH, STRIDE).join(lengths, unit)
-    # Long series step a whole window at a time.
-    windows = windows.where((F.col("n") <= 1000) | (F.col("start") % WIDTH == 0))
     windows = windows.withColumn("row_lo", F.get("row_idx", F.lit(0))).withColumn(
         "row_hi", F.get("row_idx", F.lit(WIDTH - 1))
     )
@@ -632,7 +615,7 @@ def correlation_windows(sheet: Sheet, baseline: DataFrame) -> DataFrame:
     pairs = pair_values(grouped).join(baseline, PAIR)
     placed = dense_position(pairs, PAIR, "row_idx")
     windows = sliding(placed.select(*PAIR, "pos", "a", "b", "row_idx"), PAIR, ["a", "b", "row_idx"], WIDTH, STRIDE)
-    windows = windows.join(baseline, PAIR).where((F.col("n") <= 1000) | (F.col("start") % WIDTH == 0))
+    windows = windows.join(baseline, PAIR)
     return windows.select(
         *PAIR, "w", "n", "others", _window_r(F.col("a"), F.col("b")).alias("r"),
         F.get("row_idx", F.lit(0)).alias("row_lo"), F.get("row_idx", F.lit(WIDTH - 1)).alias("row_hi"),
@@ -871,9 +854,6 @@ def _grid_ad(column: str) -> Column:
 
 def _simulate_kurtosis(rng, n: int, p: int, from_fit: bool, trim: bool) -> tuple[np.ndarray, np.ndarray]:
     pairs = [(i, j) for i in range(p) for j in range(i + 1, p)]
-    if len(pairs) > MAX_SCAN_PAIRS:
-        step = len(pairs) / MAX_SCAN_PAIRS
-        pairs = [pairs[int(i * step)] for i in range(MAX_SCAN_PAIRS)]
     left, right = np.array([a for a, _ in pairs]), np.array([b for _, b in pairs])
     kurts, ads = np.empty(SIMULATIONS), np.empty(SIMULATIONS)
     for b in range(SIMULATIONS):

@@ -44,10 +44,10 @@ def digits_of(x: str) -> str:
 EV = """ev AS (SELECT row_number() OVER (ORDER BY ts,event_id)-1 row_idx, event_type cond, user_id, value x FROM events)"""
 
 ORD = """l4 AS (SELECT l_orderkey k, l_extendedprice x, row_number() OVER (PARTITION BY l_orderkey
-  ORDER BY l_linenumber,l_partkey,l_suppkey,l_extendedprice) r FROM lineitem),
-wide AS (SELECT k, max(CASE WHEN r=1 THEN x END) v0, max(CASE WHEN r=2 THEN x END) v1,
-  max(CASE WHEN r=3 THEN x END) v2, max(CASE WHEN r=4 THEN x END) v3 FROM l4 WHERE r<=4 GROUP BY k),
-sheet AS (SELECT row_number() OVER (ORDER BY o_orderdate,o_orderkey)-1 row_idx, o_orderpriority cond, v0,v1,v2,v3,
+  ORDER BY l_linenumber,l_partkey,l_suppkey,l_extendedprice)-1 r FROM lineitem),
+wide AS (SELECT k, r//4 part, max(CASE WHEN r%4=0 THEN x END) v0, max(CASE WHEN r%4=1 THEN x END) v1,
+  max(CASE WHEN r%4=2 THEN x END) v2, max(CASE WHEN r%4=3 THEN x END) v3 FROM l4 GROUP BY k, r//4),
+sheet AS (SELECT row_number() OVER (ORDER BY o_orderdate,o_orderkey,part)-1 row_idx, o_orderpriority cond, v0,v1,v2,v3,
   (CASE WHEN v0 IS NULL THEN 0 ELSE 1 END)+(CASE WHEN v1 IS NULL THEN 0 ELSE 1 END)
   +(CASE WHEN v2 IS NULL THEN 0 ELSE 1 END)+(CASE WHEN v3 IS NULL THEN 0 ELSE 1 END) nv
   FROM wide JOIN orders ON k=o_orderkey),
@@ -69,8 +69,8 @@ cell AS (SELECT row_idx,0 col,v0 x FROM lines UNION ALL SELECT row_idx,1,v1 FROM
   SELECT row_idx,2,v2 FROM lines UNION ALL SELECT row_idx,3,v3 FROM lines)"""
 
 EMB = """emb AS (SELECT row_number() OVER (ORDER BY vec_id)-1 row_idx, CAST(label AS VARCHAR) cond,
-  [CAST(x AS DOUBLE) FOR x IN embedding[1:6]] vals FROM embeddings),
-cell AS (SELECT row_idx,cond,unnest([0,1,2,3,4,5]) col,unnest(vals) x FROM emb)"""
+  [CAST(x AS DOUBLE) FOR x IN embedding] vals FROM embeddings),
+cell AS (SELECT row_idx,cond,unnest(range(len(vals))) col,unnest(vals) x FROM emb)"""
 
 KEY = "CAST(floor(x*10000.0+0.5) AS BIGINT)"
 

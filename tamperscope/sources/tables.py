@@ -100,12 +100,13 @@ def column_sheet(spark: SparkSession, sf_dir: str, table: str, column: str, orde
     return Sheet(built_once(spark, column, [f"{sf_dir}/{table}.parquet"], build))
 
 
+#: Columns of the order sheet; an order with more lines goes on in a further row.
 ORDER_LINES = 4
 
 
 def order_lines_sheet(spark: SparkSession, sf_dir: str) -> Sheet:
-    """The first four line prices of each order as four replicates; conditions
-    are order priorities and rows follow the order date."""
+    """All line prices of each order, four to a row as four replicates;
+    conditions are order priorities and rows follow the order date."""
 
     def build() -> DataFrame:
         line = _read(spark, sf_dir, "lineitem").select(
@@ -114,19 +115,18 @@ def order_lines_sheet(spark: SparkSession, sf_dir: str) -> Sheet:
         first = Window.partitionBy("l_orderkey").orderBy(
             "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"
         )
-        # The rank limit is applied before the shuffle as well, so an order
-        # with a huge number of lines sends only four rows per input task.
-        top = line.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= ORDER_LINES)
-        wide = top.groupBy("l_orderkey").agg(
-            *[F.max(F.when(F.col("_r") == i, F.col("l_extendedprice"))).alias(f"v{i}")
-              for i in range(1, ORDER_LINES + 1)]
+        # The window, the rows and the join share one partitioning by order.
+        place = F.row_number().over(first) - 1
+        placed = line.withColumn("_part", F.floor(place / ORDER_LINES)).withColumn("_slot", place % ORDER_LINES)
+        wide = placed.groupBy("l_orderkey", "_part").agg(
+            *[F.max(F.when(F.col("_slot") == i, F.col("l_extendedprice"))).alias(f"v{i}") for i in range(ORDER_LINES)]
         )
         orders = _read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
         joined = wide.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         return sheet_rows(
             joined,
-            F.array(*[f"v{i}" for i in range(1, ORDER_LINES + 1)]),
-            ["o_orderdate", "o_orderkey"],
+            F.array(*[f"v{i}" for i in range(ORDER_LINES)]),
+            ["o_orderdate", "o_orderkey", "_part"],
             dataset=F.lit("orders"), cond=F.col("o_orderpriority"), subject=F.col("o_orderkey"),
             name="order-lines",
         )
@@ -135,22 +135,19 @@ def order_lines_sheet(spark: SparkSession, sf_dir: str) -> Sheet:
     return Sheet(built_once(spark, "order_lines", paths, build))
 
 
-def embedding_sheet(spark: SparkSession, sf_dir: str, dims: int = 6) -> Sheet:
-    """The first ``dims`` embedding dimensions; conditions are labels."""
+def embedding_sheet(spark: SparkSession, sf_dir: str) -> Sheet:
+    """All embedding dimensions as columns; conditions are labels."""
 
     def build() -> DataFrame:
-        emb = _read(spark, sf_dir, "embeddings").withColumn("_v", F.slice("embedding", 1, dims))
         return sheet_rows(
-            emb, F.col("_v"), ["vec_id"], dataset=F.lit("embeddings"),
+            _read(spark, sf_dir, "embeddings"), F.col("embedding"), ["vec_id"], dataset=F.lit("embeddings"),
             cond=F.col("label"), subject=F.col("vec_id"), name="embeddings",
         )
 
-    return Sheet(built_once(spark, f"embeddings{dims}", [f"{sf_dir}/embeddings.parquet"], build))
+    return Sheet(built_once(spark, "embeddings", [f"{sf_dir}/embeddings.parquet"], build))
 
 
 def with_settings(sheet: Sheet, **changes) -> Sheet:
-
-
     return replace(sheet, settings=replace(sheet.settings, **changes))
 
 

@@ -128,6 +128,19 @@ def kolmogorov_sf(s: Column) -> Column:
     return let(s, body)
 
 
+def digamma(x, log=F.log):
+    """Digamma of a positive column, or of a number with ``log=math.log``."""
+    y = x + 6
+    square = 1 / (y * y)
+    series = square / 12 - square * square / 120 + square * square * square / 252
+    return log(y) - 1 / (2 * y) - series - sum(1 / (x + i) for i in range(6))
+
+
+def log_variance_bias(freedom, log=F.log):
+    """Mean of ln(s^2 / sigma^2) of Gaussian samples with ``freedom`` degrees."""
+    return digamma(freedom / 2, log) - log(freedom / 2)
+
+
 def fisher_z(r: Column) -> Column:
     return let(r, lambda v: F.lit(0.5) * F.log((F.lit(1.0) + v) / (F.lit(1.0) - v)))
 

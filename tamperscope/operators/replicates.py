@@ -15,13 +15,15 @@ from tamperscope.functions.rows import (
     cells, mean, pair_label, pair_values, sheet_sizes, with_row_stats,
 )
 from tamperscope.functions.stats import (
-    ALPHA_HIGH, chi2_sf, fisher_z, flag_from_p, let, normal_sf, runs_z, sidak, stronger_flag, z_to_p,
+    ALPHA_HIGH, chi2_sf, fisher_z, flag_from_p, let, log_variance_bias, normal_cdf, normal_sf, runs_z, sidak,
+    stronger_flag, z_to_p,
 )
 from tamperscope.model import KEY, Outcome, Sheet, result_rows, unit_rows
 from tamperscope.operators.ordered import (
     dense_position, lagged, median, ordinal, rank_values, sign_runs, sliding, windows_in,
 )
 from tamperscope.operators.resample import generator
+from tamperscope.operators.shapes import phi
 from tamperscope.session import materialize
 
 WIDTH, STRIDE = 15, 5
@@ -680,17 +682,22 @@ def inter_replicate_correlation(sheet: Sheet) -> Outcome:
 
 SIMULATIONS = 1999
 SIM_ROWS = 500
+#: Sheets of so many columns or fewer are judged by the Anderson-Darling distance.
+AD_COLUMNS = 3
+_CLIP = 1e-10
 
 
 def predicted_sigma(rows: DataFrame) -> DataFrame:
     """Row sigma from the log-log fit of variance on mean where it covers half
-    the rows, else the row's own sd. Adds row_mean, n_vals and sigma."""
+    the rows, else the row's own sd. Adds row_mean, n_vals, sigma and
+    log_bias, how far the mean of the fitted log variances lies below theirs."""
     stats = with_row_stats(rows)
     usable = (F.col("n_vals") >= 2) & (F.col("row_mean") > 0) & (F.col("row_var") > 0)
     lm, lv = F.when(usable, F.log("row_mean")), F.when(usable, F.log("row_var"))
     fit = stats.groupBy(*KEY).agg(
         F.count(lm).alias("_n"), F.regr_slope(lv, lm).alias("_slope"),
         F.avg(lm).alias("_mx"), F.avg(lv).alias("_my"), F.count(F.lit(1)).alias("_rows"),
+        F.avg(F.when(usable, log_variance_bias(F.col("n_vals") - 1))).alias("log_bias"),
         F.count_if((F.col("n_vals") >= 2) & (F.col("row_mean") > 0)).alias("_covered"),
     ).withColumn("_slope", F.coalesce("_slope", F.lit(0.0)))
     joined = stats.join(fit, KEY)
@@ -709,8 +716,11 @@ def _kurtosis(x: Column, n: Column) -> Column:
 
 
 def standardised_differences(sheet: Sheet) -> DataFrame:
+    """Pair differences in units of the row's sigma, freed of the fit's bias."""
     rows = predicted_sigma(sheet.rows).where(F.col("sigma") > 0)
-    return pair_values(rows, "cond", "sigma").withColumn("nd", (F.col("a") - F.col("b")) / F.col("sigma"))
+    free = F.when(F.col("from_fit"), F.exp(-F.col("log_bias") / 2)).otherwise(1.0)
+    rows = rows.withColumn("sigma", F.col("sigma") * free).withColumn("width", F.size("vals"))
+    return pair_values(rows, "cond", "sigma", "width").withColumn("nd", (F.col("a") - F.col("b")) / F.col("sigma"))
 
 
 def _trimmed_kurtosis(diffs: DataFrame, keys: list[str], n_rows: DataFrame) -> DataFrame:
@@ -751,13 +761,11 @@ def excess_kurtosis(sheet: Sheet) -> Outcome:
     by_cond = _trimmed_kurtosis(
         diffs.where(F.col("cond").isNotNull()), [*KEY, "cond"], sizes.select(*KEY, "n_rows")
     ).where("pooled_n >= 20")
-    # Anderson-Darling of the pooled differences against N(0, sqrt 2), from a
-    # fixed grid of counts; the null uses the same grid.
-    ad = _grid_counts(diffs)
+    ad = pooled_ad(diffs)
     rows = predicted_sigma(sheet.rows).where(F.col("sigma") > 0).groupBy(*KEY).agg(
         F.count("sigma").alias("n_sigma"), F.max("from_fit").alias("from_fit")
     )
-    base = sizes.join(rows, KEY).join(pooled, KEY).join(ad, KEY).where("pooled_n >= 20")
+    base = sizes.join(rows, KEY).join(pooled, KEY).join(ad, KEY, "left").where("pooled_n >= 20")
 
     @F.pandas_udf("struct<kurt:array<double>,ad:array<double>>")
     def null(dataset: pd.Series, grp: pd.Series, n_sigma: pd.Series, p: pd.Series,
@@ -772,15 +780,15 @@ def excess_kurtosis(sheet: Sheet) -> Outcome:
 
     base = materialize(base, "kurtosis")
     nulls = base.select(
-        *KEY, "n_rows", "n_cols", "pooled_n", "kurtosis", "bins", "n_sigma",
+        *KEY, "n_rows", "n_cols", "pooled_n", "kurtosis", "ad", "n_sigma",
         null("dataset_id", "grp", "n_sigma", "n_cols", "from_fit", "n_rows").alias("null"),
-    ).withColumn("ad", _grid_ad("bins"))
+    )
     middle = F.get("null.kurt", F.floor(F.size("null.kurt") / 2).cast("int"))
     avg = F.aggregate("null.kurt", F.lit(0.0), lambda a, v: a + v) / F.size("null.kurt")
     nulls = nulls.withColumn("middle", middle).withColumn("null_mean", avg).withColumn(
         "kurt_p", _two_sided(F.col("kurtosis"))
     ).withColumn(
-        "ad_p", (F.size(F.filter("null.ad", lambda v: v >= F.col("ad"))) + 1) / (F.size("null.ad") + 1)
+        "ad_p", F.when(F.col("ad").isNotNull(), (F.size(F.filter("null.ad", lambda v: v >= F.col("ad"))) + 1) / (F.size("null.ad") + 1))
     ).withColumn("deviation", F.col("kurtosis") - F.col("null_mean"))
     nulls = materialize(nulls, "kurtosis-null")
     conds = by_cond.withColumnRenamed("kurtosis", "k_cond").drop("pooled_n").join(
@@ -789,8 +797,8 @@ def excess_kurtosis(sheet: Sheet) -> Outcome:
     below = bh_small(conds.where(F.col("k_cond") < F.col("null_mean")), KEY)
     promoted = below.groupBy(*KEY).agg(F.min("adj_p").alias("cond_adj_p"), F.min("raw_p").alias("cond_p"))
     threshold = F.greatest(F.lit(0.20), 1.96 * F.sqrt(F.lit(24.0) / F.greatest("pooled_n", F.lit(1))))
-    p = F.when(F.col("n_cols") <= 3, F.col("ad_p")).otherwise(F.col("kurt_p"))
-    df = sizes.join(nulls.drop("n_rows", "n_cols", "null", "bins").withColumnRenamed("grp", "grp"), KEY, "left").join(
+    p = F.when(F.col("n_cols") <= AD_COLUMNS, F.col("ad_p")).otherwise(F.col("kurt_p"))
+    df = sizes.join(nulls.drop("n_rows", "n_cols", "null"), KEY, "left").join(
         promoted, KEY, "left"
     ).withColumn("p", p)
     gated = (F.col("deviation") >= 0) | (F.abs("deviation") < threshold)
@@ -820,51 +828,43 @@ def _two_sided(observed: Column) -> Column:
     return (far + 1) / (F.size("null.kurt") + 1)
 
 
-# Grid of 400 cells over [-8, 8] in units of the difference's sd.
-_GRID = 400
-_STEP = 16.0 / _GRID
-
-
-def _grid_counts(diffs: DataFrame) -> DataFrame:
-    cell = F.least(F.greatest(F.floor((F.col("nd") / math.sqrt(2) + 8.0) / _STEP), F.lit(0)), F.lit(_GRID - 1))
-    counts = diffs.groupBy(*KEY, cell.alias("cell")).agg(F.count("nd").alias("c"))
-    return counts.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("cell", "c"))).alias("bins"))
-
-
-def _ad_from_cells(cells_: np.ndarray, counts: np.ndarray) -> float:
-    n = counts.sum()
-    upper = np.cumsum(counts)
-    lower = upper - counts
-    mid = (cells_ + 0.5) * _STEP - 8.0
-    cdf = np.clip(0.5 * np.vectorize(math.erfc)(-mid / math.sqrt(2)), 1e-10, 1 - 1e-10)
-    w = upper.astype(float) ** 2 - lower.astype(float) ** 2
-    return float(-n - (w * np.log(cdf) + (2.0 * n * counts - w) * np.log1p(-cdf)).sum() / n)
-
+def pooled_ad(diffs: DataFrame) -> DataFrame:
+    """Anderson-Darling distance of a sheet's pooled differences from
+    N(0, sqrt 2), for the narrow sheets where it decides. Ranks come from one
+    range sort, and the number of values is known with the sums."""
+    x = diffs.where(F.col("width") <= AD_COLUMNS).select(*KEY, (F.col("nd") / math.sqrt(2)).alias("x"))
+    ranked = ordinal(x, KEY, ["x"], "pos", "pooled")
+    low = F.log(F.greatest(F.lit(_CLIP), normal_cdf(F.col("x"))))
+    high = F.log(F.greatest(F.lit(_CLIP), normal_cdf(-F.col("x"))))
+    odd = 2 * F.col("pos") + 1
+    n = F.col("_n")
+    return ranked.groupBy(*KEY).agg(
+        F.count("x").alias("_n"), F.sum(odd * (low - high)).alias("_s"), F.sum(high).alias("_h")
+    ).select(*KEY, (-n - F.col("_s") / n - 2 * F.col("_h")).alias("ad"))
 
-def _grid_ad(column: str) -> Column:
-    @F.pandas_udf("double")
-    def ad(cells_: pd.Series, counts: pd.Series) -> pd.Series:
-        # Scaled to the size of one simulated batch, so that the statistic and
-        # its null are read at the same number of values.
-        return pd.Series([_ad_from_cells(np.asarray(a, float), np.asarray(c, float))
-                          for a, c in zip(cells_, counts, strict=True)], dtype=float)
 
-    return ad(F.transform(column, lambda s: s["cell"]), F.transform(column, lambda s: s["c"]))
+def _ad(x: np.ndarray) -> float:
+    """The same distance of one sorted array from N(0, 1)."""
+    n = len(x)
+    odd = 2 * np.arange(1, n + 1) - 1
+    logs = np.log(np.maximum(phi(x), _CLIP)) + np.log(np.maximum(phi(-x[::-1]), _CLIP))
+    return float(-n - (odd * logs).sum() / n)
 
 
 def _simulate_kurtosis(rng, n: int, p: int, from_fit: bool, trim: bool) -> tuple[np.ndarray, np.ndarray]:
     pairs = [(i, j) for i in range(p) for j in range(i + 1, p)]
     left, right = np.array([a for a, _ in pairs]), np.array([b for _, b in pairs])
-    kurts, ads = np.empty(SIMULATIONS), np.empty(SIMULATIONS)
+    kurts, ads = np.empty(SIMULATIONS), np.zeros(SIMULATIONS)
+    bias = log_variance_bias(p - 1.0, math.log)
     for b in range(SIMULATIONS):
         x = rng.standard_normal((n, p))
         if not from_fit:
             x = x / x.std(axis=1, ddof=1, keepdims=True)
         d = np.sort((x[:, left] - x[:, right]).ravel())
-        cells_ = np.clip(np.floor((d / math.sqrt(2) + 8.0) / _STEP), 0, _GRID - 1).astype(int)
-        counts = np.bincount(cells_, minlength=_GRID).astype(float)
-        used = np.flatnonzero(counts)
-        ads[b] = _ad_from_cells(used.astype(float), counts[used]) if p <= 3 else 0.0
+        if p <= AD_COLUMNS:
+            # The fit is made anew in each simulated sheet, as in the real one.
+            scale = math.exp((np.log(x.var(axis=1, ddof=1)).mean() - bias) / 2) if from_fit else 1.0
+            ads[b] = _ad(d / (scale * math.sqrt(2)))
         if trim:
             cut = max(1, int(len(d) * 0.02))
             d = d[cut:len(d) - cut]

@@ -198,12 +198,12 @@ def _ad_rows(x: np.ndarray) -> np.ndarray:
     n = x.shape[1]
     sd = np.maximum(x.std(axis=1, ddof=1, keepdims=True), 1e-9)
     z = (x - x.mean(axis=1, keepdims=True)) / sd
-    f = np.clip(_phi(z), _CLIP, 1 - _CLIP)
+    f = np.clip(phi(z), _CLIP, 1 - _CLIP)
     i = 2 * np.arange(1, n + 1) - 1
     return -n - ((np.log(f) + np.log1p(-f[:, ::-1])) * i).sum(axis=1) / n
 
 
-def _phi(z: np.ndarray) -> np.ndarray:
+def phi(z: np.ndarray) -> np.ndarray:
     t = 1 / (1 + 0.5 * np.abs(z) / math.sqrt(2))
     e = np.abs(z) / math.sqrt(2)
     poly = 0.17087277
@@ -231,7 +231,7 @@ def gof_null(rng, n: int, mu: float, sd: float, prec: int) -> np.ndarray:
         s = np.sqrt((c * (value - m) ** 2).sum(axis=1, keepdims=True) / (n - 1))
         b = np.cumsum(c, axis=1)
         w = b * b - (b - c) ** 2
-        f = np.clip(_phi((value - m) / np.maximum(s, 1e-9)), _CLIP, 1 - _CLIP)
+        f = np.clip(phi((value - m) / np.maximum(s, 1e-9)), _CLIP, 1 - _CLIP)
         return -n - (w * np.log(f) + (2.0 * n * c - w) * np.log1p(-f)).sum(axis=1) / n
     size = min(n, SIM_VALUES)
     out = np.empty(GOF_DRAWS)

@@ -242,6 +242,42 @@ def test_shared_spikes(make_sheet):
     assert result.flag == "MODERATE" and result.primary_p == pytest.approx(0.001)
 
 
+@pytest.mark.parametrize("n_rows", [400, 12_000])
+def test_kurtosis_of_honest_and_flat_noise(make_sheet, n_rows):
+    rng = np.random.default_rng(61)
+    level = rng.uniform(50, 150, (n_rows, 1))
+    honest = replicates.excess_kurtosis(make_sheet(level + rng.normal(size=(n_rows, 3)))).result.first()
+    assert honest.primary_p > 0.01 and honest.stats["ad_p"] == honest.primary_p
+    two_sided = rng.choice([-1.0, 1.0], (n_rows, 3)) + rng.normal(scale=0.1, size=(n_rows, 3))
+    flat = replicates.excess_kurtosis(make_sheet(level + two_sided)).result.first()
+    assert flat.primary_p < 0.01 and flat.stats["deviation"] < 0
+
+
+def test_pooled_distance_matches_direct_computation(make_sheet):
+    rng = np.random.default_rng(67)
+    m = 100 + rng.normal(size=(90, 3))
+    sheet = make_sheet(m)
+    lv = np.log(m.var(axis=1, ddof=1))
+    lm = np.log(m.mean(axis=1))
+    slope = np.cov(lm, lv)[0, 1] / lm.var(ddof=1)
+    # With two degrees of freedom ln(s^2 / sigma^2) has minus Euler's constant as its mean.
+    sigma = np.exp((lv.mean() + slope * (lm - lm.mean()) + np.euler_gamma) / 2)
+    d = np.sort(np.concatenate([(m[:, a] - m[:, b]) / sigma / np.sqrt(2) for a, b in ((0, 1), (0, 2), (1, 2))]))
+    got = replicates.pooled_ad(replicates.standardised_differences(sheet)).first()["ad"]
+    assert got == pytest.approx(replicates._ad(d), rel=1e-5)
+
+
+def test_gaps_beyond_fifty_columns_and_later_windows(make_sheet):
+    rng = np.random.default_rng(71)
+    m = rng.normal(size=(80, 60))
+    m[10:30, 55:57] = np.nan
+    m[40:44, 3] = np.nan
+    got = {(r.c1, r.c2): (r.both, r.only1, r.only2, r.neither) for r in missing.pair_gaps(make_sheet(m)).collect()}
+    assert got == {(55, 56): (20, 0, 0, 60), (3, 55): (0, 4, 20, 56), (3, 56): (0, 4, 20, 56)}
+    long_ = make_sheet(rng.normal(size=(1100, 2)))
+    assert replicates.runs_windows(long_).where("seq = 'all'").count() > 200
+
+
 def test_missing_rectangle(make_sheet):
     rng = np.random.default_rng(47)
     m = rng.normal(size=(100, 5))

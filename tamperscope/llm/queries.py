@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tamperscope.llm import (
-    bpe, chat, license_scan, line_dedup, line_frequency, mixing, periodic_runs, quality_mil, secret_scan, simhash, sketch,
+    backoff_lm, bpe, chat, license_scan, line_dedup, line_frequency, mixing, periodic_runs, quality_mil, secret_scan, simhash, sketch,
 )
 from tamperscope.llm.common import read
 
@@ -54,6 +54,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.span_digests(read(spark, sf_dir, "documents"))
 
 
+def op11_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff_lm.model_scores(read(spark, sf_dir, "documents"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.run_digests(read(spark, sf_dir, "documents"))
 
@@ -69,5 +73,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_rotation": op8_chat_rotation,
     "op9_mixing": op9_mixing,
     "op10_secret_scan": op10_secret_scan,
+    "op11_backoff_lm": op11_backoff_lm,
     "op12_periodic_runs": op12_periodic_runs,
 }

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamperscope.llm import chunks
-from tamperscope.llm.common import by_size
+from tamperscope.llm.common import by_size, crc32_sql
 from tamperscope.session import materialize
 
 ORDER = 3
@@ -303,3 +303,36 @@ def model_scores(docs: DataFrame, order: int = ORDER, prior: dict[int, float] =
     return each.cogroup(answers.groupBy("chunk")).applyInArrow(
         _score(order, known, total, dict(prior)),
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+def model_scores_sql(table: str = "documents", order: int = ORDER, prior: dict[int, float] = PRIOR) -> str:
+    """The same by SQL on strings: n-grams are counted and joined, and the
+    smoothing is written out. Words carry a leading w, so that none is the end."""
+    held = f"(doc_id IS NOT NULL AND {crc32_sql('CAST(doc_id AS VARCHAR)')} % 5 = 1)"
+    upper = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+    words = f"list_filter(string_split_regex(translate(coalesce(text, ''), {upper}), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+    key = [f"w{k}" for k in range(order)]  # w0 is the word, w1 the one before
+    counts, joins, p = [], [], f"(coalesce(n1.c, 0) + {HALF}) / (big.n + {HALF} * (big.v + 1))"
+
+    def grams(name: str, lo: int, hi: int) -> None:
+        """Counts of the learnt words lo to hi back, and their join."""
+        cols = ", ".join(key[lo:hi])
+        counts.append(f"{name} AS (SELECT {cols}, count(*) c FROM t WHERE NOT held AND {key[hi - 1]} IS NOT NULL GROUP BY ALL)")
+        joins.append(f"LEFT JOIN {name} ON " + " AND ".join(f"t.{x} = {name}.{x}" for x in key[lo:hi]))
+
+    grams("n1", 0, 1)
+    for k in range(2, order + 1):
+        grams(f"n{k}", 0, k)
+        grams(f"h{k}", 1, k)
+        p = f"(CASE WHEN t.w{k - 1} IS NULL THEN {p} ELSE (coalesce(n{k}.c, 0) + {prior[k]} * {p}) / (coalesce(h{k}.c, 0) + {prior[k]}) END)"
+    lags = ", ".join(f"lag(w0, {k}) OVER o w{k}" for k in range(1, order)) or "1"
+    return f"""WITH d AS (SELECT row_number() OVER () rid, doc_id, {held} held, list_append(list_transform({words}, lambda w: 'w' || w), 'end') ws
+  FROM {table}),
+t AS (SELECT rid, held, w0, {lags} FROM (SELECT rid, held, unnest(ws) w0, generate_subscripts(ws, 1) i FROM d)
+  WINDOW o AS (PARTITION BY rid ORDER BY i)),
+{", ".join(counts)},
+big AS (SELECT CAST(coalesce(sum(c), 0) AS BIGINT) n, count(*) v FROM n1),
+s AS (SELECT rid, count(*) n_tokens, CAST(count(n1.c) AS BIGINT) n_known,
+  sum(log10((coalesce(n1.c, 0) + {HALF}) / (big.n + {HALF} * (big.v + 1)))) base_score, sum(log10({p})) score
+  FROM t CROSS JOIN big {" ".join(joins)} GROUP BY rid)
+SELECT doc_id, held held_out, n_tokens, n_known, big.n train_tokens, base_score, score FROM d JOIN s ON d.rid = s.rid CROSS JOIN big"""

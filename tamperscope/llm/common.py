@@ -49,3 +49,11 @@ def by_size(batches, column: int, limit: int = 8 << 20):
         for lo, hi in zip(edges, edges[1:], strict=False):
             if hi > lo:
                 yield batch.slice(lo, hi - lo)
+
+
+def crc32_sql(text: str) -> str:
+    """CRC-32 of an ASCII text as SQL, byte by byte and bit by bit."""
+    codes = f"list_transform(string_split({text}, ''), lambda c: CAST(ascii(c) AS BIGINT))"
+    step = "list_reduce([xor(x, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, k: xor(y >> 1, (y & 1) * 3988292384))"
+    byte = step.replace("xor(x, b)", "xor(x, b) & 255")
+    return f"xor(list_reduce(list_prepend(4294967295, {codes}), lambda x, b: xor(x >> 8, {byte})), 4294967295)"

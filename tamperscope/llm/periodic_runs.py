@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamperscope.llm.common import by_size
+from tamperscope.llm.common import by_size, crc32_sql
 
 #: A run is at least this long, and at least so many periods.
 MIN_LENGTH = 24
@@ -265,3 +265,24 @@ def run_digests(docs: DataFrame) -> DataFrame:
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return slim.mapInArrow(_rows(_DIGESTS), "doc_id long, n_runs long, start long, length long, period long, "
                            "exponent_milli long, runs_sha256 string, collapsed_sha256 string")
+
+
+def run_digests_sql(table: str = "documents") -> str:
+    """The same by SQL: every pair of equal words at most a third of the text apart."""
+    return f"""WITH d AS (SELECT row_number() OVER () rid, doc_id,
+  list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') ws,
+  CASE WHEN doc_id IS NULL THEN 0 ELSE {crc32_sql("CAST(doc_id AS VARCHAR)")} END h FROM {table}),
+n AS (SELECT rid, len(ws) n, ws, h, (h // 10) % greatest(len(ws), 1) a, h // 10 g FROM d),
+w AS (SELECT rid, n, i, CASE WHEN h % 10 = 0 AND i >= a THEN ws[a + (i - a) % (1 + (n - a) // (3 + g % 8)) + 1] ELSE ws[i + 1] END x
+  FROM (SELECT *, unnest(range(n)) i FROM n)),
+e AS (SELECT u.rid, u.i, v.i - u.i q FROM w u JOIN w v ON u.rid = v.rid AND u.x = v.x AND v.i > u.i AND 3 * (v.i - u.i) <= u.n),
+s AS (SELECT rid, q, min(i) s, count(*) + q l FROM (SELECT *, i - row_number() OVER (PARTITION BY rid, q ORDER BY i) k FROM e)
+  GROUP BY rid, q, k HAVING count(*) + q >= greatest({MIN_LENGTH}, {MIN_PERIODS} * q)),
+r AS (SELECT rid, s, l, min(q) q FROM s GROUP BY rid, s, l),
+listed AS (SELECT rid, count(*) c, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) t FROM r GROUP BY rid),
+best AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY rid ORDER BY l / q DESC, s, q) = 1),
+gone AS (SELECT DISTINCT rid, unnest(range(s + q, s + l)) i FROM r),
+kept AS (SELECT rid, string_agg(x, ' ' ORDER BY i) t FROM w WHERE (rid, i) NOT IN (SELECT (rid, i) FROM gone) GROUP BY rid)
+SELECT doc_id, CAST(coalesce(c, 0) AS BIGINT) n_runs, b.s AS start, CAST(b.l AS BIGINT) length, b.q period,
+  CAST(1000 * b.l // b.q AS BIGINT) exponent_milli, sha256(coalesce(listed.t, '')) runs_sha256, sha256(coalesce(kept.t, '')) collapsed_sha256
+FROM d LEFT JOIN listed ON d.rid = listed.rid LEFT JOIN best b ON d.rid = b.rid LEFT JOIN kept ON d.rid = kept.rid"""

@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tamperscope.llm import (
-    backoff_lm, bpe, chat, license_scan, line_dedup, line_frequency, mixing, periodic_runs, quality_mil, secret_scan, simhash, sketch,
+    backoff_lm, bpe, chat, collocations, license_scan, line_dedup, line_frequency, mixing, periodic_runs, quality_mil, secret_scan,
+    simhash, sketch,
 )
 from tamperscope.llm.common import read
 
@@ -62,6 +63,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.run_digests(read(spark, sf_dir, "documents"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_quality_mil": op2_quality_mil,
@@ -75,4 +80,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secret_scan": op10_secret_scan,
     "op11_backoff_lm": op11_backoff_lm,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_collocations": op13_collocations,
 }

@@ -15,7 +15,7 @@ from tamperscope.llm.common import shuffle_partitions
 from tamperscope.session import new_path
 
 #: Tokens of a chunk; a longer document is a chunk of its own.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 #: Keys that meet in one range of keys, about.
 RANGE = 1 << 21
 

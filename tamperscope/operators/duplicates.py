@@ -19,11 +19,12 @@ from tamperscope.functions.stats import flag_from_p, let
 from tamperscope.functions.tails import lgamma
 from tamperscope.functions.values import decimal_places, plain_decimal, value_key
 from tamperscope.model import KEY, Outcome, Sheet, result_rows, unit_rows
+from tamperscope.operators import recurrence
 from tamperscope.operators.ordered import islands, ordinal, with_halo
 from tamperscope.session import materialize
 
-MAX_OFFSET = 200
-FREE_OFFSET_ROWS = 500       # up to this many rows every offset is scanned
+MAX_OFFSET = 200             # every offset up to this one is scanned row by row;
+FREE_OFFSET_ROWS = 500       # ... up to so many rows, all are; further ones by recurrence
 FIT_LIMIT = 5000             # integer sheets up to this size get a fitted law
 BIN_ROWS = 30
 MIN_BLOCK_CELLS = 6
@@ -360,11 +361,36 @@ def not_dominated(runs: DataFrame, unit: list[str]) -> DataFrame:
     return small.join(big, on & inside, "left_anti").drop("_cell")
 
 
-def sequential_runs(sheet: Sheet) -> DataFrame:
+def far_column_runs(sheet: Sheet) -> DataFrame:
+    """Maximal runs of a column that recur further away than the scanned
+    offsets: those in which some window of ``recurrence.gram_rows`` rows, with
+    two values or more, has its nearest earlier occurrence at that offset."""
+    conc = column_concentration(sheet).select(
+        *KEY, "col", "n_rows", offset_limit(F.col("n_rows")).alias("reach"), recurrence.gram_rows(F.col("n_rows"), F.col("hhi")).alias("gram"),
+        F.col("n_cols"))
+    by_col = F.map_from_entries(F.collect_list(F.struct("col", "gram")))
+    lengths = conc.where(F.col("n_rows") - 1 > F.col("reach")).groupBy(*KEY, "n_rows", "n_cols", "reach").agg(by_col.alias("_g"))
+    # A column without a value has no windows.
+    grams = F.transform(F.sequence(F.lit(0), F.col("n_cols") - 1), lambda c: F.coalesce(F.element_at(F.col("_g"), c), F.lit(0)))
+    lengths = materialize(lengths.select(*KEY, F.col("reach").cast("long").alias("reach"), grams.alias("grams")), "gram-rows")
+    found = materialize(recurrence.recurrences(sheet, lengths), "recurrences")
+    return recurrence.extended(sheet, found)
+
+
+def _priced_far(sheet: Sheet, runs: DataFrame) -> DataFrame:
+    """Far runs with the sheet's rows; all offsets count as tried."""
+    sizes = sheet_sizes(sheet.rows).select(*KEY, "n_rows", (F.col("n_rows") - 1).alias("reach"))
+    return runs.withColumn("height", F.col("hi") - F.col("lo") + 1).join(sizes, KEY)
+
+
+def sequential_runs(sheet: Sheet, far: DataFrame | None = None) -> DataFrame:
     """Runs of three or more values, two of them distinct, that recur in the
-    same column at a fixed offset."""
+    same column at a fixed offset, near or far."""
     runs = offset_runs(sheet, by_column=True)
-    return runs.where((F.col("height") >= 3) & (F.col("changes") >= 1)).withColumn("col", F.col("cols")[0])
+    near = runs.where((F.col("height") >= 3) & (F.col("changes") >= 1)).withColumn("col", F.col("cols")[0])
+    far = materialize(far_column_runs(sheet), "far-column-runs") if far is None else far
+    counted = _priced_far(sheet, recurrence.with_changes(sheet, far)).withColumn("cols", F.array("col"))
+    return near.withColumn("d", F.col("d").cast("long")).unionByName(counted.select(*near.columns))
 
 
 def sequential_duplication(sheet: Sheet) -> Outcome:
@@ -433,17 +459,22 @@ def full_row_blocks(sheet: Sheet) -> DataFrame:
     return kept.where(F.col("row_idx") > F.col("first_row")).select(
         *KEY, F.lit("full-row").alias("kind"), F.col("first_row").alias("lo"),
         (F.col("first_row") + F.col("h") - 1).alias("hi"),
-        (F.col("row_idx") - F.col("first_row")).cast("int").alias("d"), F.col("h").cast("bigint").alias("height"),
+        (F.col("row_idx") - F.col("first_row")).alias("d"), F.col("h").cast("bigint").alias("height"),
         F.sequence(F.lit(0), F.size(F.col("_g")[0]) - 1).alias("cols"), "n_rows",
         (F.col("n_rows") - 1).alias("reach"),
     )
 
 
-def partial_blocks(sheet: Sheet) -> DataFrame:
+def partial_blocks(sheet: Sheet, far: DataFrame | None = None) -> DataFrame:
     """Blocks of at least 2x2 and six cells, not whole rows, that recur at a
-    fixed offset in the same columns."""
+    fixed offset in the same columns. Beyond the scanned offsets, a block is
+    made of columns whose own runs recur there."""
     sizes = sheet_sizes(sheet.rows).select(*KEY, "n_cols")
-    runs = offset_runs(sheet, by_column=False).join(sizes, KEY)
+    near = offset_runs(sheet, by_column=False)
+    far = materialize(far_column_runs(sheet), "far-column-runs") if far is None else far
+    wide = _priced_far(sheet, recurrence.column_sets(far))
+    shared = [*KEY, "d", "cols", "lo", "hi", "height", "n_rows", "reach"]
+    runs = near.withColumn("d", F.col("d").cast("long")).select(*shared).unionByName(wide.select(*shared)).join(sizes, KEY)
     return runs.where(
         (F.col("height") >= 2) & (F.size("cols") < F.col("n_cols"))
         & (F.col("height") * F.size("cols") >= MIN_BLOCK_CELLS)

@@ -74,6 +74,21 @@ cell AS (SELECT row_idx,cond,unnest(range(len(vals))) col,unnest(vals) x FROM em
 
 KEY = "CAST(floor(x*10000.0+0.5) AS BIGINT)"
 
+#: Runs that recur over 200 rows away, of the cells fc (col, i, x): windows of
+#: fk.k rows meet their nearest earlier occurrence, and the runs found so are
+#: stretched row by row.
+FAR = f"""fk AS (SELECT col, CAST(least(greatest(3, ceil(ln(greatest((sum(c)-1)/2.0,1))/-ln(sum(c*c*1.0)/(sum(c)*sum(c)))-1e-9)),4096) AS BIGINT) k
+  FROM (SELECT col,{KEY} v,count(*) c FROM fc GROUP BY 1,2) GROUP BY col HAVING count(*)>1),
+fw AS (SELECT w.col, i, k, l[1:k] g FROM (SELECT col,i,list(x) OVER (PARTITION BY col ORDER BY i ROWS BETWEEN CURRENT ROW AND 63 FOLLOWING) l FROM fc) w
+  JOIN fk ON w.col=fk.col WHERE len(l)>=k AND len(list_distinct(l[1:k]))>1),
+fs AS (SELECT col, k, i, i-lag(i) OVER (PARTITION BY col,g ORDER BY i) d FROM fw),
+fl AS (SELECT DISTINCT col, d, i-d s, i-d+k-1 e, i-d lo FROM fs WHERE d>200 UNION ALL
+  SELECT fl.col, d, s, e, lo-1 FROM fl JOIN fc a ON a.col=fl.col AND a.i=lo-1 JOIN fc b ON b.col=fl.col AND b.i=lo-1+d WHERE abs(a.x-b.x)=0),
+fr AS (SELECT DISTINCT col, d, s, e, e hi FROM (SELECT DISTINCT col,d,s,e FROM fl) UNION ALL
+  SELECT fr.col, d, s, e, hi+1 FROM fr JOIN fc a ON a.col=fr.col AND a.i=hi+1 JOIN fc b ON b.col=fr.col AND b.i=hi+1+d WHERE abs(a.x-b.x)=0),
+far AS (SELECT DISTINCT l.col col, l.d d, l.lo lo, r.hi hi FROM (SELECT col,d,s,e,min(lo) lo FROM fl GROUP BY 1,2,3,4) l
+  JOIN (SELECT col,d,s,e,max(hi) hi FROM fr GROUP BY 1,2,3,4) r ON l.col=r.col AND l.d=r.d AND l.s=r.s AND l.e=r.e)"""
+
 
 def _benford(source: str, position: int, probs: list[float], low: int, dof: int) -> str:
     digits = "regexp_replace(replace(t,'.',''),'^0+','')"
@@ -190,17 +205,24 @@ SELECT pr.bin AS bin, nr AS n_rows, CAST(sum(nv) AS BIGINT) AS n_pairs, CAST(sum
 FROM pr JOIN br ON br.bin=pr.bin LEFT JOIN ov ON ov.bin=pr.bin AND ov.c1=pr.c1 AND ov.c2=pr.c2 GROUP BY pr.bin,nr"""
     o["column_concentration"] = f"""WITH {LINES}, f AS (SELECT col,{KEY} k,count(*) c FROM cell GROUP BY 1,2)
 SELECT col, CAST(sum(c) AS BIGINT) AS n_col, round(sum(c*c*1.0)/(sum(c)*sum(c)),9) AS hhi, round(sum(c*c*1.0)/(sum(c)*sum(c)),9) AS row_hhi FROM f GROUP BY col"""
-    o["sequential_duplication"] = f"""WITH {LINES}, q AS (SELECT row_idx i, v0 x, lag(v0) OVER (ORDER BY row_idx) px FROM lines),
+    o["sequential_duplication"] = f"""WITH RECURSIVE {LINES}, fc AS (SELECT 0 col, row_idx i, v0 x FROM lines), {FAR}, q AS (SELECT row_idx i, v0 x, lag(v0) OVER (ORDER BY row_idx) px FROM lines),
 ch AS (SELECT i, x, sum(CASE WHEN px IS NOT NULL AND px<>x THEN 1 ELSE 0 END) OVER (ORDER BY i) cs FROM q),
 m AS (SELECT a.i, b.i-a.i d FROM ch a JOIN ch b ON a.x=b.x AND b.i>a.i AND b.i<=a.i+200),
 g AS (SELECT d, i, i-row_number() OVER (PARTITION BY d ORDER BY i) g FROM m),
 r AS (SELECT d, min(i) lo, max(i) hi, count(*) h FROM g GROUP BY d,g HAVING count(*)>=3)
-SELECT r.d AS d, lo, hi, h AS height, CAST(e.cs-s.cs AS BIGINT) AS changes FROM r JOIN ch s ON s.i=r.lo JOIN ch e ON e.i=r.hi WHERE e.cs>s.cs"""
+SELECT r.d AS d, lo, hi, h AS height, CAST(e.cs-s.cs AS BIGINT) AS changes
+FROM (SELECT d,lo,hi,h FROM r UNION ALL SELECT d,lo,hi,hi-lo+1 FROM far) r JOIN ch s ON s.i=r.lo JOIN ch e ON e.i=r.hi WHERE e.cs-s.cs>0"""
     eq = lambda c: f"(a.{c}=b.{c})"
     mask = "+".join(f"(CASE WHEN {eq(f'v{k}')} THEN {2 ** k} ELSE 0 END)" for k in range(4))
     width = "+".join(f"(CASE WHEN {eq(f'v{k}')} THEN 1 ELSE 0 END)" for k in range(4))
     names = "||','||".join(f"CASE WHEN (mask//{2 ** k})%2=1 THEN '{k}' ELSE '' END" for k in range(4))
-    o["block_copies"] = f"""WITH {LINES}, two AS (SELECT a.row_idx i, b.row_idx-a.row_idx d, {mask} mask, {width} w
+    o["block_copies"] = f"""WITH RECURSIVE {LINES}, fc AS (SELECT col, row_idx i, x FROM cell), {FAR},
+fp AS (SELECT d, cut, lead(cut) OVER (PARTITION BY d ORDER BY cut)-1 t FROM (SELECT d,lo cut FROM far UNION SELECT d,hi+1 FROM far)),
+fh AS (SELECT p.d, cut, t, string_agg(col,',' ORDER BY col) cols, count(*) w FROM fp p JOIN far ON p.d=far.d AND far.lo<=cut AND far.hi>=t
+  WHERE t IS NOT NULL GROUP BY 1,2,3 HAVING count(*)>=2),
+fn AS (SELECT *, CASE WHEN lag(t) OVER o=cut-1 THEN 0 ELSE 1 END nw FROM fh WINDOW o AS (PARTITION BY d,cols ORDER BY cut)),
+fb AS (SELECT d,cols,w,min(cut) lo,max(t) hi FROM (SELECT *, sum(nw) OVER (PARTITION BY d,cols ORDER BY cut) z FROM fn) GROUP BY d,cols,w,z),
+two AS (SELECT a.row_idx i, b.row_idx-a.row_idx d, {mask} mask, {width} w
   FROM lines a JOIN lines b ON b.row_idx>a.row_idx AND b.row_idx<=a.row_idx+200 AND a.v3=b.v3 UNION ALL
   SELECT a.row_idx i, b.row_idx-a.row_idx d, {mask} mask, {width} w
   FROM lines a JOIN lines b ON b.row_idx>a.row_idx AND b.row_idx<=a.row_idx+200 AND a.v2=b.v2 AND a.v3<>b.v3 UNION ALL
@@ -208,8 +230,8 @@ SELECT r.d AS d, lo, hi, h AS height, CAST(e.cs-s.cs AS BIGINT) AS changes FROM
   FROM lines a JOIN lines b ON b.row_idx>a.row_idx AND b.row_idx<=a.row_idx+200 AND a.v1=b.v1 AND a.v0=b.v0 AND a.v2<>b.v2 AND a.v3<>b.v3),
 g AS (SELECT d, mask, w, i, i-row_number() OVER (PARTITION BY d,mask ORDER BY i) g FROM two WHERE w>=2),
 r AS (SELECT d, mask, w, min(i) lo, max(i) hi, count(*) h FROM g GROUP BY d,mask,w,g)
-SELECT CAST(d AS INTEGER) AS d, trim(regexp_replace({names},',+',',','g'),',') AS cols, lo, hi, h AS height
-FROM r WHERE h>=2 AND w<4 AND h*w>=6"""
+SELECT d, trim(regexp_replace({names},',+',',','g'),',') AS cols, lo, hi, h AS height FROM r WHERE h>=2 AND w<4 AND h*w>=6
+UNION ALL SELECT d, cols, lo, hi, hi-lo+1 FROM fb WHERE hi>lo AND w<4 AND (hi-lo+1)*w>=6"""
     o["column_streaks"] = f"""WITH {LINES}, e AS (SELECT p.row_idx i, p.col c1, q.col c2 FROM cell p JOIN cell q ON p.row_idx=q.row_idx AND p.col<q.col AND p.x=q.x),
 g AS (SELECT c1,c2,i,i-row_number() OVER (PARTITION BY c1,c2 ORDER BY i) g FROM e)
 SELECT c1||','||c2 AS cols, min(i) AS lo, max(i) AS hi, count(*) AS height FROM g GROUP BY c1,c2,g HAVING count(*)>=3"""

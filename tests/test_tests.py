@@ -1,5 +1,7 @@
 """Each test against brute force, a planted flaw, or its smallest reachable p."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -35,7 +37,77 @@ def test_recurring_sequences_match_brute_force(make_sheet, monkeypatch, rows, bl
     m[10:60, 1] = 3.0                       # a constant stretch
     m[80:92] = m[20:32]
     got = {(r.col, r.d, r.lo, r.hi) for r in duplicates.sequential_runs(make_sheet(m)).collect()}
-    assert got == brute_column_runs(m, 200 if rows > 500 else rows - 1)
+    assert got == (brute_column_runs(m, 200) | brute_far_runs(m) if rows > 500 else brute_column_runs(m, rows - 1))
+
+
+def brute_far_runs(m, reach=200):
+    """Maximal runs around windows that recur, by their nearest earlier place."""
+    out, n = set(), len(m)
+    for c in range(m.shape[1]):
+        x = m[:, c]
+        share = np.unique(x, return_counts=True)[1] / n
+        hhi = (share ** 2).sum()
+        if hhi >= 1:
+            continue
+        k = max(3, math.ceil(math.log((n - 1) / 2) / -math.log(hhi) - 1e-9))
+        last = {}
+        for i in range(n - k + 1):
+            w = tuple(x[i:i + k])
+            if len(set(w)) < 2:
+                continue
+            d = i - last.get(w, i)
+            last[w] = i
+            if d > reach:
+                lo, hi = i - d, i - d + k - 1
+                while lo > 0 and x[lo - 1] == x[lo - 1 + d]:
+                    lo -= 1
+                while hi + d + 1 < n and x[hi + 1] == x[hi + 1 + d]:
+                    hi += 1
+                out.add((c, d, lo, hi))
+    return out
+
+
+def far_sheet(n):
+    rng = np.random.default_rng(5)
+    m = np.stack([rng.integers(0, 60, n), rng.integers(0, 25, n), np.tile([1, 2], n)[:n], np.full(n, 7)], axis=1).astype(float)
+    m[100:2300, 1] = 3.0                                   # a constant stretch
+    m[2600:2640, :2] = m[2399:2439, :2]                    # 201 rows away
+    m[n - 60:n - 30, :2] = m[20:50, :2]                    # far away, and a third copy
+    m[n // 2:n // 2 + 25, :2] = m[22:47, :2]
+    return m
+
+
+@pytest.mark.parametrize("block", [4096, 512])
+def test_far_recurrences_match_brute_force(make_sheet, monkeypatch, block):
+    monkeypatch.setattr(duplicates.recurrence, "BLOCK", block)
+    monkeypatch.setattr(duplicates.recurrence.recurrences, "__defaults__", (block,))
+    m = far_sheet(6000)
+    got = [(r.col, r.d, r.lo, r.hi) for r in duplicates.far_column_runs(make_sheet(m)).collect()]
+    want = brute_far_runs(m)
+    assert len(got) == len(set(got)) and set(got) == want
+    assert any(d == 201 and hi - lo >= 39 for _, d, lo, hi in want) and any(d > 5000 or d > 2900 for _, d, _, _ in want)
+
+
+def test_copies_far_away_are_found(make_sheet):
+    rng = np.random.default_rng(6)
+    m = rng.normal(50, 5, (52_000, 3)).round(2)
+    m[700:712, :2] = m[499:511, :2]                        # 201 rows away
+    m[50_600:50_612, 0] = m[600:612, 0]                    # 50,000 rows away
+    sheet = make_sheet(m)
+    runs = {(r.col, r.d, r.lo, r.hi, r.changes) for r in duplicates.sequential_runs(sheet).where("height >= 8").collect()}
+    assert {(0, 201, 499, 510, 11), (1, 201, 499, 510, 11), (0, 50_000, 600, 611, 11)} <= runs
+    blocks = {(tuple(b.cols), b.d, b.lo, b.hi) for b in duplicates.partial_blocks(sheet).where("height >= 8").collect()}
+    assert ((0, 1), 201, 499, 510) in blocks
+    out = duplicates.sequential_duplication(sheet).result.first()
+    assert out.flag == "HIGH" and out.primary_p < 1e-9
+
+
+def test_column_sets_are_cut_where_a_column_joins(make_sheet, spark, monkeypatch):
+    monkeypatch.setattr(duplicates.recurrence, "BLOCK", 16)
+    runs = spark.createDataFrame([("d", "all", 0, 300, 5, 60), ("d", "all", 1, 300, 20, 70), ("d", "all", 2, 300, 40, 45),
+                                  ("d", "all", 2, 301, 40, 45)], "dataset_id string, grp string, col int, d long, lo long, hi long")
+    got = sorted((tuple(r.cols), r.lo, r.hi) for r in duplicates.recurrence.column_sets(runs).collect())
+    assert got == [((0, 1), 20, 39), ((0, 1), 46, 60), ((0, 1, 2), 40, 45)]
 
 
 def test_partial_blocks_match_brute_force(make_sheet):

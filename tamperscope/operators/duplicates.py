@@ -30,7 +30,8 @@ BIN_ROWS = 30
 MIN_BLOCK_CELLS = 6
 MIN_AGREEING = 4
 HOT_SHARE = 0.02
-EXACT_SUBSET_COLUMNS = 10
+EXACT_SUBSET_COLUMNS = 10    # sheets up to this width expand rows into column subsets
+FEW_ROWS = 64                # rows of a wide sheet that may share a filing key by chance
 _SCAN_BLOCK = 4096
 
 
@@ -536,72 +537,119 @@ def block_copies(sheet: Sheet) -> DataFrame:
 
 # ---------------------------------------------------------- partly copied rows
 
+def _row_cells(sheet: Sheet, narrow: bool) -> DataFrame:
+    """(KEY, row_idx, e): cells of each row as (col, key, hhi, hot, n), by
+    column. A column is hot where one value covers more than 2% of the rows.
+    Other cells whose value occurs once agree with none and are left out.
+    ``narrow`` picks the sheets of up to EXACT_SUBSET_COLUMNS columns, or the others."""
+    conc = column_concentration(sheet)
+    width = F.col("n_cols") <= EXACT_SUBSET_COLUMNS
+    by_col = materialize(conc.where(width if narrow else ~width).select(
+        *KEY, "col", "hhi", (F.col("top") > HOT_SHARE * F.col("n_rows")).alias("hot")), "concentration")
+    c = cells(sheet.rows).select(*KEY, "row_idx", "col", value_key(F.col("x")).alias("key"))
+    repeated = c.groupBy(*KEY, "col", "key").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").join(by_col, [*KEY, "col"])
+    live = c.join(repeated, [*KEY, "col", "key"]).groupBy(*KEY, "row_idx").agg(
+        F.array_sort(F.collect_list(F.struct("col", "key", "hhi", "hot", "n"))).alias("e"))
+    return live.where(F.size(F.filter("e", lambda x: ~x["hot"])) >= MIN_AGREEING)
+
+
+def _chance(cells_: Column) -> Column:
+    return F.aggregate(cells_, F.lit(1.0), lambda a, x: a * x["hhi"])
+
+
 def partial_row_groups(sheet: Sheet) -> DataFrame:
-    """Sets of rows that agree on four or more columns.
-
-    A column in which one value covers more than 2% of the rows takes no part
-    in the search. Cells whose value occurs once in their column cannot take
-    part either and are dropped first; what is left of a row is expanded into
-    its column subsets, and equal subsets meet by grouping, so no pair of rows
-    is ever formed. Rows with more than ten surviving cells are expanded into
-    four-column subsets only.
+    """Sets of rows of sheets of up to ten columns that agree on four or more
+    columns that aren't hot, and on the hot columns named with them.
+
+    A row's cells are expanded into the subsets that hold four cells of
+    columns that aren't hot, and equal subsets meet by grouping, so no pair of
+    rows is ever formed.
     """
-    conc = materialize(column_concentration(sheet), "concentration")
-    usable = conc.where(F.col("top") <= HOT_SHARE * F.col("n_rows")).select(*KEY, "col", "hhi")
-    c = cells(sheet.rows).join(usable, [*KEY, "col"]).select(
-        *KEY, "row_idx", "col", "hhi", value_key(F.col("x")).alias("key")
-    )
-    repeated = c.groupBy(*KEY, "col", "key").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").drop("n")
-    live = c.join(repeated, [*KEY, "col", "key"], "left_semi").groupBy(*KEY, "row_idx").agg(
-        F.array_sort(F.collect_list(F.struct("col", "key", "hhi"))).alias("e")
-    ).where(F.size("e") >= MIN_AGREEING)
-    few = F.size("e") <= EXACT_SUBSET_COLUMNS
-    masks = F.filter(
-        F.sequence(F.lit(1), F.pow(F.lit(2.0), F.least(F.size("e"), F.lit(EXACT_SUBSET_COLUMNS))).cast("int") - 1),
-        lambda m: F.bit_count(m) >= MIN_AGREEING,
-    )
-    narrow = live.where(few).select(
-        *KEY, "row_idx",
-        F.explode(F.transform(masks, lambda m: F.filter(
-            "e", lambda _, i: m.bitwiseAND(F.pow(F.lit(2.0), i).cast("int")) != 0
-        ))).alias("s"),
-    )
-    quads = live.where(~few)
-    for k in range(MIN_AGREEING):
-        prior = F.col(f"_i{k - 1}") + 1 if k else F.lit(0)
-        quads = quads.withColumn(
-            f"_i{k}", F.explode(F.sequence(prior, F.size("e") - MIN_AGREEING + k))
-        )
-    wide = quads.select(
-        *KEY, "row_idx", F.array(*[F.get("e", F.col(f"_i{k}")) for k in range(MIN_AGREEING)]).alias("s")
-    )
-    both = narrow.unionByName(wide).select(
-        *KEY, "row_idx", F.transform("s", lambda x: x["col"]).alias("cols"),
-        F.transform("s", lambda x: x["key"]).alias("keys"),
-        F.aggregate("s", F.lit(1.0), lambda a, x: a * x["hhi"]).alias("chance"),
-    )
-    return both.groupBy(*KEY, "cols", "keys").agg(
+    live = _row_cells(sheet, narrow=True)
+    masks = F.sequence(F.lit(1), F.pow(F.lit(2.0), F.size("e")).cast("int") - 1)
+    chosen = F.transform(masks, lambda m: F.filter("e", lambda _, i: m.bitwiseAND(F.pow(F.lit(2.0), i).cast("int")) != 0))
+    usable = F.filter(chosen, lambda s: F.size(F.filter(s, lambda x: ~x["hot"])) >= MIN_AGREEING)
+    each = live.select(*KEY, F.explode(usable).alias("s"), "row_idx").select(
+        *KEY, "row_idx", F.transform("s", lambda x: x["col"]).alias("cols"), F.transform("s", lambda x: x["key"]).alias("keys"),
+        F.exists("s", lambda x: x["hot"]).alias("with_hot"), _chance(F.col("s")).alias("chance"))
+    return each.groupBy(*KEY, "cols", "keys").agg(
         F.count(F.lit(1)).alias("n_copies"), F.min("row_idx").alias("first_row"),
-        F.max("row_idx").alias("last_row"), F.max("chance").alias("chance"),
+        F.max("row_idx").alias("last_row"), F.max("chance").alias("chance"), F.max("with_hot").alias("with_hot"),
     ).where("n_copies >= 2").drop("keys")
 
 
+def partial_row_pairs(sheet: Sheet) -> DataFrame:
+    """(KEY, a, b, n_a, n_b, n_agree, chance): pairs of different rows of
+    sheets of more than ten columns that agree on four or more columns that
+    aren't hot. Equal rows are one, named by the first (``n_`` of them);
+    ``a`` = ``b`` stands for the pairs among them. ``chance`` multiplies the
+    concentrations of all columns in which the pair agrees.
+
+    Two rows that agree on four of their m cells share k of the m - 4 + k
+    rarest, in any order that all rows follow, so a row is filed under every k
+    of these. k, from 1 to 4, is the fewest cells that few rows of a sheet
+    share by chance, so that values of many rows bring no long lists; the
+    pairs are the same for any k.
+    """
+    live = _row_cells(sheet, narrow=False)
+    bare = F.transform("e", lambda x: F.struct(x["col"].alias("col"), x["key"].alias("key")))
+    rows = materialize(live.groupBy(*KEY, bare.alias("cells")).agg(
+        F.min("row_idx").alias("a"), F.count(F.lit(1)).alias("n"), F.min("e").alias("e")), "partial-rows")
+    cool = F.filter("e", lambda x: ~x["hot"])
+    # Chance that two rows agree on a cell: the mean concentration of the columns at hand.
+    share = rows.select(*KEY, F.explode(cool).alias("x")).groupBy(*KEY).agg(F.avg("x.hhi").alias("hhi"))
+    plan = share.join(sheet_sizes(sheet.rows), KEY)
+    k = F.greatest(F.lit(1), F.least(F.lit(MIN_AGREEING), F.ceil(F.log(F.col("n_rows") / FEW_ROWS) / -F.log(F.least("hhi", F.lit(0.999))))))
+    plan = materialize(plan.select(*KEY, k.cast("int").alias("k")), "partial-plan")
+    rarest = F.array_sort(F.transform(cool, lambda x: F.struct(x["n"].alias("n"), x["col"].alias("col"), x["key"].alias("key"))))
+    ranked = rows.join(plan, KEY).select(*KEY, "a", "k", rarest.alias("r"))
+    filed: DataFrame | None = None
+    for size in range(1, MIN_AGREEING + 1):
+        part = ranked.where(F.col("k") == size).withColumn("_m", F.size("r") - MIN_AGREEING + size)
+        for i in range(size):
+            prior = F.col(f"_i{i - 1}") + 1 if i else F.lit(0)
+            # Behind the last place there is none, and sequence would count down.
+            last = F.col("_m") - size + i
+            part = part.withColumn(f"_i{i}", F.explode(F.when(prior <= last, F.sequence(prior, last))))
+        key = F.array(*[F.struct(F.get("r", F.col(f"_i{i}"))["col"].alias("col"), F.get("r", F.col(f"_i{i}"))["key"].alias("key"))
+                        for i in range(size)])
+        part = part.select(*KEY, "a", F.xxhash64(key).alias("h"))
+        filed = part if filed is None else filed.unionByName(part)
+    several = filed.groupBy(*KEY, "h").agg(F.count(F.lit(1)).alias("_n")).where("_n >= 2").drop("_n")
+    met = filed.join(several, [*KEY, "h"])
+    pairs = met.join(met.withColumnRenamed("a", "b"), [*KEY, "h"]).where("a < b").select(*KEY, "a", "b").distinct()
+    left = rows.select(*KEY, "a", F.col("n").alias("n_a"), F.col("e").alias("_x"))
+    right = rows.select(*KEY, F.col("a").alias("b"), F.col("n").alias("n_b"), F.col("e").alias("_y"))
+    both = pairs.join(left, [*KEY, "a"]).join(right, [*KEY, "b"]).withColumn("_s", F.array_intersect("_x", "_y"))
+    same = rows.where("n >= 2").select(*KEY, "a", F.col("a").alias("b"), F.col("n").alias("n_a"), F.col("n").alias("n_b"), F.col("e").alias("_s"))
+    agree = F.size(F.filter("_s", lambda x: ~x["hot"]))
+    shared = [*KEY, "a", "b", "n_a", "n_b", "_s"]
+    return both.select(*shared).unionByName(same.select(*shared)).withColumn("n_agree", agree).where(
+        F.col("n_agree") >= MIN_AGREEING).withColumn("chance", _chance(F.col("_s"))).drop("_s")
+
+
 def partial_rows(sheet: Sheet) -> DataFrame:
     """Pairs of rows agreeing on four or more columns, per group: their exact
-    number by inclusion and exclusion over column subsets, and the smallest p."""
+    number, the smallest p, and the hot columns, which decide no pair but
+    count in its p. Narrow sheets count pairs by inclusion and exclusion over
+    column subsets, wide ones meet by their rarest cells."""
     groups = partial_row_groups(sheet)
     sizes = sheet_sizes(sheet.rows)
     k = F.size("cols")
     # Pairs agreeing on m columns sit in C(m, k) subsets of size k >= 4; with
     # weights (-1)^(k-4) C(k-1, 3) each is counted once.
     weight = F.when((k - 4) % 2 == 0, 1).otherwise(-1) * ((k - 1) * (k - 2) * (k - 3) / 6)
-    sums = groups.groupBy(*KEY).agg(
-        F.sum(weight * pairs_of(F.col("n_copies"))).alias("n_pairs"),
-        F.count(F.lit(1)).alias("n_groups"), F.min("chance").alias("chance"),
-    )
-    return sizes.join(sums, KEY, "left").select(
+    narrow = groups.groupBy(*KEY).agg(
+        F.sum(F.when(~F.col("with_hot"), weight * pairs_of(F.col("n_copies"))).otherwise(0.0)).alias("n_pairs"),
+        F.count_if(~F.col("with_hot")).alias("n_groups"), F.min("chance").alias("chance"),
+    )
+    each = F.when(F.col("a") == F.col("b"), pairs_of(F.col("n_a"))).otherwise(F.col("n_a").cast("double") * F.col("n_b"))
+    wide = partial_row_pairs(sheet).groupBy(*KEY).agg(
+        F.sum(each).alias("n_pairs"), F.count(F.lit(1)).alias("n_groups"), F.min("chance").alias("chance"))
+    hot = column_concentration(sheet).groupBy(*KEY).agg(F.count_if(F.col("top") > HOT_SHARE * F.col("n_rows")).alias("hot_columns"))
+    return sizes.join(narrow.unionByName(wide), KEY, "left").join(hot, KEY, "left").select(
         *KEY, F.coalesce("n_pairs", F.lit(0.0)).alias("n_pairs"),
-        F.coalesce("n_groups", F.lit(0)).alias("n_groups"),
+        F.coalesce("n_groups", F.lit(0)).alias("n_groups"), F.coalesce("hot_columns", F.lit(0)).alias("hot_columns"),
         F.when(F.col("chance").isNull(), 1.0).otherwise(
             F.least(F.lit(1.0), F.col("chance") * pairs_of(F.col("n_rows")))).alias("partial_p"),
     )
@@ -632,7 +680,7 @@ def exact_duplicates(sheet: Sheet) -> Outcome:
         {"n": F.col("n"), "hhi": F.col("hhi"), "colliding_pairs": F.col("colliding_pairs"),
          "extra_rows": F.col("extra_rows"), "within_row_matches": F.col("wr_matches"),
          "within_row_expected": F.col("wr_expected"), "blocks": F.col("n_blocks"),
-         "partial_row_pairs": F.col("n_pairs"), **{n: F.col(n) for n in names}},
+         "partial_row_pairs": F.col("n_pairs"), "hot_columns": F.col("hot_columns"), **{n: F.col(n) for n in names}},
     )
 
     def units() -> DataFrame:

@@ -139,6 +139,52 @@ def test_partial_rows_count_pairs_once(make_sheet):
     assert pairs == 4 and row.n_pairs == pairs and row.partial_p < 1e-3
 
 
+def plain_partial_rows(m, hot_share=0.02):
+    """Pairs that agree on four columns that aren't hot, and the least p."""
+    n, p = m.shape
+    keys = np.floor(m * 1e4 + 0.5)
+    hhi, hot = np.ones(p), np.zeros(p, bool)
+    for c in range(p):
+        counts = np.unique(keys[~np.isnan(keys[:, c]), c], return_counts=True)[1]
+        hhi[c], hot[c] = (counts.astype(float) ** 2).sum() / counts.sum() ** 2, counts.max() > hot_share * n
+    pairs, least = 0, None
+    for i in range(n):
+        for j in range(i):
+            same = keys[i] == keys[j]
+            if (same & ~hot).sum() >= 4:
+                pairs += 1
+                chance = np.prod(hhi[same])
+                least = chance if least is None else min(least, chance)
+    return pairs, int(hot.sum()), 1.0 if least is None else min(1.0, least * n * (n - 1) / 2)
+
+
+@pytest.mark.parametrize("columns", [6, 30])
+def test_partial_rows_with_hot_columns(make_sheet, columns):
+    rng = np.random.default_rng(columns)
+    m = rng.integers(0, 400, (900, columns)).astype(float)
+    m[:, 2] = rng.integers(0, 5, 900)                     # a hot column
+    m[rng.random(m.shape) < 0.05] = np.nan
+    m[200:206] = m[10]                                    # whole copies
+    m[250, :5] = m[20, :5]
+    m[260] = m[30]
+    m[260, columns // 2] += 1
+    m[270, -4:] = m[40, -4:]
+    pairs, hot, p = plain_partial_rows(m)
+    row = duplicates.partial_rows(make_sheet(m)).first()
+    assert pairs >= 20 and (row.n_pairs, row.hot_columns) == (pairs, hot) and row.partial_p == pytest.approx(p, rel=1e-9)
+
+
+@pytest.mark.parametrize("few", [64, 1, 0.01])
+def test_wide_rows_of_few_values(make_sheet, monkeypatch, few):
+    monkeypatch.setattr(duplicates, "FEW_ROWS", few)      # filed under one cell, two and three
+    rng = np.random.default_rng(1)
+    m = rng.integers(0, 120, (1200, 12)).astype(float)
+    m[1100:1110, 3:8] = m[100:110, 3:8]
+    row = duplicates.partial_rows(make_sheet(m)).first()
+    pairs, hot, p = plain_partial_rows(m)
+    assert (row.n_pairs, row.hot_columns) == (pairs, hot) and row.partial_p == pytest.approx(p, rel=1e-9)
+
+
 def test_copied_rows_are_found(make_sheet):
     rng = np.random.default_rng(9)
     m = rng.normal(50, 5, (150, 4)).round(3)

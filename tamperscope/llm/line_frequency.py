@@ -58,12 +58,36 @@ def _key() -> Column:
     return F.struct(F.col("source").cast("string").alias("host"), text_hash(F.col("text")).alias("text_key")).alias("doc")
 
 
+def _line_hash(raw: Column) -> Column:
+    """Hash of a line in lower case without outer white space; null where no word is left."""
+    return let(F.btrim(F.lower(raw), F.lit(SPACES)), lambda x: F.when(x != "", F.xxhash64(x)))
+
+
 def host_lines(docs: DataFrame) -> DataFrame:
-    """(doc, pos, line, chars): hashes of the lines with a word of each
-    different text of a host, in lower case and without outer white space."""
+    """(doc, pos, line, chars, copies): hashes of the lines with a word of each
+    different text of a host, in lower case and without outer white space, and
+    how many documents of the host have the text."""
     each = docs.select(_key(), F.posexplode(F.split(F.lower("text"), "\n")).alias("pos", "raw"))
     trimmed = each.select("doc", "pos", F.btrim("raw", F.lit(SPACES)).alias("x")).where("x <> ''")
-    return trimmed.select("doc", "pos", F.xxhash64("x").alias("line"), F.char_length("x").alias("chars")).distinct()
+    hashed = trimmed.select("doc", "pos", F.xxhash64("x").alias("line"), F.char_length("x").alias("chars"))
+    # Counted before the shuffle: copies of a text are one row per task.
+    return hashed.groupBy("doc", "pos", "line", "chars").agg(F.count(F.lit(1)).alias("copies"))
+
+
+def marked_lines(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, max_share: float = MAX_SHARE) -> DataFrame:
+    """``host_lines`` with a mark on those that more than ``max_documents``
+    documents, and more than ``max_share`` of those with a line, of their host hold."""
+    lines = materialize(host_lines(docs), "host-lines")
+    # (host, line, text) first, so that a line of a third of all documents is
+    # counted by many tasks.
+    seen = lines.groupBy("doc.host", "line", "doc.text_key").agg(F.max("copies").alias("copies"))
+    counts = seen.groupBy("host", "line").agg(F.sum("copies").alias("n")).where(F.col("n") > max_documents)
+    texts = lines.groupBy("doc").agg(F.max("copies").alias("copies"))
+    hosts = texts.groupBy("doc.host").agg(F.sum("copies").alias("documents"))
+    keyed_hosts = hosts.select(F.struct("host").alias("h"), "documents")
+    frequent = counts.withColumn("h", F.struct("host")).join(keyed_hosts, "h").where(F.col("n") > max_share * F.col("documents"))
+    frequent = frequent.select(F.struct("host", "line").alias("at"), F.lit(True).alias("frequent"))
+    return lines.withColumn("at", F.struct("doc.host", "line")).join(frequent, "at", "left").drop("at")
 
 
 def depleted_documents(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, max_share: float = MAX_SHARE,
@@ -71,30 +95,35 @@ def depleted_documents(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, max_
     """(doc, removed_chars, line_chars): documents, by host and text, whose
     lines hold less than ``min_left`` of their characters once the frequent
     lines of their host are removed."""
-    lines = materialize(host_lines(docs), "host-lines")
-    # Distinct (host, line, text) first, so that a line of a third of all
-    # documents is counted by many tasks.
-    seen = lines.select("doc.host", "line", "doc.text_key").distinct()
-    counts = seen.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > max_documents)
-    hosts = lines.select("doc").distinct().groupBy("doc.host").agg(F.count("*").alias("documents"))
-    keyed_hosts = hosts.select(F.struct("host").alias("h"), "documents")
-    frequent = counts.withColumn("h", F.struct("host")).join(keyed_hosts, "h").where(F.col("n") > max_share * F.col("documents"))
-    frequent = frequent.select(F.struct("host", "line").alias("at"), F.lit(True).alias("frequent"))
-    marked = lines.withColumn("at", F.struct("doc.host", "line")).join(frequent, "at", "left")
+    marked = marked_lines(docs, max_documents, max_share)
     sums = marked.groupBy("doc").agg(F.sum(F.when(F.col("frequent"), F.col("chars")).otherwise(0)).alias("removed_chars"),
                                      F.sum("chars").alias("line_chars"))
     return sums.where(F.col("line_chars") - F.col("removed_chars") < min_left * F.col("line_chars"))
 
 
+def without_frequent_lines(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, max_share: float = MAX_SHARE) -> DataFrame:
+    """(row, text, n_removed) per row of ``docs``: ``row`` holds its columns as
+    they were, ``text`` the text without the frequent lines of its host, other
+    lines as they stand; a null text stays null."""
+    gone = marked_lines(docs, max_documents, max_share).where("frequent").groupBy("doc").agg(F.collect_set("line").alias("gone"))
+    joined = docs.select(F.struct("*").alias("row"), _key()).join(gone, "doc", "left")
+    lines = F.split("row.text", "\n")
+    stays = F.filter(lines, lambda x: ~F.coalesce(F.array_contains("gone", _line_hash(x)), F.lit(False)))
+    kept = joined.select("row", F.size(lines).alias("n"), F.when(F.col("gone").isNull(), lines).otherwise(stays).alias("left"))
+    return kept.select("row", F.when(F.col("row.text").isNotNull(), F.array_join("left", "\n")).alias("text"),
+                       F.when(F.col("row.text").isNull(), 0).otherwise(F.col("n") - F.size("left")).alias("n_removed"))
+
+
 def quality_rules(docs: DataFrame) -> DataFrame:
     """Base counts and the verdict of every whole text of ``docs``.
 
     ``base_failed`` marks texts of few words or of mostly repeated words.
     Others are kept unless frequent lines deplete them: a line is frequent
-    where more than MAX_DOCUMENTS different texts, and more than MAX_SHARE of
-    all, of one host (``source``; null is a host of its own) hold it. Copies
-    of a text count once. Null and blank texts have no words and fail; a null
-    doc_id and repeated rows are kept; other columns are not read.
+    where more than MAX_DOCUMENTS documents, and more than MAX_SHARE of all
+    with a line, of one host (``source``; null is a host of its own) hold it;
+    copies of a text are documents of their own. On a host of a million
+    documents the share decides: a line is frequent from 10,000 on. Null and blank texts have no words and fail; a null
+    doc_id and repeated rows are documents like others; other columns are not read.
     """
     gone = depleted_documents(docs).select("doc", "removed_chars")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key(), text_measures(F.col("text")).alias("m"))
@@ -121,15 +150,14 @@ base AS (SELECT w.rid, doc_id, source, text, CAST(len(ws) AS BIGINT) n_words,
   CAST(length(t) - length(translate(t, '{SYMBOLS}', '')) AS BIGINT) n_symbols,
   list_filter(string_split(t, chr(10)), lambda x: trim(x, {spaces}) <> '') ls, coalesce(rep.n, 0) n_repeat_words
   FROM w LEFT JOIN rep ON w.rid = rep.rid),
-ln AS (SELECT source, text, trim(x, {spaces}) line FROM (SELECT source, text, unnest(string_split(lower(text), chr(10))) x
-  FROM (SELECT DISTINCT source, text FROM d)) WHERE trim(x, {spaces}) <> ''),
-hosts AS (SELECT source, count(DISTINCT text) n FROM ln GROUP BY source),
+ln AS (SELECT rid, source, trim(x, {spaces}) line FROM (SELECT rid, source, unnest(string_split(lower(text), chr(10))) x FROM d)
+  WHERE trim(x, {spaces}) <> ''),
+hosts AS (SELECT source, count(DISTINCT rid) n FROM ln GROUP BY source),
 freq AS (SELECT ln.source, line FROM ln JOIN hosts h ON ln.source IS NOT DISTINCT FROM h.source GROUP BY ln.source, line, h.n
-  HAVING count(DISTINCT text) > {MAX_DOCUMENTS} AND count(DISTINCT text) > {MAX_SHARE} * h.n),
-gone AS (SELECT ln.source, ln.text FROM ln LEFT JOIN freq f ON ln.source IS NOT DISTINCT FROM f.source AND ln.line = f.line
-  GROUP BY ln.source, ln.text
+  HAVING count(DISTINCT rid) > {MAX_DOCUMENTS} AND count(DISTINCT rid) > {MAX_SHARE} * h.n),
+gone AS (SELECT rid FROM ln LEFT JOIN freq f ON ln.source IS NOT DISTINCT FROM f.source AND ln.line = f.line GROUP BY rid
   HAVING sum(CASE WHEN f.line IS NULL THEN length(ln.line) ELSE 0 END) < {MIN_LEFT} * sum(length(ln.line)))
 SELECT doc_id, n_words, word_chars, n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) n_dup_lines,
   CAST(n_repeat_words AS BIGINT) n_repeat_words, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED} * n_words base_failed,
-  NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED} * n_words) AND g.text IS NULL kept
-FROM base b LEFT JOIN gone g ON b.source IS NOT DISTINCT FROM g.source AND b.text = g.text"""
+  NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED} * n_words) AND g.rid IS NULL kept
+FROM base b LEFT JOIN gone g ON b.rid = g.rid"""

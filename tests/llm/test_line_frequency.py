@@ -15,12 +15,12 @@ def plain(rows):
         return [w for w in re.split(r"[\x20\x09-\x0D]+", t) if w]
 
     hosts, holders = {}, {}
-    for _, text, source in rows:
+    for i, (_, text, source) in enumerate(rows):
         lines = [x.strip(STRIP) for x in (text or "").lower().split("\n") if x.strip(STRIP)]
         if lines:
-            hosts.setdefault(source, set()).add(text)
+            hosts.setdefault(source, set()).add(i)
         for x in lines:
-            holders.setdefault((source, x), set()).add(text)
+            holders.setdefault((source, x), set()).add(i)
     out = []
     for doc_id, text, source in rows:
         t = text or ""
@@ -64,3 +64,15 @@ def test_query_and_sql_against_brute_force(make_docs):
     frame = pd.DataFrame(rows, columns=["doc_id", "text", "source"]).astype({"doc_id": "Int64"})  # noqa: F841  read by name
     assert sorted(repr(tuple(r)) for r in duckdb.sql(lf.quality_sql("frame")).fetchall()) == want
     assert lf.quality_rules(docs.limit(0)).count() == 0
+
+
+def test_copies_are_documents_and_frequent_lines_go(make_docs):
+    footer = " ".join(f"all{i} pages" for i in range(40))
+    copies = [(i, f"{footer}\nrest of the page " + "w " * 5, "h") for i in range(500)]
+    own = [(1000 + i, " ".join(f"own{i}x{j}" for j in range(60)) + f"\n  {footer.upper()} \nlast", "h") for i in range(5)]
+    docs = make_docs(copies + own + [(2000, None, "h"), (2001, "", "h")])
+    kept = {r.doc_id: r.kept for r in lf.quality_rules(docs).collect()}
+    assert not any(kept[i] for i in range(500)) and all(kept[1000 + i] for i in range(5))
+    texts = {r.row.doc_id: (r.text, r.n_removed) for r in lf.without_frequent_lines(docs).collect()}
+    assert texts[3] == ("", 2) and texts[2000] == (None, 0) and texts[2001] == ("", 0)
+    assert texts[1002] == (" ".join(f"own2x{j}" for j in range(60)) + "\nlast", 1)

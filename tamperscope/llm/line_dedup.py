@@ -11,7 +11,7 @@ from tamperscope.llm.common import SPACES, let
 from tamperscope.llm.components import components
 from tamperscope.session import materialize
 
-#: Edits between lines of one class; lines below MIN_CHARS are left alone.
+#: Edits between lines of one class; lines below MIN_CHARS must be equal.
 EDITS = 2
 MIN_CHARS = 24
 #: Lines filed under one segment beyond which they are told apart by their
@@ -136,25 +136,24 @@ def _line_id(line: Column) -> Column:
     return F.xxhash64(line)
 
 
-#: Letters whose counts are compared before two lines are.
-LETTERS = "etaoinsrhl"
+#: Characters whose counts are compared before two lines are.
+LETTERS = " etaoinsrhldcumfpgwybvkxjqz0123456789"
 
 
-def _count(line: Column, letter: str) -> Column:
-    return F.char_length(line) - F.char_length(F.replace(line, F.lit(letter), F.lit("")))
+def letter_counts(line: Column) -> Column:
+    """How often each of LETTERS stands in a line."""
+    size = F.char_length(line)
+    return F.array(*[size - F.char_length(F.replace(line, F.lit(c), F.lit(""))) for c in LETTERS])
 
 
 def like_letters(a: Column, b: Column, edits: int) -> Column:
-    """A bound for lines within so many edits: an edit changes the counts of
-    at most two letters, by one each."""
-    total = None
-    for letter in LETTERS:
-        gap = F.abs(_count(a, letter) - _count(b, letter))
-        total = gap if total is None else total + gap
-    return total <= 2 * edits
+    """A bound for lines within so many edits, by their ``letter_counts``: an
+    edit changes the counts of at most two letters, by one each."""
+    gaps = [F.abs(F.get(a, F.lit(i)) - F.get(b, F.lit(i))) for i in range(len(LETTERS))]
+    return sum(gaps[1:], gaps[0]) <= 2 * edits
 
 
-def line_places(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def line_places(docs: DataFrame, min_chars: int = 1) -> DataFrame:
     """(doc_id, id, line) of every line of at least ``min_chars`` characters
     without its outer white space."""
     each = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.split("text", "\n")).alias("raw"))
@@ -162,18 +161,22 @@ def line_places(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return lines.select("doc_id", _line_id(F.col("line")).alias("id"), "line")
 
 
-def _keyed(places: DataFrame, edits: int) -> DataFrame:
+def _keyed(places: DataFrame, edits: int, min_chars: int = 0) -> DataFrame:
     """One row per id of ``places`` (id, line, others), written: the smallest
     of each other column, the keys ``filed``, and the keys ``probed`` with
-    whether they look for lines as long (``same``). Only numbers are shuffled."""
+    whether they look for lines as long (``same``); lines below ``min_chars``
+    have no keys. Only numbers are shuffled."""
     filed, probed = _keys(F.col("line"), F.char_length("line"), edits)
     keys = {f"f{k}": x for k, x in enumerate(filed)} | {f"p{k}": x for k, x in enumerate(probed)}
+    if min_chars:
+        keys = {c: F.when(F.char_length("line") >= min_chars, x) for c, x in keys.items()}
     others = [c for c in places.columns if c not in ("id", "line")]
     each = places.select("id", *others, *[x.alias(c) for c, x in keys.items()])
     each = each.groupBy("id").agg(*[F.min(c).alias(c) for c in [*others, *keys]])
     windows = [F.struct(F.col(f"p{k}").alias("key"), F.lit(less == 0).alias("same")) for k, (less, _, _) in enumerate(_windows(edits))]
-    return materialize(each.select("id", *others, F.array(*[f"f{k}" for k in range(len(filed))]).alias("filed"),
-                                   F.array(*windows).alias("probed")), "line-keys")
+    long = F.col("f0").isNotNull()
+    return materialize(each.select("id", *others, F.when(long, F.array(*[f"f{k}" for k in range(len(filed))])).alias("filed"),
+                                   F.when(long, F.array(*windows)).alias("probed")), "line-keys")
 
 
 def _pairs(keyed: DataFrame, places: DataFrame, edits: int, crowd: int) -> DataFrame:
@@ -194,19 +197,22 @@ def _pairs(keyed: DataFrame, places: DataFrame, edits: int, crowd: int) -> DataF
     needed = met.select(F.col("a").alias("id")).union(few.select("b")).union(here.select("b")).distinct()
     # Texts of lines that met another, or a crowd; the rest aren't shuffled.
     found = places.select("id", "line").join(needed, "id", "left_semi")
-    texts = materialize(found.groupBy("id").agg(F.first("line").alias("line")), "line-texts")
+    texts = found.groupBy("id").agg(F.first("line").alias("line"))
+    texts = materialize(texts.select("*", letter_counts(F.col("line")).alias("letters")), "line-texts")
 
     in_crowds = there.select(F.col("a").alias("id")).union(here.select("b")).distinct()
-    blocks = materialize(texts.join(in_crowds, "id", "left_semi").select("id", _blocks(F.col("line"), edits).alias("blocks")), "line-blocks")
-    left = _by_blocks(there.join(blocks, there["a"] == blocks["id"]).select("a", "same", "key", "blocks"), edits)
-    right = _by_blocks(here.join(blocks, here["b"] == blocks["id"]).select("b", "key", "blocks"), edits)
-    many = left.join(right.withColumnRenamed("blocks", "others"), ["key", "couple", "part"]).where(
-        F.expr(once) & _agree(F.col("blocks"), F.col("others"), F.col("couple"), edits)).select("a", "b")
+    blocks = materialize(texts.join(in_crowds, "id", "left_semi").select("id", _blocks(F.col("line"), edits).alias("blocks"), "letters"), "line-blocks")
+    left = _by_blocks(there.join(blocks, there["a"] == blocks["id"]).select("a", "same", "key", "blocks", "letters"), edits)
+    right = _by_blocks(here.join(blocks, here["b"] == blocks["id"]).select("b", "key", "blocks", "letters"), edits)
+    right = right.withColumnRenamed("blocks", "others").withColumnRenamed("letters", "counts")
+    many = left.join(right, ["key", "couple", "part"]).where(
+        F.expr(once) & _agree(F.col("blocks"), F.col("others"), F.col("couple"), edits)
+        & like_letters(F.col("letters"), F.col("counts"), edits)).select("a", "b")
 
     pairs = few.union(many).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    pairs = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("la")), "a").join(
-        texts.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b")
-    alike = like_letters(F.col("la"), F.col("lb"), edits)
+    pairs = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("la"), F.col("letters").alias("na")), "a").join(
+        texts.select(F.col("id").alias("b"), F.col("line").alias("lb"), F.col("letters").alias("nb")), "b")
+    alike = like_letters(F.col("na"), F.col("nb"), edits)
     return pairs.where(F.when(alike, within(F.col("la"), F.col("lb"), edits)).otherwise(False)).select("a", "b")
 
 
@@ -219,7 +225,7 @@ def similar_pairs(lines: DataFrame, edits: int = EDITS, crowd: int = CROWD) -> D
     probes the substrings where a segment of a line as long or shorter can
     lie. Where more than ``crowd`` lines are filed under one segment, lines
     meet only if they also agree in three blocks of characters, which edits
-    leave. Lines that meet are compared once, in full.
+    leave, and nearly in the counts of all letters. Lines that meet are compared once, in full.
     """
     return _pairs(_keyed(lines, edits), lines, edits, crowd)
 
@@ -227,9 +233,10 @@ def similar_pairs(lines: DataFrame, edits: int = EDITS, crowd: int = CROWD) -> D
 def kept_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, kept): ids of the lines that a document keeps, for documents
     that keep any. Of each class of lines that chains of ``edits`` edits join,
-    one line stays, in the document with the smallest doc_id (null last)."""
-    places = line_places(docs, min_chars)
-    keyed = _keyed(places, edits)
+    one line stays, in the document with the smallest doc_id (null last);
+    lines below ``min_chars`` are of one class only where they are equal."""
+    places = line_places(docs)
+    keyed = _keyed(places, edits, min_chars)
     owners = keyed.select("id", F.col("doc_id").alias("owner"))
     classes = components(materialize(_pairs(keyed, places, edits, CROWD), "line-pairs"))
     members = classes.join(owners, classes["node"] == owners["id"]).select(
@@ -244,13 +251,13 @@ def _trimmed(line: Column) -> Column:
     return F.btrim(line, F.lit(SPACES))
 
 
-def _ids(lines: Column, min_chars: int) -> Column:
-    """Id of each line, null for those too short to be compared."""
-    return F.transform(lines, lambda x: F.when(F.char_length(_trimmed(x)) >= min_chars, _line_id(_trimmed(x))))
+def _ids(lines: Column) -> Column:
+    """Id of each line, null for blank ones."""
+    return F.transform(lines, lambda x: F.when(_trimmed(x) != "", _line_id(_trimmed(x))))
 
 
 def _stays(ids: Column, k: Column) -> Column:
-    """Whether line k stays: too short, or kept here and for the first time."""
+    """Whether line k stays: blank, or kept here and for the first time."""
     held = F.coalesce(F.array_contains(F.col("kept"), F.get(ids, k)), F.lit(False))
     return F.get(ids, k).isNull() | (held & (F.array_position(ids, F.get(ids, k)) == k + 1))
 
@@ -265,15 +272,15 @@ def removed_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHAR
 
     Lines are compared without their outer white space. A line is repeated if
     a line of its class stands in a document with a smaller doc_id (null last)
-    or earlier in its own; lines below ``min_chars`` characters always stay.
-    Rows of one doc_id count as one document, and so do those without one. A
+    or earlier in its own; of lines below ``min_chars`` characters only equal
+    ones are of one class, and blank lines always stay. Rows of one doc_id count as one document, and so do those without one. A
     null text has no lines, an empty one has one; an empty table gives no
     rows. Lines are told apart by 64-bit hashes. Texts are not shuffled, only
     their line ids.
     """
     kept = kept_lines(docs, edits, min_chars)
     lines = F.split("text", "\n")
-    slim = docs.select(_doc(), _ids(lines, min_chars).alias("ids"), F.transform(lines, F.char_length).alias("sizes"))
+    slim = docs.select(_doc(), _ids(lines).alias("ids"), F.transform(lines, F.char_length).alias("sizes"))
     joined = slim.join(kept, "doc", "left")
     places = F.sequence(F.lit(0), F.size("ids") - 1)
     gone = F.filter(places, lambda k: ~_stays(F.col("ids"), k))
@@ -290,7 +297,7 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
     joined = docs.select(F.struct("*").alias("row"), _doc()).join(kept, "doc", "left")
 
     def choose(lines: Column) -> Column:
-        return let(_ids(lines, min_chars), lambda ids: F.filter(lines, lambda _, k: _stays(ids, k)))
+        return let(_ids(lines), lambda ids: F.filter(lines, lambda _, k: _stays(ids, k)))
 
     lines = F.split("row.text", "\n")
     done = joined.select("row", F.size(lines).alias("n"), let(lines, choose).alias("left"))

@@ -63,10 +63,10 @@ def test_crowd_of_variants(spark):
 def plain_dedup(rows, edits, min_chars):
     """Texts without repeated lines, by comparing all lines."""
     strip = " \t\n\x0b\x0c\r"
-    lines = sorted({x.strip(strip) for _, t in rows for x in (t or "").split("\n") if len(x.strip(strip)) >= min_chars})
+    lines = sorted({x.strip(strip) for _, t in rows for x in (t or "").split("\n") if x.strip(strip)})
     label = list(range(len(lines)))
     near = [(i, j) for i in range(len(lines)) for j in range(i)
-            if abs(len(lines[i]) - len(lines[j])) <= edits and distance(lines[i], lines[j]) <= edits]
+            if min(len(lines[i]), len(lines[j])) >= min_chars and abs(len(lines[i]) - len(lines[j])) <= edits and distance(lines[i], lines[j]) <= edits]
     changed = True
     while changed:
         changed = False

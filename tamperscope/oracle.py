@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 
 from tamperscope.functions.stats import ERFC_COEFFICIENTS
+from tamperscope.model import MECHANISM
+from tamperscope.plans import gates
 
 
 def erfc(x: str) -> str:
@@ -172,6 +174,38 @@ def _windows(width: int, stride: int, total: str) -> str:
     return f"""win AS (SELECT i AS w, i*{stride} AS s FROM (SELECT unnest(range(0,(SELECT CAST(floor(({total}-{width})/{stride}.0) AS BIGINT)+1))) i))"""
 
 
+def _mixed_gates() -> str:
+    """Rule and minimum tables as VALUES, first cause by rank."""
+    def values(rows) -> str:
+        return ",".join("(" + ",".join(f"'{x.replace(chr(39), chr(39) * 2)}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
+
+    ruled = [(t, f"data type {k}", "dataTypeMismatch", 0) for k, tests in gates.DATA_TYPE_SKIP.items() for t in tests]
+    ruled += [(t, "columns are conditions", "columnsNotReplicates", 1) for t in gates.REPLICATES_ONLY]
+    ruled += [(t, "row order arbitrary", "rowOrderArbitrary", 2) for t in gates.ORDERED_ONLY]
+    ruled += [(t, "subjects shared", "subjectsSharedAcrossConditions", 3) for t in gates.UNPAIRED_ONLY]
+    least = [(t, m, float(v), gates._CAUSE[m], 10 + i) for t, need in gates.MINIMA.items() for i, (m, v) in enumerate(need.items())]
+    measures = ",".join(f"('{m}',CAST({m} AS DOUBLE))" for m in gates._CAUSE)
+    return f"""WITH {EV}, {ORD}, c AS (SELECT CAST(user_id AS VARCHAR) ds, cond, x FROM ev UNION ALL SELECT 'orders', cond, x FROM cell),
+r AS (SELECT CAST(user_id AS VARCHAR) ds, count(*) n_rows, 1 n_cols, count(DISTINCT cond) n_conditions, 0 n_missing FROM ev GROUP BY 1 UNION ALL
+  SELECT 'orders', count(*), 4, count(DISTINCT cond), sum(4-nv) FROM sheet),
+v AS (SELECT ds, count(*) n_values, sum(CASE WHEN x<>floor(x) THEN 1 ELSE 0 END) n_decimal FROM c GROUP BY ds),
+lg AS (SELECT ds, log10(abs(x)) l, row_number() OVER (PARTITION BY ds ORDER BY abs(x))-1 i, count(*) OVER (PARTITION BY ds) m FROM c WHERE x<>0),
+sp AS (SELECT ds, CASE WHEN max(m)<10 THEN max(l)-min(l) ELSE max(CASE WHEN i=CAST(floor(m*0.95) AS BIGINT) THEN l END)
+  -max(CASE WHEN i=CAST(floor(m*0.05) AS BIGINT) THEN l END) END span FROM lg GROUP BY ds),
+s AS (SELECT r.ds ds, n_rows, n_cols, n_conditions, n_missing, n_values, n_decimal, span, n_rows*1.0/n_cols rows_per_col,
+  CASE WHEN r.ds='orders' THEN 0 ELSE TRY_CAST(r.ds AS BIGINT)%5 END k FROM r JOIN v ON r.ds=v.ds LEFT JOIN sp ON r.ds=sp.ds),
+f AS (SELECT ds, unnest([CASE k WHEN 0 THEN 'data type ordinal' WHEN 1 THEN 'data type count' ELSE 'data type continuous' END,
+  CASE WHEN k=2 THEN 'columns are conditions' END, CASE WHEN k IN (1,2) THEN 'row order arbitrary' END, CASE WHEN k=3 THEN 'subjects shared' END]) fact FROM s),
+t(test,mechanism) AS (VALUES {values(MECHANISM.items())}), rl(test,fact,cause,rank) AS (VALUES {values(ruled)}),
+mn(test,measure,least,cause,rank) AS (VALUES {values(least)}),
+ms AS (SELECT ds, p.measure measure, p.v v FROM s, LATERAL (VALUES {measures}) p(measure,v)),
+hit AS (SELECT ds,test,rank,cause,NULL::DOUBLE observed,NULL::DOUBLE least FROM f JOIN rl ON f.fact=rl.fact UNION ALL
+  SELECT ds,test,rank,cause,v,CAST(least AS DOUBLE) FROM ms JOIN mn ON ms.measure=mn.measure WHERE coalesce(v,0)<least),
+one AS (SELECT * FROM hit QUALIFY row_number() OVER (PARTITION BY ds,test ORDER BY rank)=1)
+SELECT s.ds AS dataset_id,t.test AS test,mechanism,cause IS NULL AS runs,cause AS na_cause,round(observed,6) AS na_observed,least AS na_minimum
+FROM s CROSS JOIN t LEFT JOIN one ON one.ds=s.ds AND one.test=t.test"""
+
+
 def _oracles() -> dict[str, str]:
     o: dict[str, str] = {}
     o["benford_first"] = _benford("SELECT value x FROM events", 1, FIRST, 1, 8)
@@ -410,6 +444,7 @@ SELECT CAST(s.u AS VARCHAR) AS dataset_id,n AS n_rows,n AS n_values,nc AS n_cond
  1+(CASE WHEN n>=4 THEN 1 ELSE 0 END)+(CASE WHEN nc>=2 AND n>=10 THEN 1 ELSE 0 END)+(CASE WHEN n>=100 AND span>=1.5 THEN 1 ELSE 0 END)+(CASE WHEN n>=100 AND span>=1.0 THEN 1 ELSE 0 END)
  +(CASE WHEN n>=50 THEN 1 ELSE 0 END)+(CASE WHEN nd>=30 THEN 1 ELSE 0 END)+(CASE WHEN n>=100 THEN 1 ELSE 0 END)+(CASE WHEN n>=20 THEN 1 ELSE 0 END)+(CASE WHEN n>=30 THEN 1 ELSE 0 END)
  +(CASE WHEN n>=50 THEN 1 ELSE 0 END)+2*(CASE WHEN nc>=2 AND n>=10 THEN 1 ELSE 0 END)+(CASE WHEN nc>=2 AND n>=60 THEN 1 ELSE 0 END) AS n_tests FROM s JOIN sp ON sp.u=s.u"""
+    o["mixed_gates"] = _mixed_gates()
     o["grouping_status"] = f"""WITH {ORD}, g AS (SELECT cond,count(*) n FROM sheet GROUP BY cond)
 SELECT 'orders' AS dataset_id,count(*) AS n_groups,min(n) AS smallest,max(n) AS largest,median(n) AS median_size,count(*)>=2 AND min(n)>=3 AS usable,
  NOT (count(*)>=2 AND min(n)>=3) OR median(n)<=4 AS pending FROM g"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +13,8 @@ from tamperscope.model import ALL, MECHANISM, RESULT_SCHEMA, UNIT_SCHEMA, Outcom
 from tamperscope.operators import (
     conditions, digits, duplicates, missing, multivariate, noise, offsets, replicates, shapes,
 )
+from tamperscope.plans import settings as settings_table
+from tamperscope.plans.battery_status import subject_pairing  # noqa: F401  part of this module's interface
 from tamperscope.plans.gates import dataset_summary, gates
 from tamperscope.plans.verdict import aggregate_groups
 from tamperscope.session import materialize, new_path
@@ -104,34 +106,52 @@ def run_test(test: ForensicTest, sheet: Sheet, status: DataFrame) -> Outcome:
     return Outcome(outcome.evidence, aggregate_groups(outcome.result).unionByName(pending))
 
 
-def run_battery(sheet: Sheet, tests: list[str] | None = None, parallel: int = 4) -> tuple[DataFrame, DataFrame]:
+def run_battery(
+    sheet: Sheet, tests: list[str] | None = None, parallel: int = 4, settings: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Results (datasets x tests) and units of the battery, as written tables.
 
-    Gates come first: a dataset a test cannot judge never reaches its plan.
-    Each test writes its own part of the two tables; several run side by side.
+    ``settings`` has a row per dataset (see ``settings.settings_rows``); what
+    it leaves open is the sheet's own. Zeros go where they stand for missing
+    cells, the transform and pairing are read off the data where asked. Gates
+    come next: a dataset a test cannot judge never reaches its plan. Datasets
+    of equal settings run together. Each test writes its own part of the two
+    tables; several run side by side.
     """
     spark = sheet.rows.sparkSession
     wanted = [t for t in TESTS if tests is None or t.name in tests]
-    gate = materialize(gates(sheet, dataset_summary(sheet)), "gates")
+    chosen = materialize(settings_table.settings_rows(sheet, settings), "settings")
+    sheet = settings_table.zeros_as_missing(sheet, chosen)
+    if settings is not None:
+        chosen = materialize(settings_table.read_off(sheet, chosen), "settings")
+    gate = materialize(gates(sheet, dataset_summary(sheet), chosen), "gates")
     status = materialize(grouping_status(sheet), "grouping")
+    kinds = settings_table.classes(chosen)
     results_path, units_path = new_path(spark, "results"), new_path(spark, "units")
 
     def one(test: ForensicTest) -> None:
         own = gate.where(F.col("test") == test.name)
-        rows = sheet.rows.join(own.where("runs").select("dataset_id"), "dataset_id", "left_semi")
-        outcome = run_test(test, sheet.with_rows(rows), status)
+        slot = f"t{[t.name for t in TESTS].index(test.name):02d}"
         closed = own.where("not runs").select(
             "dataset_id", F.lit(ALL).alias("grp"), "test", F.lit("N/A").alias("flag"),
             F.lit(None).cast("double").alias("primary_p"), "na_cause", "na_observed", "na_minimum",
             F.lit(None).cast("string").alias("null_method"),
             F.create_map(F.lit("gated"), F.lit(1.0)).alias("stats"))
-        result = outcome.result.select(*RESULT_SCHEMA.names).unionByName(closed)
-        slot = f"t{[t.name for t in TESTS].index(test.name):02d}"
-        result.write.parquet(f"{results_path}/slot={slot}")
-        outcome.units.select(*UNIT_SCHEMA.names).write.parquet(f"{units_path}/slot={slot}")
+        closed.select(*RESULT_SCHEMA.names).write.parquet(f"{results_path}/slot={slot}-closed")
+        for k, kind in enumerate(kinds):
+            open_ = own.where("runs").select("dataset_id")
+            if len(kinds) > 1:
+                open_ = open_.join(settings_table.of_class(chosen, kind), "dataset_id", "left_semi")
+                if open_.isEmpty():
+                    continue
+            rows = sheet.rows.join(open_, "dataset_id", "left_semi")
+            outcome = run_test(test, replace(sheet, rows=rows, settings=replace(kind, seed=sheet.settings.seed)), status)
+            outcome.result.select(*RESULT_SCHEMA.names).write.parquet(f"{results_path}/slot={slot}-{k}")
+            outcome.units.select(*UNIT_SCHEMA.names).write.parquet(f"{units_path}/slot={slot}-{k}")
 
     with ThreadPoolExecutor(max_workers=parallel) as pool:
         list(pool.map(one, wanted))
+    spark.createDataFrame([], UNIT_SCHEMA).write.parquet(f"{units_path}/slot=none")
     return (
         spark.read.schema(RESULT_SCHEMA).parquet(results_path).select(*RESULT_SCHEMA.names),
         spark.read.schema(UNIT_SCHEMA).parquet(units_path).select(*UNIT_SCHEMA.names),
@@ -172,19 +192,4 @@ def surviving_groups(sheet: Sheet, minimum_rows: int = 3) -> DataFrame:
     return every.withColumn("observed", n).withColumn("minimum", F.lit(2)).withColumn("refused", n < 2)
 
 
-def subject_pairing(sheet: Sheet) -> DataFrame:
-    """Datasets whose conditions all hold the same subjects, each once."""
-    rows = sheet.rows.where(F.col("cond").isNotNull())
-    per_subject = rows.groupBy("dataset_id", "subject").agg(
-        F.count_distinct("cond").alias("k"), F.count(F.lit(1)).alias("n"))
-    conds = rows.groupBy("dataset_id").agg(F.count_distinct("cond").alias("n_conditions"))
-    checks = per_subject.join(conds, "dataset_id").groupBy("dataset_id").agg(
-        F.max("n_conditions").alias("n_conditions"),
-        F.bool_and(F.col("subject").isNotNull() & (F.col("k") == F.col("n_conditions")) & (F.col("n") == F.col("k"))).alias("same"))
-    paired = F.col("same") & (F.col("n_conditions") >= 2)
-    return checks.select(
-        "dataset_id", "n_conditions", paired.alias("paired"),
-        F.when(paired, "identifier").alias("basis"))
-
-
 assert {t.name for t in TESTS} == set(MECHANISM)

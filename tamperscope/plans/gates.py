@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamperscope.functions.rows import cells
 from tamperscope.functions.values import is_integer
-from tamperscope.model import MECHANISM, Settings, Sheet
+from tamperscope.model import MECHANISM, Sheet
 from tamperscope.operators.digits import log_span
+from tamperscope.plans.settings import facts, settings_rows
 
 # Tests a data type rules out.
 DATA_TYPE_SKIP = {
@@ -95,35 +96,45 @@ def dataset_summary(sheet: Sheet) -> DataFrame:
     )
 
 
-def _cause(test: str, s: Settings) -> tuple[Column, Column, Column]:
-    """(cause, observed, minimum) for one test; cause is null where it runs."""
-    null = F.lit(None)
-    if test in DATA_TYPE_SKIP.get(s.data_type, ()):
-        return F.lit("dataTypeMismatch"), null, null
-    if s.column_relationship == "conditions" and not s.paired and test in REPLICATES_ONLY:
-        return F.lit("columnsNotReplicates"), null, null
-    if s.row_semantics == "arbitrary" and test in ORDERED_ONLY:
-        return F.lit("rowOrderArbitrary"), null, null
-    if s.paired and test in UNPAIRED_ONLY:
-        return F.lit("subjectsSharedAcrossConditions"), null, null
-    cause, observed, minimum = null.cast("string"), null.cast("double"), null.cast("double")
-    for name, least in reversed(MINIMA.get(test, {}).items()):
-        short = F.coalesce(F.col(name), F.lit(0)) < least
-        cause = F.when(short, _CAUSE[name]).otherwise(cause)
-        observed = F.when(short, F.col(name).cast("double")).otherwise(observed)
-        minimum = F.when(short, F.lit(float(least))).otherwise(minimum)
-    return cause, observed, minimum
-
-
-def gates(sheet: Sheet, summary: DataFrame | None = None) -> DataFrame:
-    """datasets x 29 tests: runs, na_cause, na_observed, na_minimum."""
+def rules(spark: SparkSession) -> DataFrame:
+    """(test, fact, cause, rank): tests that a fact about a dataset closes;
+    the smallest rank names the cause."""
+    rows = [(t, f"data type {kind}", "dataTypeMismatch", 0) for kind, tests in DATA_TYPE_SKIP.items() for t in tests]
+    rows += [(t, "columns are conditions", "columnsNotReplicates", 1) for t in REPLICATES_ONLY]
+    rows += [(t, "row order arbitrary", "rowOrderArbitrary", 2) for t in ORDERED_ONLY]
+    rows += [(t, "subjects shared", "subjectsSharedAcrossConditions", 3) for t in UNPAIRED_ONLY]
+    return spark.createDataFrame(rows, "test string, fact string, na_cause string, rank int")
+
+
+def minima(spark: SparkSession) -> DataFrame:
+    """(test, measure, least, cause, rank): what a dataset must hold for a test."""
+    rows = [(t, name, float(least), _CAUSE[name], 10 + i) for t, need in MINIMA.items() for i, (name, least) in enumerate(need.items())]
+    return spark.createDataFrame(rows, "test string, measure string, na_minimum double, na_cause string, rank int")
+
+
+def gates(sheet: Sheet, summary: DataFrame | None = None, settings: DataFrame | None = None) -> DataFrame:
+    """datasets x 29 tests: runs, na_cause, na_observed, na_minimum.
+
+    ``settings`` is a settings table; each dataset is judged by its own row.
+    The two rule tables are fixed and small, so they are broadcast, and one
+    grouping picks the first cause of each dataset and test.
+    """
+    spark = sheet.rows.sparkSession
     base = summary if summary is not None else dataset_summary(sheet)
-    entries = []
-    for test, mechanism in MECHANISM.items():
-        cause, observed, minimum = _cause(test, sheet.settings)
-        entries.append(F.struct(
-            F.lit(test).alias("test"), F.lit(mechanism).alias("mechanism"), cause.cast("string").alias("na_cause"),
-            observed.cast("double").alias("na_observed"), minimum.cast("double").alias("na_minimum"),
-        ))
-    return base.select("dataset_id", F.explode(F.array(*entries)).alias("g")).select(
-        "dataset_id", "g.*").withColumn("runs", F.col("na_cause").isNull())
+    chosen = settings if settings is not None else settings_rows(sheet)
+    none = F.lit(None)
+    shared = ["dataset_id", "test", "rank", "na_cause", "na_observed", "na_minimum"]
+    every = base.select("dataset_id", F.explode(F.array(*[F.lit(t) for t in MECHANISM])).alias("test")).select(
+        "dataset_id", "test", F.lit(99).alias("rank"), none.cast("string").alias("na_cause"),
+        none.cast("double").alias("na_observed"), none.cast("double").alias("na_minimum"))
+    ruled = facts(chosen).join(F.broadcast(rules(spark)), "fact").select(
+        "dataset_id", "test", "rank", "na_cause", none.cast("double").alias("na_observed"), none.cast("double").alias("na_minimum"))
+    measures = [F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("na_observed")) for m in _CAUSE]
+    long = base.select("dataset_id", F.explode(F.array(*measures)).alias("m")).select("dataset_id", "m.*")
+    short = long.join(F.broadcast(minima(spark)), "measure").where(
+        F.coalesce("na_observed", F.lit(0.0)) < F.col("na_minimum")).select(*shared)
+    first = F.min(F.struct(*shared[2:])).alias("g")
+    mechanism = F.element_at(F.create_map(*[F.lit(x) for pair in MECHANISM.items() for x in pair]), F.col("test"))
+    return every.unionByName(ruled).unionByName(short).groupBy("dataset_id", "test").agg(first).select(
+        "dataset_id", "test", mechanism.alias("mechanism"), "g.na_cause", "g.na_observed", "g.na_minimum",
+        F.col("g.na_cause").isNull().alias("runs"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamperscope.functions.rows import cells, mean, variance
@@ -13,8 +13,9 @@ from tamperscope.model import Sheet
 FALLBACK = {"densitometry": "log", "elisa": "log", "genomics": "log", "proteomics": "log"}
 
 
-def choose_transform(sheet: Sheet) -> DataFrame:
-    """raw, log or anscombe per dataset, with the slope evidence behind it."""
+def choose_transform(sheet: Sheet, settings: DataFrame | None = None) -> DataFrame:
+    """raw, log or anscombe per dataset, with the slope evidence behind it; the
+    assay is that of ``settings`` (dataset_id, assay), else of the sheet."""
     values = cells(sheet.rows).groupBy("dataset_id").agg(
         F.avg(is_integer(F.col("x")).cast("double")).alias("integer_share"),
         F.avg((F.col("x") > 0).cast("double")).alias("positive_share"),
@@ -35,17 +36,23 @@ def choose_transform(sheet: Sheet) -> DataFrame:
     se = F.when(usable, F.sqrt(rss / (F.col("n_points") - 2) / F.col("_sxx")))
     df = df.withColumn("slope", F.when(usable, F.col("slope"))).withColumn("slope_se", se)
     above = F.coalesce((F.col("slope_se") > 0) & (F.col("slope") - 1.96 * F.col("slope_se") > 1), F.lit(False))
-    assay = sheet.settings.assay
+    if settings is None:
+        df = df.withColumn("_assay", F.lit(sheet.settings.assay))
+    else:
+        df = df.join(settings.select("dataset_id", F.col("assay").alias("_assay")), "dataset_id", "left")
+    assay = F.col("_assay")
     positive = F.col("negative_share") < 0.1
     mostly = F.col("positive_share") > 0.5
-    fallback = FALLBACK.get(assay, "raw")
+    fallback: Column = F.lit("raw")
+    for name, kind in FALLBACK.items():
+        fallback = F.when(assay == name, kind).otherwise(fallback)
     kind = (
         F.when(F.col("integer_share").isNull(), "raw")
         .when((F.col("integer_share") > 0.95) & above & mostly & positive, "log")
         .when((F.col("integer_share") > 0.95) & ~positive, "raw")
         .when(F.col("integer_share") > 0.95, "anscombe")
-        .when(above & mostly & positive & F.lit(assay == "general"), "log")
-        .when(F.lit(fallback == "log") & (~positive | ~mostly), "raw")
+        .when(above & mostly & positive & (assay == "general"), "log")
+        .when((fallback == "log") & (~positive | ~mostly), "raw")
         .otherwise(fallback)
     )
     return df.select(

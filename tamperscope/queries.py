@@ -13,7 +13,7 @@ from tamperscope.model import Sheet
 from tamperscope.operators import (
     conditions, digits, duplicates, missing, multivariate, noise, offsets, replicates, shapes,
 )
-from tamperscope.plans import battery, gates, regions, transform, verdict
+from tamperscope.plans import battery, gates, regions, settings, transform, verdict
 from tamperscope.sources import tables
 from tamperscope.session import materialize
 
@@ -281,6 +281,28 @@ def dataset_gates(spark, sf):
         "dataset_id", "n_rows", "n_values", "n_conditions", "n_decimal", F.round("span", 6).alias("span"), "n_tests")
 
 
+def _mixed_corpus(spark, sf) -> tuple[Sheet, DataFrame]:
+    """Every user's events and the order lines as one corpus, with a settings
+    row for each dataset: what a user says depends on the user's number."""
+    users, orders = tables.events_sheet(spark, sf, per_user=True), tables.order_lines_sheet(spark, sf)
+    sheet = users.with_rows(users.rows.unionByName(orders.rows))
+    kind = F.when(F.col("dataset_id") == "orders", 0).otherwise(F.expr("try_cast(dataset_id AS bigint)") % 5)
+    given = sheet.rows.select("dataset_id").distinct().withColumn("_k", kind).select(
+        "dataset_id", F.when(F.col("_k") == 0, "survey").when(F.col("_k") == 1, "cell_count").alias("assay"),
+        F.when(F.col("_k") == 0, "ordinal").when(F.col("_k") == 1, "count").alias("data_type"),
+        F.when(F.col("_k") == 2, "conditions").alias("column_relationship"),
+        F.when(F.col("_k").isin(1, 2), "arbitrary").alias("row_semantics"), (F.col("_k") == 3).alias("paired"))
+    return sheet, given
+
+
+def mixed_gates(spark, sf):
+    """Every dataset's 29 tests under its own settings."""
+    sheet, given = _mixed_corpus(spark, sf)
+    rows = settings.settings_rows(sheet, given)
+    return gates.gates(sheet, settings=rows).select(
+        "dataset_id", "test", "mechanism", "runs", "na_cause", F.round("na_observed", 6).alias("na_observed"), "na_minimum")
+
+
 def _user_results(spark, sf) -> DataFrame:
     sheet = tables.events_sheet(spark, sf, per_user=True)
     return digits.terminal_digit(sheet).result.unionByName(digits.decimal_precision(sheet).result)
@@ -346,7 +368,7 @@ STATISTICS: dict[str, Query] = {f.__name__: f for f in (
     noise_scaling, selective_noise, column_levene, within_row_variance, regional_noise, loess_cusum, changepoint,
     replicate_correlation, excess_kurtosis, entropy, column_gof, modality, mahalanobis_rows, blocked_mahalanobis,
     residual_spike, rank_correlation, baseline_balance, condition_consistency, missing_pattern, missing_by_condition,
-    missing_blocks, vst_choice, group_aggregation, dataset_gates, severity, coverage, region_table, hotspots, findings,
+    missing_blocks, vst_choice, group_aggregation, dataset_gates, mixed_gates, severity, coverage, region_table, hotspots, findings,
     grouping_status, differences,
 )}
 

@@ -2,7 +2,8 @@ import numpy as np
 import pytest
 
 from tamperscope.model import MECHANISM, RESULT_SCHEMA
-from tamperscope.plans import battery, gates, regions, transform, verdict
+from tamperscope.operators import replicates
+from tamperscope.plans import battery, gates, regions, settings, transform, verdict
 
 
 
@@ -104,3 +105,59 @@ def test_battery_on_planted_and_clean_sheets(make_sheet):
     assert {f.dataset_id for f in found} == {"planted"} and {f.test for f in found} >= set(wanted[:2])
     why = {(r.dataset_id, r.na_cause): r.tests for r in verdict.no_verdict_reasons(results).collect()}
     assert why[("clean", "missingnessOutOfBand")] == ["Missing Data Pattern"]
+
+
+def test_gates_by_each_datasets_own_settings(spark, make_sheet):
+    rng = np.random.default_rng(7)
+    base = make_sheet(rng.normal(10, 1, (80, 4)), ["a"] * 40 + ["b"] * 40, dataset="plain")
+    rows = base.rows
+    for name in ("survey", "conds", "list", "pairs", "both"):
+        rows = rows.unionByName(make_sheet(rng.normal(10, 1, (80, 4)), ["a"] * 40 + ["b"] * 40, dataset=name).rows)
+    given = spark.createDataFrame(
+        [("survey", "ordinal", None, None, None), ("conds", None, "conditions", None, False), ("list", None, None, "arbitrary", None),
+         ("pairs", None, None, None, True), ("both", None, "conditions", None, True), ("elsewhere", "count", None, None, None)],
+        "dataset_id string, data_type string, column_relationship string, row_semantics string, paired boolean")
+    sheet = base.with_rows(rows)
+    table = settings.settings_rows(sheet, given)
+    assert table.count() == 6 and {r.assay for r in table.collect()} == {"general"}
+    closed = {}
+    for r in gates.gates(sheet, settings=table).collect():
+        closed.setdefault((r.dataset_id, r.na_cause), set()).add(r.test)
+    assert closed["survey", "dataTypeMismatch"] == set(gates.DATA_TYPE_SKIP["ordinal"]) and len(gates.DATA_TYPE_SKIP["ordinal"]) == 17
+    assert closed["conds", "columnsNotReplicates"] == set(gates.REPLICATES_ONLY)
+    assert closed["list", "rowOrderArbitrary"] == set(gates.ORDERED_ONLY)
+    assert closed["pairs", "subjectsSharedAcrossConditions"] == closed["both", "subjectsSharedAcrossConditions"] == set(gates.UNPAIRED_ONLY)
+    assert ("plain", "dataTypeMismatch") not in closed and ("both", "columnsNotReplicates") not in closed
+
+
+def test_battery_over_mixed_settings(spark, make_sheet):
+    rng = np.random.default_rng(8)
+    level = 10 ** rng.uniform(1, 4, (60, 1))
+    skewed = level * rng.lognormal(0, 0.2, (60, 4))
+    zeros = rng.normal(20, 1, (60, 3)).round(2)
+    zeros[rng.random(zeros.shape) < 0.3] = 0.0
+    zeros[5] = 0.0
+    same = rng.normal(10, 1, (60, 3))
+    sheet = make_sheet(skewed, dataset="skewed")
+    rows = sheet.rows.unionByName(make_sheet(zeros, dataset="zeros").rows).unionByName(
+        make_sheet(same, ["x"] * 30 + ["y"] * 30, [str(i % 30) for i in range(60)], dataset="same").rows).unionByName(
+        make_sheet(zeros + 1, dataset="scores").rows)
+    sheet = sheet.with_rows(rows)
+    given = spark.createDataFrame([("skewed", "auto", False, None), ("zeros", None, True, None), ("scores", None, None, "ordinal")],
+                                  "dataset_id string, transform string, zero_as_missing boolean, data_type string")
+    table = settings.settings_rows(sheet, given)
+    cleared = settings.zeros_as_missing(sheet, table)
+    assert sorted(r.row_idx for r in cleared.rows.where("dataset_id = 'zeros'").collect()) == list(range(int((zeros != 0).any(axis=1).sum())))
+    read = {r.dataset_id: r for r in settings.read_off(cleared, table).collect()}
+    assert read["skewed"].transform == "log" and read["zeros"].transform == "raw" and read["same"].paired and not read["zeros"].paired
+    kinds = settings.classes(settings.read_off(cleared, table))
+    assert len(kinds) == 4
+    results, units = battery.run_battery(sheet, ["Autocorrelation", "Missing Data Pattern", "Cross-Condition Consistency"], settings=given)
+    got = {(r.dataset_id, r.test): r for r in results.collect()}
+    assert len(got) == 12 and units.columns
+    assert got["scores", "Autocorrelation"].na_cause == "dataTypeMismatch"
+    assert got["same", "Cross-Condition Consistency"].na_cause == "subjectsSharedAcrossConditions"
+    assert got["zeros", "Missing Data Pattern"].na_cause is None and got["scores", "Missing Data Pattern"].na_cause is not None
+    # The logged sheet is judged as if its rows had been logged before.
+    logged = replicates.autocorrelation(make_sheet(np.log(skewed), dataset="skewed")).result.first()
+    assert got["skewed", "Autocorrelation"].primary_p == pytest.approx(logged.primary_p, rel=1e-9)

@@ -168,13 +168,11 @@ def _keyed(places: DataFrame, edits: int, min_chars: int = 0) -> DataFrame:
     have no keys. Only numbers are shuffled."""
     filed, probed = _keys(F.col("line"), F.char_length("line"), edits)
     keys = {f"f{k}": x for k, x in enumerate(filed)} | {f"p{k}": x for k, x in enumerate(probed)}
-    if min_chars:
-        keys = {c: F.when(F.char_length("line") >= min_chars, x) for c, x in keys.items()}
     others = [c for c in places.columns if c not in ("id", "line")]
-    each = places.select("id", *others, *[x.alias(c) for c, x in keys.items()])
-    each = each.groupBy("id").agg(*[F.min(c).alias(c) for c in [*others, *keys]])
+    each = places.select("id", *others, F.char_length("line").alias("chars"), *[x.alias(c) for c, x in keys.items()])
+    each = each.groupBy("id").agg(*[F.min(c).alias(c) for c in [*others, "chars", *keys]])
     windows = [F.struct(F.col(f"p{k}").alias("key"), F.lit(less == 0).alias("same")) for k, (less, _, _) in enumerate(_windows(edits))]
-    long = F.col("f0").isNotNull()
+    long = F.col("chars") >= min_chars
     return materialize(each.select("id", *others, F.when(long, F.array(*[f"f{k}" for k in range(len(filed))])).alias("filed"),
                                    F.when(long, F.array(*windows)).alias("probed")), "line-keys")
 

@@ -26,7 +26,7 @@ _SINGLES, _PAIRS = 129, 255
 WIDTH = _SINGLES + _PAIRS + 4
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_SLICE = 2 << 20
+_SLICE = 1 << 19
 
 
 def encode(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from tamperscope.functions.stats import ERFC_COEFFICIENTS
+from tamperscope.functions.stats import ALPHA_HIGH, ALPHA_MODERATE, ERFC_COEFFICIENTS
 from tamperscope.model import MECHANISM
 from tamperscope.plans import gates
 
@@ -206,6 +206,75 @@ SELECT s.ds AS dataset_id,t.test AS test,mechanism,cause IS NULL AS runs,cause A
 FROM s CROSS JOIN t LEFT JOIN one ON one.ds=s.ds AND one.test=t.test"""
 
 
+def _flag(p: str) -> str:
+    return f"(CASE WHEN {p}<{ALPHA_HIGH} THEN 'HIGH' WHEN {p}<{ALPHA_MODERATE} THEN 'MODERATE' ELSE 'LOW' END)"
+
+
+def _stepped(source: str, p: str, family: str = "") -> str:
+    """Benjamini-Hochberg: every p with its step-up value ``adj``."""
+    fam = f"PARTITION BY {family} " if family else ""
+    return f"""SELECT *, least(1.0, min({p}*m/r) OVER ({fam}ORDER BY {p} DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) adj
+  FROM (SELECT *, count(*) OVER ({fam.strip()}) m, count(*) OVER ({fam}ORDER BY {p} RANGE UNBOUNDED PRECEDING) r FROM {source})"""
+
+
+def _verdict_sql(dataset: str, test: str, flag: str, p: str, source: str) -> str:
+    return (f"SELECT '{dataset}' AS dataset_id, 'all' AS grp, '{test}' AS test, {flag} AS flag, round(CAST({p} AS DOUBLE),9) AS primary_p, "
+            f"CAST(NULL AS VARCHAR) AS na_cause, 'closed form' AS null_method FROM {source}")
+
+
+def _t5(t: str) -> str:
+    """Two-sided p of Student's t with five degrees of freedom, in closed form."""
+    a = f"atan(abs({t})/sqrt(5.0))"
+    return f"(1-2/pi()*({a}+sin({a})*cos({a})*(1+2.0/3.0*cos({a})*cos({a}))))"
+
+
+def _verdicts(o: dict[str, str]) -> None:
+    """Whole verdicts of tests whose p is a closed form, built on the statistics' SQL."""
+    seq = o["sequential_duplication"].rsplit("\nSELECT r.d AS d", 1)[0]
+    chances = "greatest(1.0, m*(n-h+1)-m*(m+1)/2.0)"
+    o["sequential_duplication_verdict"] = f"""{seq}, sz AS (SELECT count(*) n FROM lines),
+hh AS (SELECT sum(c*c*1.0)/(sum(c)*sum(c)) hhi FROM (SELECT {KEY} v, count(*) c FROM fc GROUP BY 1)),
+v_every AS (SELECT r.d d, lo, hi, h, CASE WHEN n>500 THEN least(n-1,200) ELSE n-1 END reach FROM r, sz UNION ALL SELECT d, lo, hi, hi-lo+1, n-1 FROM far, sz),
+v_priced AS (SELECT least(1.0, pow(hhi,h)*{chances}) p FROM (SELECT e.h h, n, hhi, greatest(0, least(reach, n-e.h))*1.0 m
+  FROM v_every e JOIN ch a ON a.i=e.lo JOIN ch b ON b.i=e.hi, sz, hh WHERE b.cs-a.cs>0)),
+best AS (SELECT coalesce(min(p),1.0) p FROM v_priced)
+{_verdict_sql("l_quantity", "Sequential Duplication", _flag("p"), "p", "best")}"""
+
+    acf = o["pair_autocorrelation"].rsplit("\nSELECT c1,c2,n,", 1)[0]
+    o["autocorrelation_verdict"] = f"""{acf}, v_g AS (SELECT * FROM s WHERE n>=10), v_one AS (SELECT {z_to_p('(r1*sqrt(n))')} p, r1 FROM v_g),
+v_best AS (SELECT min(adj) p FROM ({_stepped("v_one", "p")})), v_size AS (SELECT count(*)>=500 big FROM sheet),
+v_lags AS (SELECT unnest([1,2,3,4,5]) k, unnest([r1,r2,r3,r4,r5]) r, n FROM v_g),
+v_sig AS (SELECT k, sum(CASE WHEN adj<0.05 THEN 1 ELSE 0 END) ns FROM ({_stepped(f"(SELECT k, {z_to_p('(r*sqrt(n))')} p FROM v_lags WHERE k>1)", "p")}) GROUP BY k),
+v_pool AS (SELECT k, mean, {_t5("(mean/(sd/sqrt(6.0)))")} p FROM (SELECT k, avg(r) mean, stddev_samp(r) sd FROM v_lags GROUP BY k)),
+v_adj AS ({_stepped("v_pool", "p")}),
+v_high AS (SELECT bool_or(v_adj.k>1 AND v_adj.adj<{ALPHA_HIGH} AND NOT (big AND abs(mean)<0.25) AND coalesce(ns,0)>=2) higher, max(CASE WHEN v_adj.k=1 THEN mean END) m1
+  FROM v_adj LEFT JOIN v_sig ON v_sig.k=v_adj.k CROSS JOIN v_size),
+v_f AS (SELECT p, CASE WHEN big AND abs(m1)<0.25 THEN 'LOW' ELSE {_flag("p")} END base, p<{ALPHA_HIGH} OR higher lifted FROM v_best, v_high, v_size)
+{_verdict_sql("orders", "Autocorrelation", "CASE WHEN base='HIGH' THEN base WHEN lifted THEN 'MODERATE' ELSE base END", "p", "v_f")}"""
+
+    rho = o["rank_correlation"].rsplit("\nSELECT a,b,count(*) AS n", 1)[0]
+    o["rank_correlation_verdict"] = f"""{rho}, v_r AS (SELECT a, b, count(*) n, greatest(least(corr(rx,ry),0.9999),-0.9999) r FROM k GROUP BY a, b),
+v_z AS (SELECT a, b, n, 0.5*ln((1+r)/(1-r)) fz FROM v_r), v_t AS (SELECT sum(fz) s, count(*) c, min_by(n, a||'|'||b) n0 FROM v_z),
+v_q AS (SELECT (fz-(s-fz)/(c-1))/(sqrt(c*1.0/(c-1))/sqrt(greatest(n0-3,1))) z FROM v_z, v_t),
+v_p AS (SELECT CASE WHEN z>0 THEN 0.5*{z_to_p('z')} ELSE 1.0 END p FROM v_q), v_b AS (SELECT min(adj) p FROM ({_stepped("v_p", "p")}))
+{_verdict_sql("orders", "Cross-Condition Rank Correlation", f"CASE WHEN p<{ALPHA_MODERATE} THEN 'MODERATE' ELSE 'LOW' END", "p", "v_b")}"""
+
+    far = o["mahalanobis_rows"].rsplit("\nSELECT row_idx,n,", 1)[0]
+    o["mahalanobis_verdict"] = f"""{far}, v_d AS (SELECT n, a*a+b*b+c*c+e*e d2 FROM z3),
+v_t AS (SELECT max(n) n, count(*) FILTER (d2>13.276704135987622) x FROM v_d),
+v_u AS (SELECT count(*) k FROM (SELECT q, row_number() OVER (ORDER BY q) r FROM (SELECT {chi2_sf('d2', 4)} q FROM v_d)), v_t WHERE q*n/r<0.001),
+v_f AS (SELECT n, x, k, (x-n*0.01)/sqrt(n*0.01*0.99) z FROM v_t, v_u),
+v_g AS (SELECT *, CASE WHEN z>0 THEN 0.5*{z_to_p('z')} ELSE 1.0 END p FROM v_f)
+{_verdict_sql("orders", "Mahalanobis Row Outlier", f"CASE WHEN k=0 OR x*1.0/n<0.02 THEN 'LOW' ELSE {_flag('p')} END", "p", "v_g")}"""
+
+    dec = o["decimal_precision"].rsplit("\nSELECT g.dp AS dp", 1)[0]
+    terms = "exp(lgamma(tot+1)-lgamma(j+1)-lgamma(tot-j+1)+j*ln(q)+(tot-j)*ln(1-q))"
+    o["decimal_precision_verdict"] = f"""{dec}, v_lv AS (SELECT g.dp dp, coalesce(c,0) c, CAST(tot AS BIGINT) tot, 0.9*pow(0.1,mx-g.dp) q, mx FROM g CROSS JOIN m LEFT JOIN d ON d.dp=g.dp),
+v_tl AS (SELECT dp, sum({terms}) p FROM (SELECT *, unnest(range(0,c+1)) j FROM v_lv WHERE dp<mx AND (SELECT count(*) FROM d)>1) GROUP BY dp),
+best AS (SELECT coalesce(min(adj),1.0) p FROM ({_stepped("v_tl", "p")}))
+{_verdict_sql("events", "Decimal Precision Consistency", _flag("p"), "p", "best")}"""
+
+
 def _oracles() -> dict[str, str]:
     o: dict[str, str] = {}
     o["benford_first"] = _benford("SELECT value x FROM events", 1, FIRST, 1, 8)
@@ -449,6 +518,7 @@ SELECT CAST(s.u AS VARCHAR) AS dataset_id,n AS n_rows,n AS n_values,nc AS n_cond
 SELECT 'orders' AS dataset_id,count(*) AS n_groups,min(n) AS smallest,max(n) AS largest,median(n) AS median_size,count(*)>=2 AND min(n)>=3 AS usable,
  NOT (count(*)>=2 AND min(n)>=3) OR median(n)<=4 AS pending FROM g"""
     o["differences"] = f"""WITH {ORD} SELECT c1,c2,count(*) AS n,round(avg(d),5) AS mean_d,round(stddev_samp(d),5) AS sd_d FROM pair GROUP BY c1,c2"""
+    _verdicts(o)
     return o
 
 

@@ -347,7 +347,7 @@ def grouping_status(spark, sf):
 
 
 def verdict_rows(result: DataFrame) -> DataFrame:
-    return result.select("dataset_id", "grp", "test", "flag", "primary_p", "na_cause", "null_method")
+    return result.select("dataset_id", "grp", "test", "flag", F.round("primary_p", 9).alias("primary_p"), "na_cause", "null_method")
 
 
 def _verdict(run, sheet_of) -> Query:

@@ -28,24 +28,32 @@ _BSD_START = """redistribution and use in source and binary forms with or withou
 following conditions are met <<opt>>1<<end>> redistributions of source code must retain the above copyright notice this list of
 conditions and the following disclaimer <<opt>>2<<end>> redistributions in binary form must reproduce the above copyright notice
 this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"""
-_GRANTED = "<<var:licensed|released|distributed|available|published>> under <<opt>>the<<end>> <<opt>>terms of the<<end>>"
+_GRANTED = ("<<var:licensed|released|distributed|available|published|redistribute it|modify it>> under <<opt>>the<<end>> "
+            "<<opt>>terms of the<<end>> <<opt>>a<<end>>")
+_GPL = "gnu general public license <<opt>>as published by the free software foundation<<end>> <<opt>>either<<end>>"
+_VERSION = "<<opt>><<var:version|v>><<end>>"
+_TAG = "spdx license identifier"
 TEMPLATES: dict[str, list[str]] = {
-    "apache-2.0": [f"{_GRANTED} apache <<opt>>software<<end>> license <<opt>>version<<end>> 2 0"],
-    "bsd-2-clause": [f"{_GRANTED} bsd 2 clause <<opt>>simplified<<end>> license",
+    "apache-2.0": [f"{_GRANTED} apache <<opt>>software<<end>> license {_VERSION} 2 0", f"{_TAG} apache 2 0",
+                   "apache license version 2 0 january 2004"],
+    "bsd-2-clause": [f"{_GRANTED} bsd 2 clause <<opt>>simplified<<end>> license", f"{_TAG} bsd 2 clause",
+                     "bsd 2 clause <<opt>>simplified<<end>> license copyright",
                      f"{_BSD_START} this software is provided by <<any:1,12>> as is"],
-    "bsd-3-clause": [f"{_GRANTED} bsd 3 clause <<opt>>new<<end>> license",
+    "bsd-3-clause": [f"{_GRANTED} bsd 3 clause <<opt>>new<<end>> license", f"{_TAG} bsd 3 clause",
+                     "bsd 3 clause <<opt>>new<<end>> license copyright",
                      f"{_BSD_START} <<opt>>3<<end>> neither the name of <<any:1,16>> may be used to endorse or promote products derived "
                      "from this software without specific prior written permission"],
-    "cc-by-4.0": [f"{_GRANTED} <<opt>>creative commons<<end>> <<var:cc by|attribution>> 4 0"],
-    "cc-by-nc-4.0": [f"{_GRANTED} <<opt>>creative commons<<end>> <<var:cc by nc|attribution noncommercial>> 4 0"],
-    "cc-by-sa-4.0": [f"{_GRANTED} <<opt>>creative commons<<end>> <<var:cc by sa|attribution sharealike>> 4 0"],
-    "gpl-2.0": [f"{_GRANTED} gnu general public license <<opt>>as published by the free software foundation either<<end>> version 2"],
-    "gpl-3.0": [f"{_GRANTED} gnu general public license <<opt>>as published by the free software foundation either<<end>> version 3"],
-    "isc": [f"{_GRANTED} isc license",
+    "cc-by-4.0": [f"{_GRANTED} <<opt>>creative commons<<end>> <<var:cc by|attribution>> 4 0", f"{_TAG} cc by 4 0"],
+    "cc-by-nc-4.0": [f"{_GRANTED} <<opt>>creative commons<<end>> <<var:cc by nc|attribution noncommercial>> 4 0", f"{_TAG} cc by nc 4 0"],
+    "cc-by-sa-4.0": [f"{_GRANTED} <<opt>>creative commons<<end>> <<var:cc by sa|attribution sharealike>> 4 0", f"{_TAG} cc by sa 4 0"],
+    "gpl-2.0": [f"{_GRANTED} {_GPL} version 2", f"{_TAG} gpl 2 0", "gnu general public license version 2 june 1991"],
+    "gpl-3.0": [f"{_GRANTED} {_GPL} version 3", f"{_TAG} gpl 3 0", "gnu general public license version 3 29 june 2007"],
+    "isc": [f"{_GRANTED} isc license", f"{_TAG} isc",
             "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted "
             "provided that the above copyright notice and this permission notice appear in all copies"],
-    "mit": [f"{_GRANTED} mit license", _MIT_GRANT],
-    "mpl-2.0": [f"{_GRANTED} mozilla public license <<opt>>version<<end>> 2 0"],
+    "mit": [f"{_GRANTED} mit license", f"{_TAG} mit", "mit license copyright", _MIT_GRANT],
+    "mpl-2.0": [f"{_GRANTED} mozilla public license {_VERSION} 2 0", f"{_TAG} mpl 2 0",
+                f"subject to the terms of the mozilla public license {_VERSION} 2 0"],
     "proprietary": ["all rights reserved <<any:0,12>> no part of this <<var:publication|work|document|software>> may be reproduced"],
 }
 

@@ -68,3 +68,20 @@ def test_markup_errors():
         ls.parse("a <<opt>> b")
     with pytest.raises(ValueError):
         ls.parse("a <<other>> b")
+
+
+@pytest.mark.parametrize(("text", "label"), [
+    ("you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the "
+     "Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "gpl-3.0"),
+    ("modify it under the terms of the GNU General Public License as published by the Free Software Foundation; version 2.", "gpl-2.0"),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mpl-2.0"),
+    ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "cc-by-4.0"),
+    ("licensed under the Creative Commons Attribution-ShareAlike 4.0 International License", "cc-by-sa-4.0"),
+    ("# SPDX-License-Identifier: MIT", "mit"), ("SPDX-License-Identifier: BSD-3-Clause", "bsd-3-clause"),
+    ("SPDX-License-Identifier: GPL-2.0-or-later", "gpl-2.0"), ("SPDX-License-Identifier: Apache-2.0", "apache-2.0"),
+    ("MIT License\n\nCopyright (c) 2020 A. Person", "mit"), ("BSD 3-Clause License\n\nCopyright (c) 2019", "bsd-3-clause"),
+    ("Licensed under the Apache License, Version 2.0", "apache-2.0"),
+])
+def test_own_notices_of_licenses(text, label):
+    words = ls._WORDS.findall(text.lower().encode())
+    assert ls.Automaton(ls.TEMPLATES).accepted(words) == {label}

@@ -81,11 +81,12 @@ def near_at(planes: np.ndarray, valid: np.ndarray, offset: int, radius: int) ->
     lane i + offset in at most ``radius`` bits.
 
     Differences are counted in carry-save counters, one bit of the count per
-    word array, 64 lanes at a time. A block of 64 lanes is abandoned as soon
-    as all of its lanes exceed the radius. ``radius`` + 1 is a power of two,
-    so a lane exceeds it when its counter overflows.
+    word array, 64 lanes at a time, with as many digits as the radius has. A
+    block of 64 lanes is abandoned as soon as the counters of all its lanes
+    have overflowed; the counters left are compared with the radius, digit by
+    digit.
     """
-    digits = (radius + 1).bit_length() - 1
+    digits = radius.bit_length()
     jump, shift = divmod(offset, 64)
     live = np.flatnonzero(valid)
     over = ~valid[live]
@@ -105,6 +106,13 @@ def near_at(planes: np.ndarray, valid: np.ndarray, offset: int, radius: int) ->
                 return np.zeros(0, np.int64)
             if not keep.all():
                 live, over, count = live[keep], over[keep], [c[keep] for c in count]
+    equal = np.full(len(live), _FULL)
+    for k in reversed(range(digits)):
+        if radius >> k & 1:
+            equal &= count[k]
+        else:
+            over |= equal & count[k]
+            equal &= ~count[k]
     word, bit = np.nonzero(np.unpackbits((~over).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
     return live[word] * 64 + bit
 

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
 from tamperscope.llm import simhash
@@ -110,3 +111,16 @@ def test_keeps_one_of_each_group(make_docs):
     assert simhash.keep_first(docs.limit(0)).count() == 0
     alone = simhash.near_duplicates(make_docs([(None, "a b c")])).collect()
     assert [(r.component_id, r.keep) for r in alone] == [(None, True)]
+
+
+@pytest.mark.parametrize("radius", [0, 1, 2, 3, 4, 5, 6, 11, 15])
+def test_any_radius(radius):
+    rnd = random.Random(radius)
+    prints = [rnd.getrandbits(64) for _ in range(200)]
+    for i in range(100):  # neighbours at every distance
+        prints[2 * i + 1] = prints[2 * i] ^ sum(1 << b for b in rnd.sample(range(64), i % 20))
+    planes = simhash._planes(np.array(prints, np.uint64))
+    valid = np.zeros(200, bool)
+    valid[:199] = True
+    got = set(simhash.near_at(planes, simhash._lanes(valid, planes.shape[1] - 1), 1, radius).tolist())
+    assert got == {i for i in range(199) if (prints[i] ^ prints[i + 1]).bit_count() <= radius}

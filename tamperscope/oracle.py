@@ -6,7 +6,7 @@ import math
 
 from tamperscope.functions.stats import ALPHA_HIGH, ALPHA_MODERATE, ERFC_COEFFICIENTS
 from tamperscope.model import MECHANISM
-from tamperscope.plans import gates
+from tamperscope.plans import datasets, gates
 
 
 def erfc(x: str) -> str:
@@ -514,6 +514,21 @@ SELECT CAST(s.u AS VARCHAR) AS dataset_id,n AS n_rows,n AS n_values,nc AS n_cond
  +(CASE WHEN n>=50 THEN 1 ELSE 0 END)+(CASE WHEN nd>=30 THEN 1 ELSE 0 END)+(CASE WHEN n>=100 THEN 1 ELSE 0 END)+(CASE WHEN n>=20 THEN 1 ELSE 0 END)+(CASE WHEN n>=30 THEN 1 ELSE 0 END)
  +(CASE WHEN n>=50 THEN 1 ELSE 0 END)+2*(CASE WHEN nc>=2 AND n>=10 THEN 1 ELSE 0 END)+(CASE WHEN nc>=2 AND n>=60 THEN 1 ELSE 0 END) AS n_tests FROM s JOIN sp ON sp.u=s.u"""
     o["mixed_gates"] = _mixed_gates()
+    hints = " ".join(f"WHEN assay='{a}' AND ({c}) THEN '{{}}'" for a, _, _, c in datasets.HINTS)
+    o["dataset_report"] = f"""WITH {EV}, {ORD}, c AS (SELECT CAST(user_id AS VARCHAR) ds, x FROM ev UNION ALL SELECT 'orders', x FROM cell),
+r AS (SELECT CAST(user_id AS VARCHAR) ds, count(*) n_rows, 1 n_cols, 0 n_missing FROM ev GROUP BY 1 UNION ALL SELECT 'orders', count(*), 4, sum(4-nv) FROM sheet),
+v AS (SELECT ds, avg(CASE WHEN x=floor(x) THEN 1.0 ELSE 0.0 END) integer_share, min(x) min_value, max(x) max_value FROM c GROUP BY ds),
+lg AS (SELECT ds, log10(abs(x)) l, row_number() OVER (PARTITION BY ds ORDER BY abs(x))-1 i, count(*) OVER (PARTITION BY ds) m FROM c WHERE x<>0),
+sp AS (SELECT ds, CASE WHEN max(m)<10 THEN max(l)-min(l) ELSE max(CASE WHEN i=CAST(floor(m*0.95) AS BIGINT) THEN l END)
+  -max(CASE WHEN i=CAST(floor(m*0.05) AS BIGINT) THEN l END) END span FROM lg GROUP BY ds),
+s AS (SELECT r.*, integer_share, min_value, max_value, span,
+  ['qpcr','cell_count','elisa','plate_reader','genomics'][CASE WHEN r.ds='orders' THEN 3 ELSE TRY_CAST(r.ds AS BIGINT)%5+1 END] assay
+  FROM r JOIN v ON r.ds=v.ds LEFT JOIN sp ON r.ds=sp.ds)
+SELECT ds AS dataset_id, n_rows, n_cols, round(n_missing/(n_rows*1.0*n_cols),9) AS missing_share, n_missing/(n_rows*1.0*n_cols)>0.5 AS mostly_missing,
+  CASE {hints.format(*[k for _, k, _, _ in datasets.HINTS])} END AS hint_level, CASE {hints.format(*[n for _, _, n, _ in datasets.HINTS])} END AS hint FROM s"""
+    streaks = o["column_streaks"].rsplit("\nSELECT c1||", 1)[0]
+    o["streak_places"] = f"""{streaks}
+SELECT chr(CAST(65+c1 AS INTEGER))||(min(i)+2)||':'||chr(CAST(65+c2 AS INTEGER))||(max(i)+2) AS place, count(*) AS height FROM g GROUP BY c1,c2,g HAVING count(*)>=3"""
     o["grouping_status"] = f"""WITH {ORD}, g AS (SELECT cond,count(*) n FROM sheet GROUP BY cond)
 SELECT 'orders' AS dataset_id,count(*) AS n_groups,min(n) AS smallest,max(n) AS largest,median(n) AS median_size,count(*)>=2 AND min(n)>=3 AS usable,
  NOT (count(*)>=2 AND min(n)>=3) OR median(n)<=4 AS pending FROM g"""

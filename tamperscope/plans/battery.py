@@ -66,15 +66,24 @@ THIN_MEDIAN = 4
 MIN_GROUP = 3
 
 
-def grouping_status(sheet: Sheet) -> DataFrame:
+MANY_CONDITION_COLUMNS = 3
+
+
+def grouping_status(sheet: Sheet, condition_columns: DataFrame | None = None) -> DataFrame:
     """Whether the row conditions of a dataset give usable groups, and whether
-    its user should confirm them first (none usable, or a median of 4 or less)."""
+    its user should confirm them first: none usable, a median of 4 or less, or
+    three or more condition columns (``condition_columns``: dataset_id, n)."""
     sizes = sheet.rows.where(F.col("cond").isNotNull()).groupBy("dataset_id", "cond").agg(F.count(F.lit(1)).alias("n"))
     per = sizes.groupBy("dataset_id").agg(
         F.count(F.lit(1)).alias("n_groups"), F.min("n").alias("smallest"), F.max("n").alias("largest"),
         F.percentile("n", F.lit(0.5)).alias("median_size"))
     usable = (F.col("n_groups") >= 2) & (F.col("smallest") >= MIN_GROUP)
-    return per.withColumn("usable", usable).withColumn("pending", ~usable | (F.col("median_size") <= THIN_MEDIAN))
+    thin = ~usable | (F.col("median_size") <= THIN_MEDIAN)
+    if condition_columns is not None:
+        many = condition_columns.select("dataset_id", (F.col("n") >= MANY_CONDITION_COLUMNS).alias("_many"))
+        per = per.join(many, "dataset_id", "left")
+        thin = thin | F.coalesce("_many", F.lit(False))
+    return per.withColumn("usable", usable).withColumn("pending", thin).drop("_many")
 
 
 def _regrouped(sheet: Sheet, status: DataFrame, refuse_pending: bool) -> Sheet:

@@ -13,7 +13,7 @@ from tamperscope.model import Sheet
 from tamperscope.operators import (
     conditions, digits, duplicates, missing, multivariate, noise, offsets, replicates, shapes,
 )
-from tamperscope.plans import battery, gates, regions, settings, transform, verdict
+from tamperscope.plans import battery, datasets, gates, regions, settings, transform, verdict
 from tamperscope.sources import tables
 from tamperscope.session import materialize
 
@@ -303,6 +303,23 @@ def mixed_gates(spark, sf):
         "dataset_id", "test", "mechanism", "runs", "na_cause", F.round("na_observed", 6).alias("na_observed"), "na_minimum")
 
 
+def dataset_report(spark, sf):
+    """Missing cells and plausibility of every dataset under its own assay."""
+    sheet, given = _mixed_corpus(spark, sf)
+    assays = F.array(*[F.lit(a) for a in ("qpcr", "cell_count", "elisa", "plate_reader", "genomics")])
+    kind = F.when(F.col("dataset_id") == "orders", 2).otherwise(F.expr("try_cast(dataset_id AS bigint)") % 5)
+    rows = settings.settings_rows(sheet, given.withColumn("assay", F.get(assays, kind.cast("int"))))
+    return datasets.dataset_report(sheet, rows).select(
+        "dataset_id", "n_rows", "n_cols", F.round("missing_share", 9).alias("missing_share"), "mostly_missing", "hint_level", "hint")
+
+
+def streak_places(spark, sf):
+    """Cells of the file in which two columns are equal for three rows or more."""
+    runs = duplicates.column_streaks(line_measures(spark, sf)).select(
+        "dataset_id", F.col("lo").alias("row_lo"), F.col("hi").alias("row_hi"), "cols", "height")
+    return datasets.placed(runs).select("place", "height")
+
+
 def _user_results(spark, sf) -> DataFrame:
     sheet = tables.events_sheet(spark, sf, per_user=True)
     return digits.terminal_digit(sheet).result.unionByName(digits.decimal_precision(sheet).result)
@@ -368,7 +385,7 @@ STATISTICS: dict[str, Query] = {f.__name__: f for f in (
     noise_scaling, selective_noise, column_levene, within_row_variance, regional_noise, loess_cusum, changepoint,
     replicate_correlation, excess_kurtosis, entropy, column_gof, modality, mahalanobis_rows, blocked_mahalanobis,
     residual_spike, rank_correlation, baseline_balance, condition_consistency, missing_pattern, missing_by_condition,
-    missing_blocks, vst_choice, group_aggregation, dataset_gates, mixed_gates, severity, coverage, region_table, hotspots, findings,
+    missing_blocks, vst_choice, group_aggregation, dataset_gates, mixed_gates, dataset_report, streak_places, severity, coverage, region_table, hotspots, findings,
     grouping_status, differences,
 )}
 

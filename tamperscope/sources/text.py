@@ -246,8 +246,11 @@ def detect_assay(columns: DataFrame) -> DataFrame:
                 total = total + F.when(column.rlike(pattern), points).otherwise(0)
         return total
 
+    # Numbered plates speak for either plate assay, once a dataset.
+    plates = F.max(F.when(tidy("header").rlike(r"^plate\d"), 1).otherwise(0))
     per = columns.groupBy("dataset_id").agg(
-        *[F.sum(score(HEADER_HINTS, tidy("header"), a)).alias(f"h_{a}") for a in kinds])
+        *[(F.sum(score(HEADER_HINTS, tidy("header"), a)) + (plates if a in ("elisa", "plate_reader") else F.lit(0))).alias(f"h_{a}")
+          for a in kinds])
     best = F.array_max(F.array(*[F.struct(
         (F.col(f"h_{a}") + score(FILE_HINTS, tidy("dataset_id"), a)).alias("total"), F.lit(-i).alias("order"),
         F.lit(a).alias("assay"), F.col(f"h_{a}").alias("from_headers")) for i, a in enumerate(kinds)]))
@@ -265,6 +268,11 @@ def dataset_settings(assays: DataFrame) -> DataFrame:
     ).withColumn("row_semantics", F.when(a == "genomics", "arbitrary").otherwise("ordered"))
 
 
+def condition_columns(roles: DataFrame) -> DataFrame:
+    """(dataset_id, n): how many columns of a dataset hold conditions."""
+    return roles.groupBy("dataset_id").agg(F.count_if(F.col("role") == "condition").alias("n"))
+
+
 def read_corpus(spark: SparkSession, path: str, separator: str = ",") -> Corpus:
     """First block of every file as sheet rows with inferred roles. Column
     groups become conditions whose subject is the row."""

@@ -1,9 +1,10 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tamperscope.model import MECHANISM, RESULT_SCHEMA
 from tamperscope.operators import replicates
-from tamperscope.plans import battery, gates, regions, settings, transform, verdict
+from tamperscope.plans import battery, datasets, gates, regions, settings, transform, verdict
 
 
 
@@ -161,3 +162,39 @@ def test_battery_over_mixed_settings(spark, make_sheet):
     # The logged sheet is judged as if its rows had been logged before.
     logged = replicates.autocorrelation(make_sheet(np.log(skewed), dataset="skewed")).result.first()
     assert got["skewed", "Autocorrelation"].primary_p == pytest.approx(logged.primary_p, rel=1e-9)
+
+
+def test_places_in_the_file(spark):
+    def letters(n):
+        out = ""
+        while n >= 0:
+            out, n = chr(65 + n % 26) + out, n // 26 - 1
+        return out
+
+    numbers = [0, 1, 25, 26, 27, 51, 52, 701, 702, 703, 16383, 18277, 18278, 2**31 - 1]
+    got = spark.createDataFrame([(n,) for n in numbers], "n int").select("n", datasets.column_letter(F.col("n")).alias("l")).collect()
+    assert {r.n: r.l for r in got} == {n: letters(n) for n in numbers}
+    found = spark.createDataFrame(
+        [("d", 3, 5, [1, 2]), ("d", 4, 4, [0]), ("d", None, None, [2]), ("d", 1, 2, None), ("d", None, None, None), ("e", 0, 2, [1])],
+        "dataset_id string, row_lo bigint, row_hi bigint, cols array<int>")
+    assert [r.place for r in datasets.placed(found.where("dataset_id = 'd'")).collect()] == ["B5:C7", "A6", "C:C", "3:4", None]
+    layout = spark.createDataFrame([("e", 4, 2, [3, 30])], "dataset_id string, skipped int, headers int, columns array<int>")
+    rows = spark.createDataFrame([("e", 0, 1), ("e", 1, 2), ("e", 2, 9)], "dataset_id string, row_idx bigint, file_row bigint")
+    assert datasets.placed(found.where("dataset_id = 'e'"), layout, rows).first().place == "AE8:AE16"
+
+
+def test_dataset_report_and_pending_groups(spark, make_sheet):
+    rng = np.random.default_rng(9)
+    sparse = rng.normal(20, 1, (40, 4))
+    sparse[:, 1:] = np.nan
+    sheet = make_sheet(sparse, dataset="sparse", assay="cell_count")
+    sheet = sheet.with_rows(sheet.rows.unionByName(make_sheet(-np.arange(40.0).reshape(20, 2), dataset="minus").rows).unionByName(
+        make_sheet(np.arange(40.0).reshape(20, 2), ["a|x"] * 10 + ["b|y"] * 10, dataset="plain").rows))
+    got = {r.dataset_id: r for r in datasets.dataset_report(sheet).collect()}
+    assert got["sparse"].mostly_missing and got["sparse"].missing_share == 0.75 and got["sparse"].hint == "counts are not whole"
+    assert got["minus"].hint_level == "warn" and got["minus"].hint == "negative counts" and got["plain"].hint is None
+    offered = spark.createDataFrame([("sparse",), ("void",)], "dataset_id string")
+    assert [tuple(r) for r in datasets.rejected(offered, sheet).collect()] == [("void", "no values")]
+    assert not battery.grouping_status(sheet).first().pending
+    three = spark.createDataFrame([("plain", 3)], "dataset_id string, n bigint")
+    assert battery.grouping_status(sheet, three).first().pending

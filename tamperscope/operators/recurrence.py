@@ -21,7 +21,7 @@ from tamperscope.session import materialize
 #: Rows in which a task looks for recurrences by itself.
 BLOCK = 4096
 #: Rows compared at a time on either side of a recurrence, round by round.
-STEPS = (8, 64, 512, 4096)
+STEPS = (2, 16, 128, 1024, 4096)
 #: Least rows of a recurring stretch.
 LEAST = 3
 

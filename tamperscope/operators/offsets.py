@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamperscope.functions import special
@@ -21,30 +21,47 @@ from tamperscope.session import materialize
 UNIT = [*KEY, "kind", "c1", "c2"]
 
 
+def _with_kinds(rows: DataFrame, sheet: Sheet) -> DataFrame:
+    """``rows`` with the columns whose values are all above zero."""
+    lows = cells(sheet.rows).groupBy(*KEY, "col").agg(F.min("x").alias("low")).where("low > 0").select(*KEY, "col")
+    positive = materialize(lows.groupBy(*KEY).agg(F.collect_set("col").alias("positive")), "positive-columns")
+    return rows.join(positive, KEY, "left")
+
+
+def _kinds() -> Column:
+    """Kinds of differences that a pair has."""
+    scaled = F.array_contains("positive", F.col("c1")) & F.array_contains("positive", F.col("c2"))
+    return F.when(F.coalesce(scaled, F.lit(False)), F.array(F.lit("additive"), F.lit("multiplicative"))).otherwise(
+        F.array(F.lit("additive")))
+
+
+def _difference(a: Column, b: Column) -> Column:
+    return round_half_up(F.when(F.col("kind") == "additive", a - b).otherwise(F.log(a) - F.log(b)) * 10000.0)
+
+
 def difference_keys(sheet: Sheet) -> DataFrame:
     """Differences at four decimals, additive and, for column pairs without a
     value at or below zero, of the logarithms."""
-    lows = cells(sheet.rows).groupBy(*KEY, "col").agg(F.min("x").alias("low")).where("low > 0").select(*KEY, "col")
-    positive = lows.groupBy(*KEY).agg(F.collect_set("col").alias("positive"))
-    pairs = pair_values(sheet.rows).join(positive, KEY, "left")
-    scaled = F.array_contains("positive", F.col("c1")) & F.array_contains("positive", F.col("c2"))
-    kinds = F.array_compact(F.array(
-        F.struct(F.lit("additive").alias("kind"), (F.col("a") - F.col("b")).alias("d")),
-        F.when(F.coalesce(scaled, F.lit(False)),
-               F.struct(F.lit("multiplicative").alias("kind"), (F.log("a") - F.log("b")).alias("d"))),
-    ))
-    out = pairs.select(*KEY, "row_idx", "c1", "c2", F.explode(kinds).alias("k"))
-    return out.select(*UNIT[:2], "k.kind", "c1", "c2", "row_idx", round_half_up(F.col("k.d") * 10000.0).alias("d"))
+    pairs = pair_values(_with_kinds(sheet.rows, sheet), "positive").withColumn("kind", F.explode(_kinds()))
+    return pairs.select(*UNIT, "row_idx", _difference(F.col("a"), F.col("b")).alias("d"))
 
 
 def equal_steps(sheet: Sheet) -> DataFrame:
-    """Consecutive rows with the same non-zero difference, per pair and kind."""
-    d = difference_keys(sheet)
-    spread, window, own = with_halo(d, UNIT, "row_idx", before=1)
-    spread = spread.withColumn("prev", F.lag("d").over(window)).withColumn("prev_row", F.lag("row_idx").over(window))
-    return spread.where(own).drop("_blk").withColumn(
-        "adjacent", F.col("prev_row") == F.col("row_idx") - 1
-    ).withColumn("hit", F.col("adjacent") & (F.col("d") == F.col("prev")) & (F.col("d") != 0))
+    """Differences as above, and whether the row before (``prev_row``) has the
+    pair, too (``adjacent``), and the same difference, not zero (``hit``).
+
+    Rows meet the row before them while they still hold all columns, so the
+    pairs, of which there are many times as many, are never shuffled."""
+    rows = _with_kinds(sheet.rows.select(*KEY, "row_idx", "vals"), sheet)
+    spread, window, own = with_halo(rows, KEY, "row_idx", before=1)
+    before = F.when(F.lag("row_idx").over(window) == F.col("row_idx") - 1, F.lag("vals").over(window))
+    met = spread.withColumn("_before", before).where(own).drop("_blk")
+    each = pair_values(met, "positive", "_before").withColumn("kind", F.explode(_kinds())).select(
+        *UNIT, "row_idx", _difference(F.col("a"), F.col("b")).alias("d"),
+        _difference(F.get("_before", F.col("c1")), F.get("_before", F.col("c2"))).alias("prev"))
+    return each.select(
+        "*", (F.col("row_idx") - 1).alias("prev_row"), F.col("prev").isNotNull().alias("adjacent"),
+        F.coalesce((F.col("d") == F.col("prev")) & (F.col("d") != 0), F.lit(False)).alias("hit"))
 
 
 def offset_counts(sheet: Sheet) -> DataFrame:
@@ -53,14 +70,15 @@ def offset_counts(sheet: Sheet) -> DataFrame:
     Under a shuffle two given rows hold the same non-zero difference with
     chance sum c(c-1) / n(n-1) over the difference counts c.
     """
-    seen = equal_steps(sheet).groupBy(*UNIT).agg(
-        F.count("d").alias("n"), F.count_if("adjacent").alias("steps"), F.count_if("hit").alias("blocks")
-    )
-    freq = difference_keys(sheet).where("d <> 0").groupBy(*UNIT, "d").agg(F.count(F.lit(1)).alias("c"))
-    chance = freq.groupBy(*UNIT).agg(F.sum(F.col("c").cast("double") * (F.col("c") - 1)).alias("cc"))
+    each = equal_steps(sheet).groupBy(*UNIT, "d").agg(
+        F.count("d").alias("c"), F.count_if("adjacent").alias("steps"), F.count_if("hit").alias("blocks"))
+    c = F.col("c").cast("double")
+    sums = each.groupBy(*UNIT).agg(
+        F.sum("c").alias("n"), F.sum("steps").alias("steps"), F.sum("blocks").alias("blocks"),
+        F.sum(F.when(F.col("d") != 0, c * (c - 1))).alias("cc"))
     n = F.col("n").cast("double")
     share = F.when(n > 1, F.coalesce("cc", F.lit(0.0)) / (n * (n - 1))).otherwise(0.0)
-    return seen.join(chance, UNIT, "left").withColumn("expected", F.col("steps") * share).drop("cc")
+    return sums.withColumn("expected", F.col("steps") * share).drop("cc")
 
 
 def _shuffled_blocks(rec: dict, order: np.ndarray, rng: np.random.Generator) -> np.ndarray:

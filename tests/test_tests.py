@@ -431,3 +431,12 @@ def test_same_answer_at_any_partitioning(make_sheet):
         sheet = make_sheet(m, parts=parts)
         seen.add(round(noise.regional_noise(sheet).result.first().primary_p, 12))
     assert len(seen) == 1
+
+
+def test_pairs_of_rows_are_not_shuffled_to_meet_the_row_before(make_sheet):
+    sheet = make_sheet([[1.0, 2.0, 4.0], [2.0, 3.0, 5.5], [None, 4.0, 6.5], [3.0, 4.0, 6.5], [7.0, 8.0, 9.0]])
+    steps = offsets.equal_steps(sheet)
+    got = sorted((r.c1, r.c2, r.prev_row, r.row_idx) for r in steps.where("hit and kind = 'additive'").collect())
+    assert got == [(0, 1, 0, 1), (0, 1, 3, 4), (1, 2, 1, 2), (1, 2, 2, 3)]
+    plan = steps._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Window") > plan.index("Generate explode(sequence"), plan

@@ -433,6 +433,23 @@ def test_same_answer_at_any_partitioning(make_sheet):
     assert len(seen) == 1
 
 
+def test_far_runs_of_one_offset_go_on_as_one(make_sheet, monkeypatch):
+    """A long copy is proposed by many stretches; the rounds grow with the
+    logarithm of its length."""
+    rng = np.random.default_rng(8)
+    half = np.round(rng.normal(size=3000), 1)
+    sheet = make_sheet([[x] for x in np.concatenate([half, half])])
+    rounds = []
+    merge = duplicates.recurrence.merged
+    monkeypatch.setattr(duplicates.recurrence, "merged", lambda df: rounds.append(1) or merge(df))
+    spark = sheet.rows.sparkSession
+    pieces = spark.createDataFrame([("d", "all", 0, 3000, i, i + 2) for i in range(0, 2990, 100)],
+                                   "dataset_id string, grp string, col int, d long, lo long, hi long")
+    got = [(r.lo, r.hi) for r in duplicates.recurrence.extended(sheet, pieces).collect()]
+    assert got == [(0, 2999)]
+    assert len(rounds) <= 6
+
+
 def test_pairs_of_rows_are_not_shuffled_to_meet_the_row_before(make_sheet):
     sheet = make_sheet([[1.0, 2.0, 4.0], [2.0, 3.0, 5.5], [None, 4.0, 6.5], [3.0, 4.0, 6.5], [7.0, 8.0, 9.0]])
     steps = offsets.equal_steps(sheet)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tamperscope.operators import (
-    conditions, digits, duplicates, missing, multivariate, noise, offsets, replicates, shapes,
+    conditions, digits, duplicates, missing, multivariate, noise, offsets, replicates, resample, shapes,
 )
 
 KEY = ["dataset_id", "grp"]
@@ -457,3 +457,10 @@ def test_pairs_of_rows_are_not_shuffled_to_meet_the_row_before(make_sheet):
     assert got == [(0, 1, 0, 1), (0, 1, 3, 4), (1, 2, 1, 2), (1, 2, 2, 3)]
     plan = steps._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Window") > plan.index("Generate explode(sequence"), plan
+
+
+def test_rows_of_long_units_do_not_meet_by_their_unit(make_sheet):
+    sheet = make_sheet([[float(i)] for i in range(50)])
+    got = resample.gather(sheet.rows, ["dataset_id", "grp"], "row_idx", ["vals"])
+    assert got.head().n == 50
+    assert "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()

@@ -1,6 +1,7 @@
 """Each test against brute force, a planted flaw, or its smallest reachable p."""
 
 import math
+import re
 
 import numpy as np
 import pytest
@@ -464,3 +465,11 @@ def test_rows_of_long_units_do_not_meet_by_their_unit(make_sheet):
     got = resample.gather(sheet.rows, ["dataset_id", "grp"], "row_idx", ["vals"])
     assert got.head().n == 50
     assert "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("table", [noise.column_levene, replicates.within_row_z, conditions.condition_profiles, conditions.spike_profiles])
+def test_rows_are_not_dealt_by_group_to_meet_one_row_per_group(make_sheet, table):
+    rng = np.random.default_rng(4)
+    sheet = make_sheet(np.round(rng.normal(10, 1, size=(80, 3)), 3), conds=["a", "b"] * 40)
+    plan = table(sheet)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"SortMergeJoin \[dataset_id#\d+(, (grp|cond|target|own|bin)#\d+)*\], ", plan), plan

@@ -434,13 +434,15 @@ def within_row_bins(sheet: Sheet) -> DataFrame:
     sizes = rows.groupBy(*KEY).agg(F.count("sd").alias("n_valid"))
     bins = F.greatest(F.lit(5), F.least(F.lit(20), F.floor(F.col("n_valid") / 10)))
     placed = ordinal(rows, KEY, ["row_mean", "row_idx"], "_o", "row-means").join(
-        sizes.where(F.col("n_valid") >= 40), KEY
+        materialize(sizes.where(F.col("n_valid") >= 40), "row-counts"), KEY
     )
     bin_ = F.least(F.floor(F.col("_o") / F.floor(F.col("n_valid") / bins)), bins - 1)
     placed = placed.withColumn("bin", bin_).drop("_o")
     centres = placed.groupBy(*KEY, "bin").agg(
         F.count("sd").alias("n_bin"), median("row_mean").alias("mid_mean"), median("sd").alias("mid_sd")
     )
+    # Written, its size is known: rows aren't dealt by bin to meet it.
+    centres = materialize(centres, "bin-centres")
     spread = placed.join(centres, [*KEY, "bin"]).groupBy(*KEY, "bin").agg(
         median(F.abs(F.col("sd") - F.col("mid_sd"))).alias("mad_sd")
     )
@@ -453,14 +455,14 @@ def within_row_z(sheet: Sheet) -> DataFrame:
         *KEY, "row_idx", "row_mean", F.sqrt("row_var").alias("sd")
     )
     sd_mid = rows.groupBy(*KEY).agg(median("sd").alias("_m"), F.count("sd").alias("n_valid"))
-    floor = rows.join(sd_mid, KEY).groupBy(*KEY).agg(
+    floor = rows.join(materialize(sd_mid, "sd-medians"), KEY).groupBy(*KEY).agg(
         (median(F.abs(F.col("sd") - F.col("_m"))) * 0.20).alias("floor"), F.max("n_valid").alias("n_valid")
     )
     # At most 20 bins per group travel with each row.
     curve = within_row_bins(sheet).groupBy(*KEY).agg(
         F.array_sort(F.collect_list(F.struct("mid_mean", "mid_sd", "mad_sd"))).alias("bins")
     )
-    joined = rows.join(curve, KEY).join(floor, KEY)
+    joined = rows.join(materialize(curve, "sd-curve"), KEY).join(materialize(floor, "sd-floor"), KEY)
     below = F.filter("bins", lambda b: b["mid_mean"] <= F.col("row_mean"))
     above = F.filter("bins", lambda b: b["mid_mean"] > F.col("row_mean"))
     joined = joined.withColumn(

@@ -68,10 +68,11 @@ def column_levene(sheet: Sheet) -> DataFrame:
     width = sheet_sizes(sheet.rows).select(*KEY, "n_cols", "n_rows").where(
         (F.col("n_cols") >= 3) & (F.col("n_rows") >= 10)
     )
-    both = e.join(width, KEY).withColumn("target", F.explode(F.sequence(F.lit(0), F.col("n_cols") - 1)))
+    # Written, the small tables' sizes are known: cells aren't dealt by group to meet them.
+    both = e.join(materialize(width, "widths"), KEY).withColumn("target", F.explode(F.sequence(F.lit(0), F.col("n_cols") - 1)))
     both = both.withColumn("own", F.col("col") == F.col("target"))
     mids = both.groupBy(*KEY, "target", "own").agg(median("e").alias("mid"), F.var_samp("e").alias("v"))
-    z = both.join(mids, [*KEY, "target", "own"]).withColumn("z", F.abs(F.col("e") - F.col("mid")))
+    z = both.join(materialize(mids, "levene-medians"), [*KEY, "target", "own"]).withColumn("z", F.abs(F.col("e") - F.col("mid")))
     side = z.groupBy(*KEY, "target", "own").agg(
         F.count("z").alias("n"), F.avg("z").alias("m"), F.var_pop("z").alias("vp"), F.max("v").alias("v")
     )
@@ -161,7 +162,7 @@ def regional_windows(sheet: Sheet) -> DataFrame:
 
 
 def _regional(rows: DataFrame) -> DataFrame:
-    moments = column_moments(rows).where("n_valid >= 20")
+    moments = materialize(column_moments(rows).where("n_valid >= 20"), "column-moments")
     windows = sliding(rows.select(*KEY, "pos", "z", "row_idx"), KEY, ["z", "row_idx"], WIDTH, STRIDE)
     windows = windows.join(moments, KEY).select(
         *KEY, "w", "n_valid", F.get("row_idx", F.lit(0)).alias("row_lo"),

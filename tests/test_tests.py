@@ -473,3 +473,18 @@ def test_rows_are_not_dealt_by_group_to_meet_one_row_per_group(make_sheet, table
     sheet = make_sheet(np.round(rng.normal(10, 1, size=(80, 3)), 3), conds=["a", "b"] * 40)
     plan = table(sheet)._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"SortMergeJoin \[dataset_id#\d+(, (grp|cond|target|own|bin)#\d+)*\], ", plan), plan
+
+
+def test_whole_row_blocks_are_told_apart_by_row_numbers(make_sheet, monkeypatch):
+    rows = [[float(i), i + 0.5, i + 0.25] for i in range(30)]
+    sheet = make_sheet([*rows, *rows[:12], [99.0, 98.0, 97.0], *rows[3:6]])
+    kept, write = {}, duplicates.materialize
+    monkeypatch.setattr(duplicates, "materialize", lambda df, name: kept.setdefault(name, write(df, name)))
+    got = sorted((r.lo, r.hi, r.d) for r in duplicates.full_row_blocks(sheet).collect())
+    assert got == [(0, 9, 30), (1, 10, 30), (2, 11, 30), (3, 5, 30), (3, 5, 40)]
+    assert kept["grams"].schema["_g"].dataType.simpleString() == "array<bigint>"
+    runs = sheet.rows.sparkSession.createDataFrame(
+        [("d", "all", 0, 9, 30, [0, 1, 2]), ("d", "all", 2, 4, 30, [0, 1]), ("d", "all", 2, 4, 500, [0, 1]),
+         ("d", "all", 0, 99, 500, [0, 1]), ("d", "all", 40, 50, 30, [0])],
+        "dataset_id string, grp string, lo long, hi long, d long, cols array<int>")
+    assert sorted((r.lo, r.d) for r in duplicates.not_dominated(runs, KEY).collect()) == [(0, 30), (0, 500), (40, 30)]

@@ -77,3 +77,9 @@ def test_positions_where_a_task_writes_several_files(spark):
     finally:
         spark.conf.unset("spark.sql.files.maxRecordsPerFile")
     assert sorted(got) == sorted((i % 2, i, i // 2) for i in range(100))
+
+
+def test_number_of_a_file_is_not_read_from_the_id_of_its_write(spark):
+    name = "part-00002-1b2a77de-c417-4c1d-9f3e-c09d12aa7e55-c013.snappy.parquet"
+    got = spark.range(1).select(F.regexp_extract(F.lit(name), ordered.FILE_NUMBER, 1).alias("n")).head().n
+    assert got == "013"

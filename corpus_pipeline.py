@@ -29,8 +29,9 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, the first by doc_id
-    (null last): five-word shingles, similarity from 0.8. Texts without words
-    are one group, and so are repeated rows."""
+    (null last): five-word shingles, similarity from 0.8. SimHash fingerprints
+    link near copies, each link verified; pairs they don't reach are found by
+    shared shingles. Texts without words are one group, and so are repeated rows."""
     return near_texts.keep_first(docs)
 
 
@@ -50,7 +51,7 @@ def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 STAGES = [
     ("quality classifier", keep_good),
     ("line dedup", drop_repeated_lines),
-    ("shingle near-dedup", drop_near_duplicates),
+    ("simhash near-dedup", drop_near_duplicates),
     ("mixing", mix_sources),
     ("byte-level bpe", encode_tokens),
 ]

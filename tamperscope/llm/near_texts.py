@@ -1,5 +1,6 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles: rare-first
-prefixes meet in buckets, candidates are verified on whole shingle sets."""
+"""Near-duplicates by exact Jaccard similarity of word shingles: SimHash
+fingerprints propose the first candidates, rare-first prefixes that meet in
+buckets the others; all are verified on whole shingle sets."""
 
 from __future__ import annotations
 
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tamperscope.llm.common import shuffle_partitions, text_hash
 from tamperscope.llm.components import components
+from tamperscope.llm.simhash import fingerprint, fingerprint_links
 from tamperscope.session import materialize
 
 SHINGLE = 5
@@ -89,7 +91,7 @@ def _texts(column: pa.Array) -> Iterator[bytes | None]:
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per document, and rows of shingles (as sid, n) that several
     different sets of a chunk hold, marked by ``often``."""
-    names = ["doc_id", "text_key", "sid", "n", "often", "bits", "mins"]
+    names = ["doc_id", "text_key", "sid", "n", "often", "bits", "mins", "fp"]
     held: list[np.ndarray] = []
     seen: set[int] = set()
     size = 0
@@ -101,13 +103,14 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays(
             [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(values[some].view(np.int64)),
              pa.array(counts[some].astype(np.int64)), pa.array(np.ones(n, bool)),
-             pa.nulls(n, _LONGS), pa.nulls(n, _LONGS)], names)
+             pa.nulls(n, _LONGS), pa.nulls(n, _LONGS), pa.nulls(n, pa.int64())], names)
 
     for batch in batches:
-        ids, sizes, bits, mins = [], [], [], []
+        ids, sizes, bits, mins, prints = [], [], [], [], []
         for text in _texts(batch.column(2)):
             shingles = shingle_set(text)
             ids.append(set_id(shingles))
+            prints.append(fingerprint(text, SHINGLE))
             sizes.append(len(shingles))
             bits.append(bit_map(shingles))
             mins.append([int((shingles * k).min().view(np.int64)) for k in _ODD] if len(shingles) else [])
@@ -121,7 +124,8 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 seen.clear()
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()),
-             pa.array(np.zeros(len(ids), bool)), pa.array(bits, _LONGS), pa.array(mins, _LONGS)], names)
+             pa.array(np.zeros(len(ids), bool)), pa.array(bits, _LONGS), pa.array(mins, _LONGS),
+             pa.array(prints, pa.int64())], names)
     if held:
         yield repeated()
 
@@ -239,13 +243,27 @@ def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _linked(filed: DataFrame, heads: DataFrame, keyed: DataFrame, roots: DataFrame, start: int, stop: int | None) -> DataFrame:
     """``roots`` joined further by the pairs of each bucket's places ``start``
-    to ``stop`` that no chain of links joins yet and whose sets are alike.
-    Only texts of pairs that their bit maps leave are read again."""
+    to ``stop`` that no chain of links joins yet and whose sets are alike."""
     spark = filed.sparkSession
     rooted = filed.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select(
         "h", "n", "sid", F.coalesce("root", "sid").alias("root"))
     dealt = rooted.repartition(shuffle_partitions(spark), "h").sortWithinPartitions("h", "n", "sid")
-    pairs = dealt.mapInArrow(_pairs(start, stop), "a long, b long").distinct()
+    return _verified(dealt.mapInArrow(_pairs(start, stop), "a long, b long").distinct(), heads, keyed, roots)
+
+
+def _near_prints(prints: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets that connect those of equal fingerprints, and those
+    whose fingerprints a chain of links of a few bits joins."""
+    first = materialize(prints.groupBy("fp").agg(F.min("sid").alias("s")), "near-prints")
+    ends = [first.select(F.col("fp").alias(c), F.col("s").alias(f"s{c}")) for c in "ab"]
+    linked = fingerprint_links(prints).join(ends[0], "a").join(ends[1], "b").select(F.col("sa").alias("a"), F.col("sb").alias("b"))
+    equal = prints.join(first, "fp").select(F.col("sid").alias("a"), F.col("s").alias("b"))
+    return linked.unionByName(equal).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _verified(pairs: DataFrame, heads: DataFrame, keyed: DataFrame, roots: DataFrame) -> DataFrame:
+    """``roots`` joined further by those of ``pairs`` whose sets are alike. Only
+    texts of pairs that their bit maps leave are read again."""
     left = heads.select(F.col("sid").alias("a"), F.col("bits").alias("x"), F.col("n").alias("nx"))
     right = heads.select(F.col("sid").alias("b"), F.col("bits").alias("y"), F.col("n").alias("ny"))
     mapped = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "nx", "y", "ny")
@@ -270,16 +288,18 @@ def near_groups(docs: DataFrame) -> DataFrame:
     links join them, and texts link when the Jaccard similarity of their sets
     of five-word shingles is at least 0.8. No such pair is missed.
 
-    Two sets so alike share one of the first fifth (and one) of their shingles
-    in any order that all sets follow, so each is filed under these. Copies
-    are one set; groups of near copies are joined through smallest hashes
-    first, so that their buckets hold few pairs yet to be compared. Null and
-    blank texts have the empty set and are alike.
+    SimHash fingerprints of the same shingles link most near copies, a chain
+    for each group; every link is verified. Others, whose fingerprints differ
+    in more bits, meet in buckets: two sets so alike share one of the first
+    fifth (and one) of their shingles in any order that all sets follow, so
+    each is filed under these. Copies are one set; groups of near copies are
+    joined through smallest hashes first, so that their buckets hold few pairs
+    yet to be compared. Null and blank texts have the empty set and are alike.
     """
     spark = docs.sparkSession
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash(F.col("text")).alias("text_key"), "text")
     measured = materialize(
-        slim.mapInArrow(_measure, "doc_id long, text_key long, sid long, n long, often boolean, bits array<long>, mins array<long>"),
+        slim.mapInArrow(_measure, "doc_id long, text_key long, sid long, n long, often boolean, bits array<long>, mins array<long>, fp long"),
         "near-measured")
     rows = measured.where("not often").select("doc_id", "text_key", "sid")
     frequent = (measured.where("often").groupBy("sid").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
@@ -297,7 +317,8 @@ def near_groups(docs: DataFrame) -> DataFrame:
         .agg(F.min(one).alias("k"), F.min("n").alias("n"), F.min("bits").alias("bits"), F.min("mins").alias("mins")), "near-heads")
     keyed = slim.select(one.alias("k"), "text")
     smallest = heads.select("sid", "n", F.posexplode("mins").alias("i", "m")).select(F.xxhash64("i", "m").alias("h"), "sid", "n")
-    roots = spark.createDataFrame([], "node long, root long")
+    prints = materialize(measured.where("not often").select("fp", "sid").distinct(), "near-prints")
+    roots = _verified(_near_prints(prints), heads, keyed, spark.createDataFrame([], "node long, root long"))
     roots = _linked(smallest, heads, keyed, roots, 1, 2)
     for start, stop in ROUNDS:
         roots = _linked(shared, heads, keyed, roots, start, stop)

@@ -99,3 +99,23 @@ def test_prefixes_of_alike_sets_meet():
         y = np.unique(np.concatenate([rnd.permutation(x)[:-int(rnd.integers(1, 4))], rnd.integers(0, 1 << 63, 3, np.uint64)]))
         if 5 * len(np.intersect1d(x, y)) >= 4 * len(np.union1d(x, y)):
             assert len(np.intersect1d(nt.prefix(x, frequent, counts), nt.prefix(y, frequent, counts)))
+
+
+def test_fingerprints_propose_the_first_links(spark, make_docs, monkeypatch):
+    rnd = random.Random(5)
+    words = [f"w{rnd.randrange(5000)}" for _ in range(2000)]
+    texts = [" ".join(words), " ".join([*words[:1000], "other", *words[1001:]]), " ".join(f"v{i}" for i in range(400))]
+    asked = []
+    real = nt.fingerprint_links
+    monkeypatch.setattr(nt, "fingerprint_links", lambda prints: asked.append(prints.count()) or real(prints))
+    monkeypatch.setattr(nt, "_linked", lambda filed, heads, keyed, roots, start, stop: roots)
+    kept = corpus_pipeline.drop_near_duplicates(spark, make_docs(list(enumerate(texts))), "")
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 2] and asked == [3]
+
+
+def test_links_of_fingerprints_are_verified(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(nt, "fingerprint", lambda text, shingle: 7)
+    long = " ".join(f"w{i}" for i in range(300))
+    texts = [long, " ".join(f"v{i}" for i in range(300)), long + " end", None, "w1 w2 w3 w4 w5 w6"]
+    kept = corpus_pipeline.drop_near_duplicates(spark, make_docs(list(enumerate(texts))), "")
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 3, 4]

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tamperscope.llm.common import by_size
 
 #: Pieces and token pairs remembered by a worker; memory stays bounded.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 18
 _FAR = 1 << 62
 
 
@@ -169,6 +169,23 @@ def _ranks_file(df: DataFrame, path: str):
         return df.sparkSession.sparkContext.broadcast(file.read())
 
 
+def encoded(batches: Iterator[pa.RecordBatch], content: bytes, pattern: str) -> Iterator[pa.RecordBatch]:
+    """(doc_id, ids) of batches of (doc_id, text), for a rank file's content."""
+    codec, pieces = _codec(content), regex.compile(pattern)
+    for batch in by_size(batches, 1):
+        ids = [codec.encode(t.as_py() or "", pieces) for t in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+
+
+def decoded(batches: Iterator[pa.RecordBatch], content: bytes) -> Iterator[pa.RecordBatch]:
+    """(doc_id, ids, bytes) of batches of (doc_id, ids)."""
+    codec = _codec(content)
+    for batch in by_size(batches, 1):
+        texts = [codec.decode(t.as_py() or b"") for t in batch.column(1)]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(texts, pa.binary())], ["doc_id", "ids", "bytes"])
+
+
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, ids) per row of ``docs``: ids is a binary of little-endian
     unsigned 32-bit token ids of the whole text, each match of ``pattern``
@@ -177,32 +194,31 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     ranks = _ranks_file(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, pieces = _codec(ranks.value), regex.compile(pattern)
-        for batch in by_size(batches, 1):
-            ids = [codec.encode(t.as_py() or "", pieces) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+        return encoded(batches, ranks.value, pattern)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary")
 
 
-def decode(encoded: DataFrame, path: str) -> DataFrame:
+def decode(ids: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids, bytes): the bytes of each row's ids, without loss. Null
     ids give no bytes."""
-    ranks = _ranks_file(encoded, path)
+    ranks = _ranks_file(ids, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(ranks.value)
-        for batch in by_size(batches, 1):
-            texts = [codec.decode(t.as_py() or b"") for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(texts, pa.binary())], ["doc_id", "ids", "bytes"])
+        return decoded(batches, ranks.value)
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, bytes binary")
+    return ids.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, bytes binary")
 
 
 def round_trip_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Token count, and digests of the ids and of the decoded bytes."""
-    both = decode(encode(docs, path, pattern), path)
+    """Token count, and digests of the ids and of the decoded bytes. One worker
+    encodes and decodes, so that a task holds the vocabulary once."""
+    ranks = _ranks_file(docs, path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return decoded(encoded(batches, ranks.value, pattern), ranks.value)
+
+    both = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary, bytes binary")
     return both.select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))

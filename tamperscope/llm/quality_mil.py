@@ -6,7 +6,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +25,9 @@ _SINGLES, _PAIRS = 129, 255
 WIDTH = _SINGLES + _PAIRS + 4
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_SLICE = 1 << 19
+#: Bytes and documents encoded at a time: a document has a passage at least.
+_SLICE = 1 << 17
+_ROWS = 1000
 
 
 def encode(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -192,23 +193,24 @@ def train(docs: DataFrame, labels: DataFrame, documents: int = TRAIN_DOCUMENTS,
     return fit(bags, np.array([r["label"] for r in rows], np.float32))
 
 
+def bounded(texts: pa.Array) -> Iterator[list[bytes]]:
+    """Texts, in order, in lists of bounded bytes and number; null is empty."""
+    rows = pa.RecordBatch.from_arrays([texts], ["text"])
+    for part in by_size((rows.slice(lo, _ROWS) for lo in range(0, rows.num_rows, _ROWS)), 0, _SLICE):
+        yield [t.as_py() or b"" for t in part.column(0).cast(pa.large_binary())]
+
+
 def score(text: Column, model: Model, spark) -> Column:
     """Score of a whole text, 0 to 1; a null text is an empty one."""
     shared = spark.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            texts = [(t or "").encode() for t in batch]
-            out, lo, held = [], 0, 0
-            for i, t in enumerate(texts):
-                held += len(t)
-                if held >= _SLICE or i + 1 == len(texts):
-                    out.append(shared.value.scores(texts[lo:i + 1]))
-                    lo, held = i + 1, 0
-            yield pd.Series(np.concatenate(out) if out else np.zeros(0)).astype(float)
-
-    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(run, "double")(text)
+            out = [np.zeros(0), *(shared.value.scores(part) for part in bounded(batch))]
+            yield pa.array(np.concatenate(out).astype(float))
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, "double")(text)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 from tamperscope.llm import quality_mil as qm
 
@@ -76,3 +77,11 @@ def test_without_labels(make_docs, spark):
     docs = make_docs(["a b", None])
     assert [r.score for r in qm.classify(docs, empty).collect()] == [0.5, 0.5]
     assert qm.classify(docs.limit(0), empty).count() == 0
+
+
+def test_short_texts_are_scored_in_bounded_parts():
+    texts = [None, ""] + ["a" * (i % 50) for i in range(2500)] + ["b" * 200_000] * 2
+    parts = list(qm.bounded(pa.array(texts)))
+    assert [t for p in parts for t in p] == [(t or "").encode() for t in texts]
+    assert all(len(p) <= 1000 and sum(map(len, p)) < (1 << 17) + 200_000 for p in parts)
+    assert list(qm.bounded(pa.array([], pa.string()))) == []

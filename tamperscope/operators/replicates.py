@@ -365,6 +365,8 @@ def noise_slope(sheet: Sheet) -> DataFrame:
     whole = points.groupBy(*KEY).agg(
         *_slope(), (F.max(F.log10("row_mean")) - F.min(F.log10("row_mean"))).alias("decades")
     ).withColumn("se", F.sqrt(_slope_variance()))
+    # Written, its size is known: points aren't dealt by group to meet it.
+    whole = materialize(whole, "noise-slope")
     blocks = F.least(F.lit(10), F.floor(F.col("n") / 5))
     placed = ordinal(points, KEY, ["lm", "row_idx"], "_o", "log-points").join(
         whole.select(*KEY, blocks.alias("n_blocks"), F.floor(F.col("n") / blocks).alias("per")), KEY
@@ -702,7 +704,8 @@ def predicted_sigma(rows: DataFrame) -> DataFrame:
         F.avg(F.when(usable, log_variance_bias(F.col("n_vals") - 1))).alias("log_bias"),
         F.count_if((F.col("n_vals") >= 2) & (F.col("row_mean") > 0)).alias("_covered"),
     ).withColumn("_slope", F.coalesce("_slope", F.lit(0.0)))
-    joined = stats.join(fit, KEY)
+    # Written, the fits' size is known: rows aren't dealt by group to meet them.
+    joined = stats.join(materialize(fit, "sigma-fit"), KEY)
     used = (F.col("_n") >= 5) & (F.col("_covered") >= F.col("_rows") * 0.5)
     level = F.exp((F.col("_my") + F.col("_slope") * (F.log("row_mean") - F.col("_mx"))) / 2)
     from_fit = F.when((F.col("n_vals") >= 2) & (F.col("row_mean") > 0), level)
@@ -734,7 +737,8 @@ def _trimmed_kurtosis(diffs: DataFrame, keys: list[str], n_rows: DataFrame) -> D
     cuts = diffs.groupBy(*keys).agg(
         rank_values("nd", [0.02 + 1e-9, 0.98 - 1e-9]).alias("_q"), F.count("nd").alias("pooled_n")
     ).select(*keys, "pooled_n", F.col("_q")[0].alias("lo"), F.col("_q")[1].alias("hi"))
-    joined = diffs.join(cuts, keys).join(n_rows, KEY)
+    # Written, the cuts' size is known: differences aren't dealt by group to meet them.
+    joined = diffs.join(materialize(cuts.join(n_rows, KEY), "kurtosis-cuts"), keys)
     inside = (F.col("n_rows") < 200) | ((F.col("nd") >= F.col("lo")) & (F.col("nd") <= F.col("hi")))
     x = F.when(inside, F.col("nd"))
     return joined.groupBy(*keys).agg(

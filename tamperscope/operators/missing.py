@@ -103,7 +103,8 @@ def missing_blocks(sheet: Sheet) -> DataFrame:
         F.sequence("c1", "c2"), F.lit(0.0), lambda a, c: a + F.log(F.element_at(F.col("rates"), c))
     ) * F.col("length")
     places = (F.col("n_rows") - F.col("length") + 1) * F.greatest(F.lit(1), F.col("n_cols") - width + 1)
-    return runs.join(rates, KEY).withColumn(
+    # Written, the rates are known to be small: blocks aren't dealt by group to meet them.
+    return runs.join(materialize(rates, "gap-rates"), KEY).withColumn(
         "raw_p", F.least(F.lit(1.0), F.exp(log_p) * places)
     ).drop("rates")
 

@@ -81,7 +81,8 @@ def _log_scaled(rows: DataFrame) -> DataFrame:
         (F.min("v") > 0).alias("_pos"), F.skewness("v").alias("_skew")
     )
     logged = F.coalesce(F.col("_pos") & (F.col("_skew") > 1.5), F.lit(False))
-    return rows.join(pooled, KEY).withColumn("logged", logged).withColumn(
+    # Written, its size is known: rows aren't dealt by group to meet it.
+    return rows.join(materialize(pooled, "skewness"), KEY).withColumn("logged", logged).withColumn(
         "vals", F.transform("vals", lambda v: F.when(F.col("logged"), F.log(v)).otherwise(v))
     ).drop("_pos", "_skew")
 
@@ -91,7 +92,7 @@ def row_distances(sheet: Sheet) -> DataFrame:
     rows = _log_scaled(complete_rows(sheet.rows))
     moments = _moments(rows).where(F.col("n") >= 3 * F.element_at("e.j", -1) + 3)
     shape = moments.select(*KEY, "n", _inverse("e.i", "e.j", "e.c", "e.m").alias("s")).select(*KEY, "n", "s.*")
-    joined = rows.join(shape.where(F.col("inv").isNotNull()), KEY).withColumn(
+    joined = rows.join(materialize(shape.where(F.col("inv").isNotNull()), "row-shapes"), KEY).withColumn(
         "_d", F.zip_with("vals", "mu", lambda v, m: v - m)
     )
     p = F.size("_d")
@@ -122,7 +123,7 @@ def mahalanobis_rows(sheet: Sheet) -> Outcome:
         "raw_p", special.chi2_tail("d2", F.col("p").cast("double"))
     ).where(F.col("raw_p") < ROW_ALPHA)
     ranked = bh_large(far, KEY, "raw_p", "_among").join(
-        far.groupBy(*KEY).agg(F.count("raw_p").alias("_m")), KEY
+        materialize(far.groupBy(*KEY).agg(F.count("raw_p").alias("_m")), "far-rows"), KEY
     ).withColumn("adj_p", F.least(F.lit(1.0), F.col("_among") * F.col("n") / F.col("_m")))
     out = ranked.where(F.col("adj_p") < ROW_ALPHA)
     outliers = out.groupBy(*KEY).agg(F.count("d2").alias("n_outliers"), F.min("d2").alias("threshold"))

@@ -280,6 +280,8 @@ def spike_neighbourhoods(sheet: Sheet) -> DataFrame:
     buckets = buckets.where(usable & (F.col("n_keys") >= 20)).select(
         *KEY, "pass", "len", "lo", "hi", "span", "half", "deep_enough"
     )
+    # Written, the buckets are known to be few: keys aren't dealt by bucket to meet them.
+    buckets = materialize(buckets, "spike-buckets")
     unit = [*KEY, "pass", "len"]
     grid = buckets.where(F.col("span") <= MAX_SPAN).select(
         *unit, F.explode(F.sequence("lo", "hi")).alias("key")

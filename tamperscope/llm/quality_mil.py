@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,8 +25,10 @@ _SINGLES, _PAIRS = 129, 255
 WIDTH = _SINGLES + _PAIRS + 4
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-#: Bytes and documents encoded at a time: a document has a passage at least.
-_SLICE = 1 << 17
+#: Bytes of texts scored at a time, and bytes and texts of them encoded at a
+#: time: a text has a passage at least.
+_SLICE = 1 << 19
+_PART = 1 << 17
 _ROWS = 1000
 
 
@@ -84,6 +86,26 @@ def encode(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out, first
 
 
+def bounded(texts: Iterable[bytes], size: int, number: int) -> Iterator[list[bytes]]:
+    """``texts``, in order, in lists that end once they hold so many bytes or texts."""
+    part, held = [], 0
+    for text in texts:
+        part.append(text)
+        held += len(text)
+        if held >= size or len(part) >= number:
+            yield part
+            part, held = [], 0
+    if part:
+        yield part
+
+
+def encode_in_parts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """As ``encode``, a bounded part of the texts at a time."""
+    made = [encode(part) for part in bounded(texts, _PART, _ROWS)]
+    begins = np.cumsum([0, *(len(x) for x, _ in made)])
+    return np.concatenate([x for x, _ in made]), np.concatenate([first + at for (_, first), at in zip(made, begins, strict=False)])
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -111,7 +133,7 @@ class Model:
     def scores(self, texts: list[bytes]) -> np.ndarray:
         if not self.weights:
             return np.full(len(texts), self.prior)
-        x, first = encode(texts)
+        x, first = encode_in_parts(texts)
         return self.forward((x - self.mean) / self.scale, first)["y"]
 
 
@@ -179,7 +201,7 @@ def train(docs: DataFrame, labels: DataFrame, documents: int = TRAIN_DOCUMENTS,
         F.coalesce(F.octet_length("text"), F.lit(0)) <= max_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_size(batches, 2, _SLICE):
+        for batch in by_size(batches, 2, _PART):
             x, first = encode([t.as_py() or b"" for t in batch.column(2).cast(pa.large_binary())])
             ends = [*first[1:].tolist(), len(x)]
             bags = [x[a:b].tobytes() for a, b in zip(first.tolist(), ends, strict=True)]
@@ -193,20 +215,14 @@ def train(docs: DataFrame, labels: DataFrame, documents: int = TRAIN_DOCUMENTS,
     return fit(bags, np.array([r["label"] for r in rows], np.float32))
 
 
-def bounded(texts: pa.Array) -> Iterator[list[bytes]]:
-    """Texts, in order, in lists of bounded bytes and number; null is empty."""
-    rows = pa.RecordBatch.from_arrays([texts], ["text"])
-    for part in by_size((rows.slice(lo, _ROWS) for lo in range(0, rows.num_rows, _ROWS)), 0, _SLICE):
-        yield [t.as_py() or b"" for t in part.column(0).cast(pa.large_binary())]
-
-
 def score(text: Column, model: Model, spark) -> Column:
     """Score of a whole text, 0 to 1; a null text is an empty one."""
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            out = [np.zeros(0), *(shared.value.scores(part) for part in bounded(batch))]
+            texts = (t.as_py() or b"" for t in batch.cast(pa.large_binary()))
+            out = [np.zeros(0), *(shared.value.scores(part) for part in bounded(texts, _SLICE, len(batch)))]
             yield pa.array(np.concatenate(out).astype(float))
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}

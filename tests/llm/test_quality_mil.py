@@ -2,7 +2,6 @@ import random
 import zlib
 
 import numpy as np
-import pyarrow as pa
 
 from tamperscope.llm import quality_mil as qm
 
@@ -79,9 +78,11 @@ def test_without_labels(make_docs, spark):
     assert qm.classify(docs.limit(0), empty).count() == 0
 
 
-def test_short_texts_are_scored_in_bounded_parts():
-    texts = [None, ""] + ["a" * (i % 50) for i in range(2500)] + ["b" * 200_000] * 2
-    parts = list(qm.bounded(pa.array(texts)))
-    assert [t for p in parts for t in p] == [(t or "").encode() for t in texts]
+def test_texts_are_encoded_in_bounded_parts():
+    texts = [b"", b""] + [b"a " * (i % 50) for i in range(2500)] + [b"bc d " * 40_000] * 2 + [b"end"]
+    parts = list(qm.bounded(texts, qm._PART, qm._ROWS))
+    assert [t for p in parts for t in p] == texts and len(parts) >= 4
     assert all(len(p) <= 1000 and sum(map(len, p)) < (1 << 17) + 200_000 for p in parts)
-    assert list(qm.bounded(pa.array([], pa.string()))) == []
+    assert list(qm.bounded([], 5, 5)) == []
+    for got, want in zip(qm.encode_in_parts(texts), qm.encode(texts), strict=True):
+        assert np.array_equal(got, want)

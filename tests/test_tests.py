@@ -488,3 +488,18 @@ def test_whole_row_blocks_are_told_apart_by_row_numbers(make_sheet, monkeypatch)
          ("d", "all", 0, 99, 500, [0, 1]), ("d", "all", 40, 50, 30, [0])],
         "dataset_id string, grp string, lo long, hi long, d long, cols array<int>")
     assert sorted((r.lo, r.d) for r in duplicates.not_dominated(runs, KEY).collect()) == [(0, 30), (0, 500), (40, 30)]
+
+
+def _kurtosis(sheet):
+    sizes = replicates.sheet_sizes(sheet.rows).select(*KEY, "n_rows")
+    return replicates._trimmed_kurtosis(replicates.standardised_differences(sheet), KEY, sizes)
+
+
+@pytest.mark.parametrize("table", [
+    lambda s: replicates.predicted_sigma(s.rows), _kurtosis, duplicates.column_streaks, multivariate.row_distances,
+    missing.missing_blocks, digits.spike_neighbourhoods], ids=["sigma", "kurtosis", "streaks", "distances", "gaps", "spikes"])
+def test_small_tables_are_written_before_rows_meet_them(make_sheet, table):
+    rng = np.random.default_rng(4)
+    sheet = make_sheet(np.round(rng.normal(10, 1, size=(80, 3)), 3), conds=["a", "b"] * 40)
+    plan = table(sheet)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"SortMergeJoin \[dataset_id#\d+(, (grp|cond|pass|len)#\d+)*\], ", plan), plan

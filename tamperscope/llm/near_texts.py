@@ -39,6 +39,8 @@ FEW = 100_000
 #: Least bits of the map of a set's hashes; a map has two to four times as many
 #: bits as its set has hashes, so that it tells long texts apart, too.
 MAP_BITS = 1024
+#: Links that a task joins at a time; no more than these need no rounds.
+LINKS = 1 << 18
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -241,6 +243,45 @@ def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep, pa.bool_())) for k in range(2)], ["a", "b"])
 
 
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b), so many at a time, as links (a, b) of each of their nodes
+    to the smallest that it reaches through them, itself included."""
+    held: list[np.ndarray] = []
+    rows = 0
+
+    def joined() -> pa.RecordBatch:
+        nodes, ends = np.unique(np.concatenate(held), return_inverse=True)
+        ends = ends.reshape(-1, 2)
+        label = np.arange(len(nodes))
+        while len(ends):
+            at = label[ends]
+            apart = at[:, 0] != at[:, 1]
+            ends, at = ends[apart], at[apart]
+            np.minimum.at(label, at.max(axis=1, initial=0), at.min(axis=1, initial=len(nodes)))
+            while (label[label] != label).any():
+                label = label[label]
+        return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], ["a", "b"])
+
+    for batch in batches:
+        for lo in range(0, batch.num_rows, LINKS):
+            part = batch.slice(lo, LINKS)
+            if rows and rows + part.num_rows > LINKS:
+                yield joined()
+                held, rows = [], 0
+            held.append(np.stack([c.to_numpy() for c in part.columns], axis=1))
+            rows += part.num_rows
+    if held:
+        yield joined()
+
+
+def _joined(links: DataFrame) -> DataFrame:
+    """(node, root) for every node of the written links (a, b), as of
+    ``components``: tasks join the links they hold, rounds the rest."""
+    parts = -(-links.count() // LINKS)
+    forest = links.repartition(max(1, parts)).mapInArrow(_forest, "a long, b long")
+    return forest.toDF("node", "root") if parts <= 1 else components(forest)
+
+
 def _linked(filed: DataFrame, heads: DataFrame, keyed: DataFrame, roots: DataFrame, start: int, stop: int | None) -> DataFrame:
     """``roots`` joined further by the pairs of each bucket's places ``start``
     to ``stop`` that no chain of links joins yet and whose sets are alike."""
@@ -279,8 +320,9 @@ def _verified(pairs: DataFrame, heads: DataFrame, keyed: DataFrame, roots: DataF
     right = sets.select(F.col("sid").alias("b"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     alike = pairs.join(left, "a").join(right, "b").where(OF * both >= ALIKE * (F.size("x") + F.size("y") - both))
-    return materialize(components(alike.select("a", "b").unionByName(
-        roots.select(F.col("node").alias("a"), F.col("root").alias("b")))), "near-roots")
+    links = materialize(alike.select("a", "b").unionByName(
+        roots.select(F.col("node").alias("a"), F.col("root").alias("b"))), "near-links")
+    return materialize(_joined(links), "near-roots")
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
@@ -303,8 +345,8 @@ def near_groups(docs: DataFrame) -> DataFrame:
         "near-measured")
     rows = measured.where("not often").select("doc_id", "text_key", "sid")
     frequent = (measured.where("often").groupBy("sid").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
-                .orderBy(F.desc("n"), "sid").limit(MOST_FREQUENT).toPandas())
-    values, counts = frequent["sid"].to_numpy(np.int64).view(np.uint64), frequent["n"].to_numpy(np.int64)
+                .orderBy(F.desc("n"), "sid").limit(MOST_FREQUENT).toArrow())
+    values, counts = frequent["sid"].to_numpy().view(np.uint64), frequent["n"].to_numpy()
     order = spark.sparkContext.broadcast((values[np.argsort(values)], counts[np.argsort(values)]))
 
     filed = docs.select("text").mapInArrow(_prefixes(order), "h long, sid long, n long")

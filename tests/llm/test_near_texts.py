@@ -119,3 +119,27 @@ def test_links_of_fingerprints_are_verified(spark, make_docs, monkeypatch):
     texts = [long, " ".join(f"v{i}" for i in range(300)), long + " end", None, "w1 w2 w3 w4 w5 w6"]
     kept = corpus_pipeline.drop_near_duplicates(spark, make_docs(list(enumerate(texts))), "")
     assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 3, 4]
+
+
+def test_few_links_are_joined_without_rounds(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(nt, "components", lambda links: 1 / 0)
+    texts = corpus()
+    rows = list(enumerate(texts))
+    kept = corpus_pipeline.drop_near_duplicates(spark, make_docs(rows), "")
+    assert sorted(r.doc_id for r in kept.collect()) == brute_kept(rows)
+
+
+def test_links_join_whatever_a_task_holds(spark, monkeypatch):
+    rnd = random.Random(6)
+    links = [(i, i + 1) for i in range(50)] + [(900, i) for i in range(100, 160)] + [(7, 7), (-5, 3000), (3000, -5)]
+    links += [(rnd.randrange(200, 500), rnd.randrange(200, 500)) for _ in range(200)]
+    groups = {n: {n} for link in links for n in link}
+    for a, b in links:
+        joined = groups[a] | groups[b]
+        for n in joined:
+            groups[n] = joined
+    df = spark.createDataFrame(rnd.sample(links, len(links)), "a long, b long")
+    for size in (1 << 18, 40):
+        monkeypatch.setattr(nt, "LINKS", size)
+        got = [(r.node, r.root) for r in nt._joined(df).collect()]
+        assert sorted(got) == sorted((n, min(g)) for n, g in groups.items())

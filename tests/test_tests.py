@@ -503,3 +503,32 @@ def test_small_tables_are_written_before_rows_meet_them(make_sheet, table):
     sheet = make_sheet(np.round(rng.normal(10, 1, size=(80, 3)), 3), conds=["a", "b"] * 40)
     plan = table(sheet)._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"SortMergeJoin \[dataset_id#\d+(, (grp|cond|pass|len)#\d+)*\], ", plan), plan
+
+
+def test_rows_of_a_bin_meet_once(make_sheet, monkeypatch):
+    rng = np.random.default_rng(7)
+    rows = [[None if rng.random() < 0.15 else float(x) for x in rng.integers(0, 6, rng.integers(1, 6))] for _ in range(400)]
+    rows += [[None, None], [3.00001, 3.0], [9e15, 9e15]]
+    means = [sum(v for v in r if v is not None) / max(1, sum(v is not None for v in r)) for r in rows]
+    order = sorted((m, i) for i, m in enumerate(means) if any(v is not None for v in rows[i]))
+    want = {}
+    for b in range(0, len(order), 30):
+        members = [rows[i] for _, i in order[b:b + 30]]
+        n_pairs = matches = 0
+        expected = 0.0
+        for c1 in range(5):
+            for c2 in range(c1 + 1, 5):
+                pairs = [(r[c1], r[c2]) for r in members if len(r) > c2 and r[c1] is not None and r[c2] is not None]
+                sides = [[np.floor(r[c] * 1e4 + 0.5) for r in members if len(r) > c and r[c] is not None] for c in (c1, c2)]
+                n_pairs += len(pairs)
+                matches += sum(x == y for x, y in pairs)
+                if len(members) >= 2 and pairs:
+                    expected += len(pairs) * sum(x == y for x in sides[0] for y in sides[1]) / (len(sides[0]) * len(sides[1]))
+        want[b // 30] = (len(members), n_pairs, matches, round(expected, 9))
+    sheet = make_sheet(rows)
+    for cells in (1 << 22, 1):
+        monkeypatch.setattr(duplicates, "_PAIR_CELLS", cells)
+        bins = duplicates.within_row_bins(sheet)
+        assert {r.bin: (r.n_rows, r.n_pairs, r.matches, round(r.expected, 9)) for r in bins.collect()} == {k: v for k, v in want.items() if v[1]}
+    plan = bins._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert len(re.findall(r"Exchange hashpartitioning\([^)]*\bbin#", plan)) == 1, plan

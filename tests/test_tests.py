@@ -532,3 +532,33 @@ def test_rows_of_a_bin_meet_once(make_sheet, monkeypatch):
         assert {r.bin: (r.n_rows, r.n_pairs, r.matches, round(r.expected, 9)) for r in bins.collect()} == {k: v for k, v in want.items() if v[1]}
     plan = bins._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
     assert len(re.findall(r"Exchange hashpartitioning\([^)]*\bbin#", plan)) == 1, plan
+
+
+def test_kurtosis_null_has_all_rows_of_the_sheet(make_sheet):
+    rng = np.random.default_rng(8)
+    n = 6000
+    level = rng.uniform(50, 150, (n, 1))
+    # Noise a little flatter than Gaussian: far out among sheets of 6,000 rows, not among those of 500.
+    noise = rng.normal(size=(n, 4)) + rng.uniform(-2.5, 2.5, (n, 4))
+    stats = replicates.excess_kurtosis(make_sheet(level + noise)).result.first().stats
+    assert stats["kurtosis"] < stats["null_median"] and stats["kurtosis_p"] < 0.002
+
+
+@pytest.mark.parametrize("p,from_fit", [(3, True), (3, False), (5, True)])
+def test_simulated_sheet_in_pieces_matches_whole(monkeypatch, p, from_fit):
+    monkeypatch.setattr(replicates, "PIECE", 1 << 10)
+    pairs = [(i, j) for i in range(p) for j in range(i + 1, p)]
+    left, right = (np.array(x) for x in zip(*pairs, strict=True))
+    sizes, bias = [20_000, 300, 9_000], replicates.log_variance_bias(p - 1.0, np.log)
+    kurts, ad = replicates._simulate_in_pieces(np.random.default_rng(2), sizes, p, from_fit, left, right, bias)
+    rng = np.random.Generator(np.random.SFC64(np.random.default_rng(2).integers(1 << 63)))
+    list(replicates._differences(rng, 8 * replicates._piece_rows(left), p, from_fit, left, right))
+    parts = [[*replicates._differences(rng, n, p, from_fit, left, right)] for n in sizes]
+    logs = sum(x for part in parts for _, x in part)
+    values = [np.concatenate([d for d, _ in part]) for part in parts]
+    whole = np.sort(np.concatenate(values))
+    assert whole.var() == pytest.approx(2, rel=0.05)
+    assert kurts == pytest.approx([replicates._sorted_kurtosis(np.sort(d), True) for d in (whole, *values)], abs=1e-9)
+    scale = np.exp((logs / sum(sizes) - bias) / 2) if from_fit else 1.0
+    if p <= replicates.AD_COLUMNS:
+        assert ad == pytest.approx(replicates._ad(whole / (scale * 2**0.5)), rel=1e-3, abs=2e-3)

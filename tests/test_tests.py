@@ -562,3 +562,48 @@ def test_simulated_sheet_in_pieces_matches_whole(monkeypatch, p, from_fit):
     scale = np.exp((logs / sum(sizes) - bias) / 2) if from_fit else 1.0
     if p <= replicates.AD_COLUMNS:
         assert ad == pytest.approx(replicates._ad(whole / (scale * 2**0.5)), rel=1e-3, abs=2e-3)
+
+
+@pytest.mark.parametrize("block", [4096, 256])
+def test_windows_that_meet_no_other_column_are_left_out(make_sheet, monkeypatch, block):
+    recurrence = duplicates.recurrence
+    monkeypatch.setattr(recurrence, "BLOCK", block)
+    monkeypatch.setattr(recurrence.recurrences, "__defaults__", (block,))
+    rng = np.random.default_rng(12)
+    m = rng.integers(0, [40, 6, 9], (6000, 3)).astype(float)
+    m[rng.random(m.shape) < 0.02] = np.nan
+    m[5000:5012, :2] = m[100:112, :2]
+    m[5012:5025, 1] = m[112:125, 1]              # one column goes on, the other one stops
+    m[3000:3040, 2], m[3039:3060, 0] = m[700:740, 2], m[739:760, 0]   # two runs that share a row
+    m[5990:, 1:] = m[2000:2010, 1:]              # up to the last row
+    m[4000:4010] = m[0:10]                       # and from the first
+    sheet = make_sheet(m)
+
+    def sets(found):
+        return sorted((r.d, tuple(r.cols), r.lo, r.hi) for r in recurrence.column_sets(found).collect())
+
+    every = duplicates.far_column_runs(sheet)
+    some = duplicates.far_column_runs(sheet, paired=True)
+    assert sets(some) == sets(every) and {(4900, (0, 1)), (2300, (0, 2)), (3990, (1, 2))} <= {x[:2] for x in sets(every)}
+    if block == 256:
+        assert some.count() < every.count() / 3
+
+
+def test_offset_scan_of_row_codes(make_sheet):
+    rng = np.random.default_rng(3)
+    for width in (5, 12):                        # codes of a byte and of eight
+        m = rng.integers(0, 3, (60, width)).astype(float)
+        m[rng.random(m.shape) < 0.1] = np.nan
+        got = {(r.d, tuple(r.cols), r.lo, r.hi) for r in duplicates.offset_runs(make_sheet(m), by_column=False).collect()}
+        want = set()
+        for d in range(1, 60):
+            same = [tuple(np.flatnonzero(m[i] == m[i + d])) for i in range(60 - d)]
+            i = 0
+            while i < len(same):
+                j = i
+                while j < len(same) and same[j] == same[i]:
+                    j += 1
+                if len(same[i]) >= 2 and j - i >= 2 and (j - i) * len(same[i]) >= 6:
+                    want.add((d, same[i], i, j - 1))
+                i = j
+        assert {g for g in got if g[3] - g[2] >= 1 and (g[3] - g[2] + 1) * len(g[1]) >= 6} == want

@@ -607,3 +607,13 @@ def test_offset_scan_of_row_codes(make_sheet):
                     want.add((d, same[i], i, j - 1))
                 i = j
         assert {g for g in got if g[3] - g[2] >= 1 and (g[3] - g[2] + 1) * len(g[1]) >= 6} == want
+
+
+def test_no_table_of_blocks_is_taller_than_the_sheet(make_sheet, monkeypatch):
+    rng = np.random.default_rng(2)
+    m = rng.integers(0, 2, (400, 4)).astype(float)        # all rows have an equal one
+    m[200:260] = m[20:80]
+    written, write = [], duplicates.materialize
+    monkeypatch.setattr(duplicates, "materialize", lambda df, name: written.append(write(df, name)) or written[-1])
+    blocks = duplicates.full_row_blocks(make_sheet(m)).collect()
+    assert any(b.height == 10 and b.d == 180 for b in blocks) and max(t.count() for t in written) <= len(m)

@@ -298,7 +298,8 @@ def loess_residuals(series: DataFrame, unit: list[str]) -> DataFrame:
     frame. Only the rows at the two ends, and series shorter than 167 rows,
     are fitted directly; those groups hold at most 166 rows.
     """
-    sizes = series.groupBy(*unit).agg(F.count("y").alias("n"))
+    # Written, the sizes are known to be small: rows aren't dealt by unit to meet them.
+    sizes = materialize(series.groupBy(*unit).agg(F.count("y").alias("n")), "loess-sizes")
     rows = series.join(sizes, unit)
     long_ = rows.where(F.col("n") >= _INTERIOR_FROM)
     weights = _tricube(np.abs(np.arange(-_HALF, _HALF + 1)) / (_HALF + 1.0))
@@ -357,7 +358,7 @@ def loess_windows(resid: DataFrame, unit: list[str]) -> DataFrame:
         F.count("resid").alias("n"), F.var_samp("resid").alias("global_var"), F.kurtosis("resid").alias("kurt")
     ).where("n >= 60 and global_var >= 1e-30")
     windows = sliding(resid.select(*unit, "pos", "resid", "row_idx"), unit, ["resid", "row_idx"], 20, 6)
-    out = windows.join(spread, unit).withColumn("win_var", variance("resid"))
+    out = windows.join(materialize(spread, "loess-spread"), unit).withColumn("win_var", variance("resid"))
     return out.select(
         *unit, "w", "n", "kurt", "win_var", "global_var",
         F.greatest(F.col("win_var") / F.col("global_var"), F.col("global_var") / F.col("win_var")).alias("ratio"),
@@ -370,7 +371,7 @@ def changepoint(series: DataFrame, unit: list[str]) -> DataFrame:
     centre = series.groupBy(*unit).agg(
         F.avg("y").alias("_m"), F.stddev_samp("y").alias("sd"), F.count("y").alias("n")
     )
-    dev = series.join(centre, unit).withColumn("_d", F.col("y") - F.col("_m"))
+    dev = series.join(materialize(centre, "centre"), unit).withColumn("_d", F.col("y") - F.col("_m"))
     run = prefix_sum(dev, unit, "_d", "cusum")
     return run.groupBy(*unit).agg(
         F.max(F.abs("cusum")).alias("max_cusum"),
@@ -461,18 +462,19 @@ def loess_cusum(sheet: Sheet) -> Outcome:
         na_cause=cause.when(F.col("p").isNull(), "tooFewRows"), na_observed=seen, na_minimum=need,
         null_method=F.when(F.col("shuffled"), "row shuffle").otherwise("scaled chi-squared and Brownian bridge"),
     )
-    resid = loess_residuals(series, KEY)
-    windows = loess_windows(resid, KEY).join(whole.select(*KEY, F.col("ratio").alias("best"), "scan_p"), KEY)
-    return Outcome(
-        lambda: unit_rows(
+
+    def units() -> DataFrame:
+        windows = loess_windows(loess_residuals(series, KEY), KEY).join(
+            whole.select(*KEY, F.col("ratio").alias("best"), "scan_p"), KEY)
+        return unit_rows(
             windows.where(F.col("ratio") >= F.col("best") * 0.5), test, F.concat_ws(" ", F.lit("window"), "w"),
             F.col("ratio"), raw_p=F.col("scan_p"), row_lo=F.col("row_lo"), row_hi=F.col("row_hi"),
         ).unionByName(unit_rows(
             whole, test, F.lit("changepoint"), F.col("max_cusum"), raw_p=F.col("cusum_p"),
             row_lo=F.col("row_at"), row_hi=F.col("row_at"),
-        )),
-        result,
-    )
+        ))
+
+    return Outcome(units, result)
 
 
 def _second_changepoint(series: DataFrame, first: DataFrame) -> DataFrame:

@@ -617,3 +617,13 @@ def test_no_table_of_blocks_is_taller_than_the_sheet(make_sheet, monkeypatch):
     monkeypatch.setattr(duplicates, "materialize", lambda df, name: written.append(write(df, name)) or written[-1])
     blocks = duplicates.full_row_blocks(make_sheet(m)).collect()
     assert any(b.height == 10 and b.d == 180 for b in blocks) and max(t.count() for t in written) <= len(m)
+
+
+@pytest.mark.parametrize("table", [
+    lambda s, k: noise.loess_residuals(s, k), lambda s, k: noise.changepoint(s, k),
+    lambda s, k: noise.loess_windows(s.withColumn("resid", F.col("y")), k)], ids=["residuals", "changepoint", "windows"])
+def test_loess_units_are_not_dealt_whole(make_sheet, table):
+    rng = np.random.default_rng(4)
+    series = noise.noise_profile(make_sheet(rng.normal(10, 1, size=(300, 3))))
+    plan = table(series, KEY)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"SortMergeJoin \[dataset_id#\d+, grp#\d+\], ", plan), plan
